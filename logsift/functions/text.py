@@ -34,25 +34,41 @@ def strip_end(text: Column) -> Column:
 
 
 def handle_malformed(
-    df: DataFrame, good: Column, outputs: list[str], keep: list[str], mode: str, line: str = "value"
+    df: DataFrame,
+    good: Column,
+    outputs: list[str],
+    keep: list[str],
+    mode: str,
+    line: str = "value",
+    wanted: Column | None = None,
 ) -> DataFrame:
     """Apply the malformed-line mode of the Spark readers to parsed ``outputs``.
 
     PERMISSIVE nulls the outputs and puts the line in ``_corrupt``, DROPMALFORMED
-    removes the line, FAILFAST stops the job.
+    removes the line, FAILFAST stops the job. Lines that are not ``wanted`` are removed
+    in every mode.
+
+    Rows are removed by a generator, not a filter: Catalyst would push a filter below the
+    parsing and so parse every line twice.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
     good = F.coalesce(good, F.lit(False))
+    cells = F.array(F.struct(*[F.col(c) for c in outputs]))
     if mode == "DROPMALFORMED":
-        return df.where(good).select(*keep, *outputs)
+        keeps = good if wanted is None else good & wanted
+        return df.select(*keep, F.inline(F.when(keeps, cells)))
     if mode == "FAILFAST":
         message = F.concat(F.lit("malformed log line: "), F.coalesce(F.col(line), F.lit("NULL")))
-        checked = F.when(good, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
-        return df.where(checked).select(*keep, *outputs)
+        rows = F.when(good, cells).otherwise(F.raise_error(message))
+        return df.select(*keep, F.inline(rows if wanted is None else F.when(wanted, rows)))
+    checked = df.withColumn("_good", good)
     earlier = F.col("_corrupt") if "_corrupt" in df.columns else F.lit(None).cast("string")
-    return df.withColumn("_good", good).select(
-        *[c for c in keep if c != "_corrupt"],
+    columns = [
         *[F.when(F.col("_good"), F.col(c)).alias(c) for c in outputs],
         F.coalesce(earlier, F.when(~F.col("_good"), F.col(line))).alias("_corrupt"),
-    )
+    ]
+    keep = [c for c in keep if c != "_corrupt"]
+    if wanted is None:
+        return checked.select(*keep, *columns)
+    return checked.select(*keep, F.inline(F.when(wanted, F.array(F.struct(*columns)))))

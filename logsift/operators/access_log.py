@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from logsift.functions.text import before, handle_malformed, token
 
-# Fixed pattern: %h %l %u %t "%r" %>s %b "%{Referer}i" "%{User-Agent}i"
-COMBINED = (
-    r'^(\S+) (\S+) (\S+) \[([^\]]+)\] "((?:[^"\\]|\\.)*)" (\d{3}) (\d+|-) '
-    r'"((?:[^"\\]|\\.)*)" "((?:[^"\\]|\\.)*)"$'
-)
+# Fixed pattern: %h %l %u %t "%r" %>s %b "%{Referer}i" "%{User-Agent}i". The quoted parts
+# use possessive loops, so long or broken lines cost neither backtracking nor stack.
+_QUOTED = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
+COMBINED = rf'^(\S+) (\S+) (\S+) \[([^\]]+)\] {_QUOTED} (\d{{3}}) (\d+|-) {_QUOTED} {_QUOTED}$'
+COMBINED_GROUPS = 9
 # Fixed value: the months as the server writes them.
 MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 
@@ -51,12 +51,12 @@ def _present(text: Column) -> Column:
 def parse_access(lines: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     """Columns of a COMBINED line; ``-`` becomes NULL, clock fields keep the line's own offset."""
     keep = [c for c in lines.columns if c != "value"]
-    # One regex pass per line: the groups come back separated by a newline, which a line cannot hold.
-    groups = "\n".join(f"${i}" for i in range(1, 10))
-    matched = F.col("value").rlike(COMBINED) & ~F.contains(F.col("value"), F.lit("\n"))
-    cut = lines.withColumn(
-        "_g", F.when(matched, F.split(F.regexp_replace("value", COMBINED, groups), "\n"))
-    )
+    # One regex pass per line: the groups come back separated by newlines, which a line cannot
+    # hold; a line that does not match comes back whole.
+    groups = "\n".join(f"${i}" for i in range(1, COMBINED_GROUPS + 1))
+    cut = lines.withColumn("_c", F.split(F.regexp_replace("value", COMBINED, groups), "\n"))
+    single = ~F.contains(F.col("value"), F.lit("\n"))
+    cut = cut.withColumn("_g", F.when((F.size("_c") == COMBINED_GROUPS) & single, F.col("_c")))
     when = token(F.col("_g"), 3)
     month = F.instr(F.lit(MONTHS), F.substring(when, 4, 3))
 

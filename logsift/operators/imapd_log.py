@@ -92,11 +92,8 @@ def imapd_auth_events(
             "_x": F.when(word.isin("login:", "badlogin:"), 5).otherwise(failed_at + 5),
         }
     )
-    # lines without a sixth token are malformed, lines of another kind are not wanted
-    wanted = kinds.where(F.col("what").isNotNull() | (F.size("_t") < 6))
-
     near, far = token(t, F.col("_x") + 1), token(t, F.col("_x") + 2)
-    found = wanted.withColumns(
+    found = kinds.withColumns(
         {
             "_has_ip": _is_ip(near) | _is_ip(far),
             "_at": F.col("_x") + F.when(_is_ip(near), 1).otherwise(2),
@@ -122,7 +119,9 @@ def imapd_auth_events(
         & F.col("IP").isNotNull()
         & F.col("userid").isNotNull()
     )
-    return handle_malformed(parsed, whole, AUTH_COLUMNS, keep, mode)
+    # lines without a sixth token are malformed, lines of another kind are not wanted
+    wanted = F.col("what").isNotNull() | (F.size("_t") < 6)
+    return handle_malformed(parsed, whole, AUTH_COLUMNS, keep, mode, wanted=wanted)
 
 
 def imapd_auth_counts(events: DataFrame, ordered: bool = True) -> DataFrame:
