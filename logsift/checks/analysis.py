@@ -35,6 +35,7 @@ from logsift.operators.svd import (
     variance_ratios,
 )
 from logsift.plans.pipeline import LogPipeline
+from logsift.scratch import materialize
 
 E = [f"e{i}" for i in range(DIMS)]
 PLANE = ["e0", "e1"]
@@ -105,7 +106,8 @@ def tsvd_rebuilt_query(spark, sf_dir):
 
 
 def tsvd_access_query(spark, sf_dir):
-    source = _access_features(spark, sf_dir)
+    """The features are read three times (scaling, X'X, projection), so they are written once."""
+    source = materialize(_access_features(spark, sf_dir), "features")
     return tsvd(source, ACCESS_FEATURES, 2).transform(source)
 
 

@@ -24,10 +24,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "edges",
     )
     degrees = hot_degrees = None
-    if both_ways.count() > scratch.HOT_KEY_ROWS:
+    crowded = nodes.count() > scratch.HOT_KEY_ROWS  # with fewer nodes no key can be hot
+    if crowded:
         degrees = materialize(both_ways.groupBy("id").agg(F.count("*").alias("_rows")), "degrees")
         hot_degrees = hot_keys(degrees, ["id"], "_rows")
-    crowded = nodes.count() > scratch.HOT_KEY_ROWS
 
     parents = nodes.select("id", F.col("id").alias("p"))
     hopped = parents.withColumn("g", F.col("p"))

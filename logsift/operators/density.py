@@ -20,6 +20,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logsift import scratch
 from logsift.functions.vectors import total
 from logsift.operators.components import connected_components
 from logsift.operators.near_duplicates import combine_near_duplicates
@@ -184,13 +185,15 @@ def _prefix_cells(cells: DataFrame, space: _Space, length: int) -> DataFrame:
     return cells.groupBy(F.slice("key", 1, length).alias("key")).agg(*merged)
 
 
-def _links(points: DataFrame, cells: DataFrame, pairs: DataFrame, space: _Space) -> DataFrame:
+def _links(
+    points: DataFrame, pairs: DataFrame, space: _Space, hot_cells: DataFrame | None
+) -> DataFrame:
     """(p, u, heavy, w): neighbours of each point of a light cell, with their weight.
 
     ``u`` is the node of a heavy cell (all its points in reach added up) or a single point
     of a light cell.
     """
-    fields = [c for c in cells.columns if c != "heavy"]
+    fields = ["key", "n", "w", "node", *space.box_names()]
     directed = [
         pairs.where(~F.col(f"{src}heavy") & keep).select(
             F.col(f"{src}key").alias("key"),
@@ -218,7 +221,7 @@ def _links(points: DataFrame, cells: DataFrame, pairs: DataFrame, space: _Space)
         "p", F.col("d_node").alias("u"), "heavy", F.col("d_w").alias("w")
     )
     single = reach.where(~F.col("whole")).drop("d_w", "whole").withColumnRenamed("d_key", "key")
-    met = join_dealt(points, single, ["key"], "d_n", hot_keys(cells, ["key"], "n")).where(
+    met = join_dealt(points, single, ["key"], "d_n", hot_cells).where(
         space.points_apart("x", "px") <= space.limit
     )
     unit = F.when(F.col("heavy"), F.col("d_node")).otherwise(F.col("id"))
@@ -326,13 +329,19 @@ def _cluster_points(
         "cells",
     )
     pairs = _cell_pairs(cells, space)
-    links = _links(points, cells, pairs, space)
-
-    light_core = materialize(
-        links.groupBy("p").agg(F.sum("w").alias("w")).where(F.col("w") >= min_samples).select(F.col("p").alias("id")),
-        "core",
+    # with fewer points than that no cell can be hot, so nothing has to be looked up
+    crowded = points.count() > scratch.HOT_KEY_ROWS
+    hot_cells = hot_keys(cells, ["key"], "n") if crowded else None
+    links = _links(points, pairs, space, hot_cells)
+
+    weights = links.groupBy("p").agg(F.sum("w").alias("w"))
+    nodes = materialize(
+        cells.where("heavy")
+        .select(F.col("node").alias("id"), F.lit(False).alias("light"))
+        .union(weights.where(F.col("w") >= min_samples).select("p", F.lit(True))),
+        "nodes",
     )
-    nodes = materialize(cells.where("heavy").select(F.col("node").alias("id")).union(light_core), "nodes")
+    light_core = nodes.where("light").select("id")
     apart = pairs.withColumns({"u": F.col("a_node"), "v": F.col("b_node")}).where(
         F.col("a_heavy") & F.col("b_heavy") & (F.col("a_key") != F.col("b_key"))
     )
@@ -349,12 +358,14 @@ def _cluster_points(
             .select("p", "u")
         )
     )
-    members = connected_components(nodes, edges)
+    members = connected_components(nodes.select("id"), edges)
     numbered = number_rows(members.where("id = root").select("root"), ["root"], "cluster")
-    sizes = members.groupBy("root").agg(F.count("*").alias("_rows"))
-    members = join_counted(
-        members, materialize(numbered.join(sizes, "root"), "clusters"), ["root"], "_rows"
-    )
+    if crowded:
+        sizes = members.groupBy("root").agg(F.count("*").alias("_rows"))
+        numbered = materialize(numbered.join(sizes, "root"), "clusters")
+        members = join_counted(members, numbered, ["root"], "_rows")
+    else:
+        members = members.join(numbered, "root")
 
     best = F.min(F.struct("root", "cluster")).alias("best")
     light_root = (
@@ -364,13 +375,18 @@ def _cluster_points(
         .select(F.col("p").alias("id"), F.col("best.root").alias("root"), F.col("best.cluster").alias("cluster"))
     )
     is_core = light_core.withColumn("_core", F.lit(True))
-    cell_root = materialize(
+    cell_root = (
         cells.select("key", "n", F.when(F.col("heavy"), F.col("node")).alias("id"))
         .join(members, "id", "left")
-        .select("key", "n", F.col("id").isNotNull().alias("heavy"), F.col("root").alias("_root"), F.col("cluster").alias("_cluster")),
-        "roots",
+        .select(
+            "key",
+            "n",
+            F.col("id").isNotNull().alias("heavy"),
+            F.col("root").alias("_root"),
+            F.col("cluster").alias("_cluster"),
+        )
     )
-    placed = join_counted(points, cell_root, ["key"], "n")
+    placed = join_dealt(points, cell_root, ["key"], "n", hot_cells)
     inside = placed.where("heavy").select(
         *space.names, "rows", F.lit(True).alias("core"), F.col("_root").alias("root"), F.col("_cluster").alias("cluster")
     )

@@ -29,6 +29,8 @@ FIELD_NAMES = [
 # Number of each kind of authentication line.
 LOGIN, BADLOGIN, FAILED = 0, 1, 2
 AUTH_COLUMNS = ["what", "IP", "userid"]
+# Fixed value: the characters that \s stands for.
+BLANKS = " \t\n\x0b\f\r"
 BRACKETED_IPV4 = r"^\[\d+\.\d+\.\d+\.\d+\]$"
 
 
@@ -60,12 +62,12 @@ def _is_ip(word: Column) -> Column:
 def _ipv4_number(word: Column) -> Column:
     """Dotted quad as one integer; NULL if an octet is over 255."""
     octets = F.split(F.translate(word, "[]", ""), r"\.")
-
-    def octet(i: int) -> Column:
-        value = token(octets, i).try_cast("bigint")
-        return F.when((F.length(token(octets, i)) <= 3) & (value <= 255), value)
-
-    return octet(0) * 16777216 + octet(1) * 65536 + octet(2) * 256 + octet(3)
+    number = F.aggregate(
+        F.transform(octets, lambda octet: F.when(F.length(octet) <= 3, octet.try_cast("bigint"))),
+        F.lit(0).cast("bigint"),
+        lambda so_far, octet: so_far * 256 + F.when(octet <= 255, octet),
+    )
+    return number
 
 
 def imapd_auth_events(
@@ -77,9 +79,8 @@ def imapd_auth_events(
     """
     keep = [c for c in lines.columns if c != "value"]
     t = F.col("_t")
-    cut = lines.withColumn(
-        "_t", F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+", max_split + 1)
-    )
+    stripped = F.btrim(F.col("value"), F.lit(BLANKS))
+    cut = lines.withColumn("_t", F.split(stripped, r"\s+", max_split + 1))
     word = token(t, 5)
     failed_at = F.array_position(
         F.slice(t, 7, F.greatest(F.size(t) - 6, F.lit(0))), F.lit("failed:")
@@ -93,17 +94,13 @@ def imapd_auth_events(
         }
     )
     near, far = token(t, F.col("_x") + 1), token(t, F.col("_x") + 2)
-    found = kinds.withColumns(
-        {
-            "_has_ip": _is_ip(near) | _is_ip(far),
-            "_at": F.col("_x") + F.when(_is_ip(near), 1).otherwise(2),
-        }
-    )
+    tested = kinds.withColumns({"_near": _is_ip(near), "_far": _is_ip(far)})
+    found = tested.withColumn("_at", F.col("_x") + F.when(F.col("_near"), 1).otherwise(2))
     after = token(t, F.col("_at") + 1)
     plaintext = (F.col("what") == BADLOGIN) & (after == "plaintext")
     parsed = found.withColumns(
         {
-            "IP": F.when(F.col("_has_ip"), _ipv4_number(token(t, F.col("_at")))).otherwise(
+            "IP": F.when(F.col("_near") | F.col("_far"), _ipv4_number(token(t, F.col("_at")))).otherwise(
                 F.lit(0).cast("bigint")
             ),
             "userid": F.when(F.col("what") == LOGIN, after)
@@ -115,7 +112,7 @@ def imapd_auth_events(
     whole = (
         F.col("what").isNotNull()
         & near.isNotNull()
-        & (_is_ip(near) | far.isNotNull())
+        & (F.col("_near") | far.isNotNull())
         & F.col("IP").isNotNull()
         & F.col("userid").isNotNull()
     )

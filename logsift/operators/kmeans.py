@@ -13,6 +13,8 @@ from logsift.functions.vectors import literals, squared_distance
 from logsift.operators.scaling import Scaler, fit_scaler
 
 DEFAULT_SEED = 12345
+# Centroids that move less than this end a run.
+TOLERANCE = 1e-4
 
 
 @dataclass(frozen=True)
@@ -47,7 +49,7 @@ def kmeans(
     k: int = 2,
     normalize: bool = True,
     seed: int = DEFAULT_SEED,
-    restarts: int = 3,
+    restarts: int = 2,
     max_iter: int = 300,
 ) -> KMeansResult:
     """Fit k-means on the (standardised) columns; of ``restarts`` runs the cheapest is kept.
@@ -62,7 +64,7 @@ def kmeans(
     try:
         best = None
         for run in range(restarts):
-            fitted = KMeans(k=k, seed=seed + run, maxIter=max_iter, tol=1e-6).fit(vectors)
+            fitted = KMeans(k=k, seed=seed + run, maxIter=max_iter, tol=TOLERANCE).fit(vectors)
             if best is None or fitted.summary.trainingCost < best.summary.trainingCost:
                 best = fitted
         centers = [[float(v) for v in center] for center in best.clusterCenters()]

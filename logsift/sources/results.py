@@ -30,7 +30,7 @@ def save_results(
 ) -> None:
     """Write each named table under ``path/name`` and the options used under ``path/options``.
 
-    ``csv`` has a header and keeps empty strings apart from missing values.
+    ``csv`` has a header; a missing value is an empty field, an empty string a quoted one.
     """
     if not tables:
         return
@@ -44,6 +44,6 @@ def save_results(
     for name, table in named.items():
         if file_format == "csv":
             writer = flat_columns(table).write.mode(mode)
-            writer.option("header", True).option("emptyValue", '""').csv(f"{path}/{name}")
+            writer.option("header", True).csv(f"{path}/{name}")
         else:
             table.write.mode(mode).parquet(f"{path}/{name}")
