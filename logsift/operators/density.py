@@ -197,6 +197,7 @@ def _links(
     directed = [
         pairs.where(~F.col(f"{src}heavy") & keep).select(
             F.col(f"{src}key").alias("key"),
+            F.col(f"{src}n").alias("n"),
             F.col(f"{dst}heavy").alias("heavy"),
             *[F.col(f"{dst}{c}").alias(f"d_{c}") for c in fields],
         )
@@ -210,7 +211,7 @@ def _links(
         "key", F.col("id").alias("p"), *[F.col(x).alias(f"p{x}") for x in space.names]
     )
     reach = materialize(
-        start.join(directed[0].union(directed[1]), "key")
+        join_dealt(start, directed[0].union(directed[1]), ["key"], "n", hot_cells)
         .where(space.point_gap("px", "d_") <= space.limit)
         .select(
             "p", *[f"p{x}" for x in space.names], "d_key", "d_n", "d_node", "d_w", "heavy", whole.alias("whole")
@@ -229,16 +230,22 @@ def _links(
     return materialize(at_once.unionByName(one_by_one), "links")
 
 
-def _meeting(pairs: DataFrame, units: DataFrame, space: _Space) -> DataFrame:
+def _meeting(
+    pairs: DataFrame, units: DataFrame, space: _Space, hot_cells: DataFrame | None
+) -> DataFrame:
     """(u, v) of the pairs that have two points within eps, by comparing the points."""
     first = units.select(
         F.col("key").alias("a_key"), *[F.col(x).alias(f"p{x}") for x in space.names]
     )
     second = units.withColumnRenamed("key", "b_key")
+    hot_a, hot_b = (
+        None if hot_cells is None else hot_cells.withColumnRenamed("key", k) for k in ("a_key", "b_key")
+    )
+    beside_b = join_dealt(first, pairs, ["a_key"], "a_n", hot_a).where(
+        space.point_gap("px", "b_") <= space.limit
+    )
     return (
-        first.join(pairs, "a_key")
-        .where(space.point_gap("px", "b_") <= space.limit)
-        .join(second, "b_key")
+        join_dealt(second, beside_b, ["b_key"], "b_n", hot_b)
         .where(
             (space.point_gap("x", "a_") <= space.limit)
             & (space.points_apart("x", "px") <= space.limit)
@@ -248,8 +255,13 @@ def _meeting(pairs: DataFrame, units: DataFrame, space: _Space) -> DataFrame:
     )
 
 
-def _halves(units: DataFrame, boxes: DataFrame, space: _Space) -> DataFrame:
-    """Cut every box at the middle of its widest column; the bit goes to the end of the key."""
+def _halves(
+    units: DataFrame, boxes: DataFrame, space: _Space, hot_cells: DataFrame | None
+) -> DataFrame:
+    """Cut every box at the middle of its widest column; the bit goes to the end of the key.
+
+    ``hot_cells`` are the hot keys of ``units``, also those without a box.
+    """
     widths = F.array(*[F.col(f"hi{i}") - F.col(f"lo{i}") for i in range(space.d)])
     widest = F.array_position(widths, F.array_max(widths)).cast("int")
     lows = F.array(*[F.col(f"lo{i}") for i in range(space.d)])
@@ -261,12 +273,18 @@ def _halves(units: DataFrame, boxes: DataFrame, space: _Space) -> DataFrame:
     x = F.element_at(F.array(*space.names), F.col("_at"))
     middle = F.col("_low") + (F.col("_high") - F.col("_low")) / 2
     upper = (x > middle) | ((x == F.col("_high")) & (F.col("_low") < F.col("_high")))
-    return join_counted(units, cuts, ["key"], "n").select(
+    return join_dealt(units, cuts, ["key"], "n", hot_cells).select(
         F.concat("key", F.array(upper.cast("bigint"))).alias("key"), *space.names
     )
 
 
-def _touching(pairs: DataFrame, points: DataFrame, space: _Space, budget: int) -> DataFrame:
+def _touching(
+    pairs: DataFrame,
+    points: DataFrame,
+    space: _Space,
+    budget: int,
+    hot_cells: DataFrame | None,
+) -> DataFrame:
     """(u, v) of the undecided pairs of heavy cells that have two points within eps.
 
     Pairs of few points are compared directly. Larger ones are halved until the boxes
@@ -279,13 +297,15 @@ def _touching(pairs: DataFrame, points: DataFrame, space: _Space, budget: int) -
     units = points.select("key", *space.names)
     found = []
     while True:
-        found.append(_meeting(pending.where(cost <= budget), units, space))
+        found.append(_meeting(pending.where(cost <= budget), units, space, hot_cells))
         large = pending.where(cost > budget)
         if large.isEmpty():
             return reduce(DataFrame.union, found)
         boxes = [large.select(*[F.col(f"{s}{c}").alias(c) for c in box]) for s in ("a_", "b_")]
-        units = materialize(_halves(units, boxes[0].union(boxes[1]).distinct(), space), "halves")
-        parts = units.groupBy("key").agg(F.count("*").alias("n"), *space.boxes())
+        boxes = boxes[0].union(boxes[1]).distinct()
+        units = materialize(_halves(units, boxes, space, hot_cells), "halves")
+        parts = materialize(units.groupBy("key").agg(F.count("*").alias("n"), *space.boxes()), "parts")
+        hot_cells = None if hot_cells is None else hot_keys(parts, ["key"], "n")
         parent = F.slice("key", 1, F.size("key") - 1)
         finer = materialize(
             large.select("u", "v", F.col("a_key").alias("_pa"), F.col("b_key").alias("_pb"))
@@ -350,7 +370,7 @@ def _cluster_points(
     edges = (
         apart.where(decided)
         .select("u", "v")
-        .union(_touching(apart.where(~decided), points, space, budget))
+        .union(_touching(apart.where(~decided), points, space, budget, hot_cells))
         .union(from_core.where("heavy").select("p", "u"))
         .union(
             from_core.where(~F.col("heavy"))
@@ -368,11 +388,20 @@ def _cluster_points(
         members = members.join(numbered, "root")
 
     best = F.min(F.struct("root", "cluster")).alias("best")
+    reached = members.withColumnRenamed("id", "u")
+    if crowded:
+        times = links.groupBy("u").agg(F.count("*").alias("_rows"))
+        linked = join_counted(links, materialize(reached.join(times, "u"), "reached"), ["u"], "_rows")
+    else:
+        linked = links.join(reached, "u")
     light_root = (
-        links.join(members.withColumnRenamed("id", "u"), "u")
-        .groupBy("p")
+        linked.groupBy("p")
         .agg(best)
-        .select(F.col("p").alias("id"), F.col("best.root").alias("root"), F.col("best.cluster").alias("cluster"))
+        .select(
+            F.col("p").alias("id"),
+            F.col("best.root").alias("root"),
+            F.col("best.cluster").alias("cluster"),
+        )
     )
     is_core = light_core.withColumn("_core", F.lit(True))
     cell_root = (

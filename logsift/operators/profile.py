@@ -40,6 +40,7 @@ def _exact_quartiles(values: DataFrame) -> DataFrame:
     )
     totals = placed.groupBy("column", "_pid").agg(F.sum("n").alias("_n"))
     by_partition = Window.partitionBy("column").orderBy("_pid")
+    # one row per column and partition
     ahead = totals.select(
         "column",
         "_pid",
@@ -49,7 +50,7 @@ def _exact_quartiles(values: DataFrame) -> DataFrame:
         F.sum("_n").over(Window.partitionBy("column")).alias("_all"),
     )
     inside = Window.partitionBy("_pid", "column").orderBy("number")
-    ranked = placed.join(ahead, ["column", "_pid"]).withColumn(
+    ranked = placed.join(F.broadcast(ahead), ["column", "_pid"]).withColumn(
         "_upto", F.col("_ahead") + F.sum("n").over(inside)
     )
 

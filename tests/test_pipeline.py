@@ -89,7 +89,7 @@ def test_other_stages(spark):
     assert min(scores) == 0.0 and max(scores) == 1.0
     run = ls.LogPipeline("imapd_auth", "dbscan", "kmeans", "euclidean", reduce_options={"rtol": 0.01}).run(log)
     assert run.tables["DBSCAN_Samples"].agg(F.sum("weight")).head()[0] == run.tables["raw_data"].count()
-    assert run.tables["identified_anomalies"].columns[0] == "sample"
+    assert "sample" in run.tables["identified_anomalies"].columns
     doubled = ls.LogPipeline("imapd_auth", lambda t: t.select("line_no", (F.col("IP") * 2.0).alias("a"), (F.col("what") * 1.0).alias("b")), "kmeans").run(log)
     assert doubled.columns == ["a", "b"]
     with pytest.raises(ValueError):
