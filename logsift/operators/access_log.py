@@ -14,6 +14,8 @@ COMBINED = rf'^(\S+) (\S+) (\S+) \[([^\]]+)\] {_QUOTED} (\d{{3}}) (\d+|-) {_QUOT
 COMBINED_GROUPS = 9
 # Fixed value: the months as the server writes them.
 MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
+# Escape letters of the server and what they stand for.
+CONTROLS = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v"}
 
 TIME_COLUMNS = ["request_time", "year", "month", "day", "hour", "minute", "second"]
 BASE_COLUMNS = [
@@ -48,6 +50,21 @@ def _present(text: Column) -> Column:
     return F.nullif(text, F.lit("-"))
 
 
+def unescape(text: Column) -> Column:
+    """Undo the server's escapes: ``\\xHH`` is one Latin-1 character, ``\\n`` and the like are controls."""
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)(\\x[0-9A-Fa-f]{2}|\\.|[^\\]+)"), F.lit(1))
+
+    def plain(piece: Column) -> Column:
+        after = F.substring(piece, 2, 1)
+        done = F.when(~F.startswith(piece, F.lit("\\")), piece)
+        done = done.when(F.length(piece) == 4, F.char(F.conv(F.substring(piece, 3, 2), 16, 10).cast("int")))
+        for letter, control in CONTROLS.items():
+            done = done.when(after == letter, F.lit(control))
+        return done.otherwise(after)
+
+    return F.when(F.contains(text, F.lit("\\")), F.array_join(F.transform(pieces, plain), "")).otherwise(text)
+
+
 def parse_access(lines: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     """Columns of a COMBINED line; ``-`` becomes NULL, clock fields keep the line's own offset."""
     keep = [c for c in lines.columns if c != "value"]
@@ -74,11 +91,11 @@ def parse_access(lines: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
         clock(13, 2).alias("hour"),
         clock(16, 2).alias("minute"),
         clock(19, 2).alias("second"),
-        _present(token(F.col("_g"), 4)).alias("request"),
+        unescape(_present(token(F.col("_g"), 4))).alias("request"),
         token(F.col("_g"), 5).cast("int").alias("final_status"),
         _present(token(F.col("_g"), 6)).try_cast("bigint").alias("bytes_sent"),
-        _present(token(F.col("_g"), 7)).alias("referer"),
-        _present(token(F.col("_g"), 8)).alias("user_agent"),
+        unescape(_present(token(F.col("_g"), 7))).alias("referer"),
+        unescape(_present(token(F.col("_g"), 8))).alias("user_agent"),
         status_class(token(F.col("_g"), 5).cast("int")).alias("status"),
     )
     return handle_malformed(

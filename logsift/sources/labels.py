@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.sources.log_lines import read_log_lines
+from logsift.sources.log_lines import number_lines, unnumbered_lines
 
 
 def label_of(first: Column, second: Column) -> Column:
@@ -16,9 +16,8 @@ def label_of(first: Column, second: Column) -> Column:
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, label) of a label file; blank lines do not count as lines."""
-    lines = read_log_lines(spark, path, on_error="strict")
+    filled = unnumbered_lines(spark, path, "strict").where(F.trim("value") != "")
     fields = F.from_csv(F.col("value"), "c0 STRING, c1 STRING")
-    rows = lines.where(F.trim("value") != "")
-    return rows.select("line_no", fields.alias("f")).select(
+    return number_lines(filled).select("line_no", fields.alias("f")).select(
         "line_no", label_of(F.col("f.c0"), F.col("f.c1")).alias("label")
     )

@@ -47,17 +47,21 @@ def number_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_log_lines(spark: SparkSession, path: str | list[str], on_error: str = "replace") -> DataFrame:
-    """Lines of the files under ``path`` as (file, line_no, value).
-
-    ``on_error``: ``replace`` puts U+FFFD for bytes that are not UTF-8, ``strict`` fails.
-    """
+def unnumbered_lines(spark: SparkSession, path: str | list[str], on_error: str) -> DataFrame:
+    """(file, block, value) of the text files under ``path``."""
     if on_error not in ("replace", "strict"):
         raise ValueError(f"on_error must be 'replace' or 'strict', got {on_error!r}")
     decode = F.make_valid_utf8 if on_error == "replace" else F.validate_utf8
-    lines = spark.read.text(path).select(
+    return spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
-        "value",
+        decode("value").alias("value"),
     )
-    return number_lines(lines).withColumn("value", decode("value"))
+
+
+def read_log_lines(spark: SparkSession, path: str | list[str], on_error: str = "replace") -> DataFrame:
+    """Lines of the files under ``path`` as (file, line_no, value).
+
+    ``on_error``: ``replace`` puts U+FFFD for bytes that are not UTF-8, ``strict`` fails.
+    """
+    return number_lines(unnumbered_lines(spark, path, on_error))

@@ -23,11 +23,16 @@ def test_access_fields(spark):
     assert first["remote_host"] == "h" and first["bytes_sent"] is None and first["referer"] is None
     assert [first[c] for c in ("year", "month", "day", "hour", "minute", "second")] == [2024, 2, 29, 23, 5, 9]
     assert str(first["request_time"]) == "2024-03-01 01:35:09"
-    assert first["user_agent"] == r"a \"b\" c" and first["_corrupt"] is None
+    assert first["user_agent"] == 'a "b" c' and first["_corrupt"] is None
     assert [r["_corrupt"] for r in got[1:]] == ["broken line", ""]
     assert got[1]["remote_host"] is None
 
 
+def test_access_escapes(spark):
+    got = rows(ls.parse_access(lines(spark, access(agent=r"\x41\xe9\\x\t\q\x4", referer=r"\"-\""))))
+    assert got[0]["user_agent"] == "A\u00e9\\x\tqx4" and got[0]["referer"] == '"-"'
+
+
 def test_access_modes(spark):
     source = lines(spark, access(), "broken")
     assert ls.parse_access(source, "DROPMALFORMED").count() == 1
@@ -40,7 +45,7 @@ def test_access_modes(spark):
 def test_long_quoted_parts_need_no_stack(spark):
     long = "x" * 200_000 + r"\"" * 20_000
     got = rows(ls.parse_access(lines(spark, access(agent=long), access(agent=long)[:-1])))
-    assert len(got[0]["user_agent"]) == len(long) and got[1]["_corrupt"] is not None
+    assert len(got[0]["user_agent"]) == 220_000 and got[1]["_corrupt"] is not None
 
 
 def test_status_classes(spark):

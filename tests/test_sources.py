@@ -40,6 +40,7 @@ def test_invalid_bytes(spark, tmp_path):
     [
         ("0,0\n0,1\n1,0\n", [0, 1, 1]),
         ("0,0\nfoothold,0\n0,dirb\nescalate,webshell\n", [0, 1, 1, 1]),
+        ("0,0\n\n0,1\n   \n1,1,extra\n", [0, 1, 1]),
         (' 0 , 0\n"0","0"\n"a,b",0\n', [0, 0, 1]),
     ],
 )
@@ -47,7 +48,7 @@ def test_labels(spark, tmp_path, text, want):
     path = tmp_path / "labels.csv"
     path.write_text(text)
     got = ls.read_labels(spark, str(path)).orderBy("line_no").collect()
-    assert [r.label for r in got] == want
+    assert [(r.line_no, r.label) for r in got] == list(enumerate(want, 1))
 
 
 def test_save_results(spark, tmp_path):
