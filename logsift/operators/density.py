@@ -38,7 +38,7 @@ class _Space:
     d: int
     eps: float
     order: list[int]  # columns, most selective first
-    coarse: int  # leading columns of the coarse level
+    coarse: int  # leading columns of the coarse level, and columns halved at once
 
     @property
     def names(self) -> list[str]:
@@ -258,23 +258,34 @@ def _meeting(
 def _halves(
     units: DataFrame, boxes: DataFrame, space: _Space, hot_cells: DataFrame | None
 ) -> DataFrame:
-    """Cut every box at the middle of its widest column; the bit goes to the end of the key.
+    """Cut every box at the middle of its widest columns; the bits go to the end of the key.
 
     ``hot_cells`` are the hot keys of ``units``, also those without a box.
     """
-    widths = F.array(*[F.col(f"hi{i}") - F.col(f"lo{i}") for i in range(space.d)])
-    widest = F.array_position(widths, F.array_max(widths)).cast("int")
-    lows = F.array(*[F.col(f"lo{i}") for i in range(space.d)])
-    highs = F.array(*[F.col(f"hi{i}") for i in range(space.d)])
-    cuts = boxes.select(
-        "key", "n", widest.alias("_at"), F.element_at(lows, widest).alias("_low"), F.element_at(highs, widest).alias("_high")
+    by_width = F.sort_array(
+        F.array(
+            *[
+                F.struct(
+                    (F.col(f"hi{i}") - F.col(f"lo{i}")).alias("width"),
+                    F.lit(i).alias("at"),
+                    F.col(f"lo{i}").alias("low"),
+                    F.col(f"hi{i}").alias("high"),
+                )
+                for i in range(space.d)
+            ]
+        ),
+        asc=False,
     )
-    cuts = materialize(cuts, "cuts")
-    x = F.element_at(F.array(*space.names), F.col("_at"))
-    middle = F.col("_low") + (F.col("_high") - F.col("_low")) / 2
-    upper = (x > middle) | ((x == F.col("_high")) & (F.col("_low") < F.col("_high")))
+    cuts = boxes.select("key", "n", F.slice(by_width, 1, space.coarse).alias("cuts"))
+    cells = F.array(*space.names)
+
+    def upper(cut: Column) -> Column:
+        x = F.get(cells, cut["at"])
+        middle = cut["low"] + cut["width"] / 2
+        return ((x > middle) | ((x == cut["high"]) & (cut["low"] < cut["high"]))).cast("bigint")
+
     return join_dealt(units, cuts, ["key"], "n", hot_cells).select(
-        F.concat("key", F.array(upper.cast("bigint"))).alias("key"), *space.names
+        F.concat("key", F.transform("cuts", upper)).alias("key"), *space.names
     )
 
 
@@ -306,7 +317,7 @@ def _touching(
         units = materialize(_halves(units, boxes, space, hot_cells), "halves")
         parts = materialize(units.groupBy("key").agg(F.count("*").alias("n"), *space.boxes()), "parts")
         hot_cells = None if hot_cells is None else hot_keys(parts, ["key"], "n")
-        parent = F.slice("key", 1, F.size("key") - 1)
+        parent = F.slice("key", 1, F.size("key") - space.coarse)
         finer = materialize(
             large.select("u", "v", F.col("a_key").alias("_pa"), F.col("b_key").alias("_pb"))
             .join(_prefixed(parts, "a_", parent.alias("_pa")), "_pa")
