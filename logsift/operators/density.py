@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsift import scratch
-from logsift.functions.vectors import total
 from logsift.operators.components import connected_components
 from logsift.operators.near_duplicates import combine_near_duplicates
 from logsift.operators.scaling import standardize
@@ -72,55 +71,44 @@ class _Space:
     def box_names(self) -> list[str]:
         return [f"lo{i}" for i in range(self.d)] + [f"hi{i}" for i in range(self.d)]
 
+    # The distances are written as SQL text: one call builds the whole expression.
     def box_gap(self, a: str, b: str) -> Column:
         """Smallest squared distance between two boxes, given by their column prefixes."""
-        return self._squares(
-            lambda i: F.greatest(
-                F.col(f"{a}lo{i}") - F.col(f"{b}hi{i}"),
-                F.col(f"{b}lo{i}") - F.col(f"{a}hi{i}"),
-                F.lit(0.0),
-            )
+        return _squares(
+            [f"greatest({a}lo{i} - {b}hi{i}, {b}lo{i} - {a}hi{i}, 0D)" for i in range(self.d)]
         )
 
     def box_span(self, a: str, b: str) -> Column:
         """Largest squared distance between two boxes."""
-        return self._squares(
-            lambda i: F.greatest(
-                F.col(f"{a}hi{i}") - F.col(f"{b}lo{i}"), F.col(f"{b}hi{i}") - F.col(f"{a}lo{i}")
-            )
+        return _squares(
+            [f"greatest({a}hi{i} - {b}lo{i}, {b}hi{i} - {a}lo{i})" for i in range(self.d)]
         )
 
     def point_gap(self, point: str, box: str) -> Column:
         """Smallest squared distance between a point and a box."""
-        return self._squares(
-            lambda i: F.greatest(
-                F.col(f"{box}lo{i}") - F.col(f"{point}{i}"),
-                F.col(f"{point}{i}") - F.col(f"{box}hi{i}"),
-                F.lit(0.0),
-            )
+        return _squares(
+            [f"greatest({box}lo{i} - {point}{i}, {point}{i} - {box}hi{i}, 0D)" for i in range(self.d)]
         )
 
     def point_span(self, point: str, box: str) -> Column:
         """Largest squared distance between a point and a box."""
-        return self._squares(
-            lambda i: F.greatest(
-                F.col(f"{point}{i}") - F.col(f"{box}lo{i}"),
-                F.col(f"{box}hi{i}") - F.col(f"{point}{i}"),
-            )
+        return _squares(
+            [f"greatest({point}{i} - {box}lo{i}, {box}hi{i} - {point}{i})" for i in range(self.d)]
         )
 
     def points_apart(self, a: str, b: str) -> Column:
-        return self._squares(lambda i: F.col(f"{a}{i}") - F.col(f"{b}{i}"))
+        return _squares([f"{a}{i} - {b}{i}" for i in range(self.d)])
 
-    def _squares(self, gap) -> Column:
-        return total([gap(i) * gap(i) for i in range(self.d)])
+
+def _squares(gaps: list[str]) -> Column:
+    return F.expr(" + ".join(f"({gap}) * ({gap})" for gap in gaps))
 
 
 # Tables of pairs are flat (a_key, a_lo0, .., b_key, ..), and columns are renamed before a
 # distance filter, never after it: renaming above a filter, or taking fields out of a struct
 # below it, makes Catalyst derive exponentially many copies of the filter as constraints.
 def _prefixed(table: DataFrame, prefix: str, *extra: Column) -> DataFrame:
-    return table.select(*[F.col(c).alias(prefix + c) for c in table.columns], *extra)
+    return table.select(*[F.expr(f"{c} AS {prefix}{c}") for c in table.columns], *extra)
 
 
 def _plan_space(points: DataFrame, d: int, eps: float) -> _Space:
@@ -139,13 +127,11 @@ def _plan_space(points: DataFrame, d: int, eps: float) -> _Space:
 
 def _neighbour_keys(key: str, length: int) -> Column:
     """All 3^length coarse keys around a coarse key."""
-    numbers = [F.get(F.col(key), F.lit(i)) for i in range(length)]
-    return F.array(
-        *[
-            F.array(*[number + F.lit(step) for number, step in zip(numbers, steps)])
-            for steps in product((-1, 0, 1), repeat=length)
-        ]
-    )
+    keys = [
+        ", ".join(f"{key}[{i}] + {step}L" for i, step in enumerate(steps))
+        for steps in product((-1, 0, 1), repeat=length)
+    ]
+    return F.expr("array(" + ", ".join(f"array({k})" for k in keys) + ")")
 
 
 def _cell_pairs(cells: DataFrame, space: _Space) -> DataFrame:
@@ -350,8 +336,7 @@ def _cluster_points(
     points = materialize(distinct.withColumn("key", space.key()), "points")
     # every point of a heavy cell is core; the box check guards against rounding of the key
     heavy = (F.col("w") >= min_samples) & (
-        total([(F.col(f"hi{i}") - F.col(f"lo{i}")) * (F.col(f"hi{i}") - F.col(f"lo{i}")) for i in range(d)])
-        <= space.limit
+        _squares([f"hi{i} - lo{i}" for i in range(d)]) <= space.limit
     )
     cells = materialize(
         points.groupBy("key")
