@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logsift.checks.parsing import ACCESS_CTE, SPLITS_CTE, columns_of
+from logsift.checks.parsing import ACCESS_CTE
 from logsift.checks.views import DIMS, lines, matrix, rounded, table, view_sql
 from logsift.functions.fnv import fnv1_64_unit
 from logsift.operators.access_log import parse_access

@@ -200,7 +200,10 @@ def _links(
         join_dealt(start, directed[0].union(directed[1]), ["key"], "n", hot_cells)
         .where(space.point_gap("px", "d_") <= space.limit)
         .select(
-            "p", *[f"p{x}" for x in space.names], "d_key", "d_n", "d_node", "d_w", "heavy", whole.alias("whole")
+            "p",
+            *[f"p{x}" for x in space.names],
+            *["d_key", "d_n", "d_node", "d_w", "heavy"],
+            whole.alias("whole"),
         ),
         "reach",
     )
@@ -318,7 +321,13 @@ def _touching(
 
 
 def _cluster_points(
-    table: DataFrame, columns: list[str], eps: float, min_samples: int, index: str, weight: str | None, budget: int
+    table: DataFrame,
+    columns: list[str],
+    eps: float,
+    min_samples: int,
+    index: str,
+    weight: str | None,
+    budget: int,
 ) -> DataFrame:
     """Distinct points (x0.., rows, core, root, cluster); root NULL for noise.
 
@@ -413,7 +422,11 @@ def _cluster_points(
     )
     placed = join_dealt(points, cell_root, ["key"], "n", hot_cells)
     inside = placed.where("heavy").select(
-        *space.names, "rows", F.lit(True).alias("core"), F.col("_root").alias("root"), F.col("_cluster").alias("cluster")
+        *space.names,
+        "rows",
+        F.lit(True).alias("core"),
+        F.col("_root").alias("root"),
+        F.col("_cluster").alias("cluster"),
     )
     outside = (
         placed.where(~F.col("heavy"))

@@ -94,7 +94,8 @@ def profile(table: DataFrame, columns: list[str] | None = None, exact: bool = Tr
             F.approx_count_distinct("text").alias("_texts"),
             quartiles.alias("_q"),
         )
-        top = _top_values(long.where("text IS NOT NULL").groupBy("column", "text").agg(F.count("*").alias("n")))
+        texts = long.where("text IS NOT NULL").groupBy("column", "text")
+        top = _top_values(texts.agg(F.count("*").alias("n")))
         joined = basic.join(top.drop("unique"), "column", "left").withColumn(
             "unique", F.when(F.col("_texts") > 0, F.col("_texts"))
         )

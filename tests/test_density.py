@@ -20,11 +20,13 @@ def labels_of(df):
     return {r.line_no: (r.label, r.is_core) for r in df.select("line_no", "label", "is_core").collect()}
 
 
-def check(spark, x, eps, ms, **options):
+def check(spark, x, eps, ms, both=True, **options):
     df, cols = frame(spark, x)
     want_db, want_op, core = brute.density(x, eps, ms)
     got = labels_of(dbscan(df, cols, eps, ms, normalize=False, **options))
     assert [got[i] for i in range(len(x))] == list(zip(want_db, core))
+    if not both:
+        return
     got = labels_of(optics(df, cols, eps, ms, normalize=False, **options))
     assert [got[i] for i in range(len(x))] == list(zip(want_op, core))
 
@@ -53,7 +55,8 @@ def cloud(seed, n, d, grid=None, copies=0):
     ],
 )
 def test_same_as_sequential(spark, seed, n, d, eps, ms, grid, copies):
-    check(spark, cloud(seed, n, d, grid, copies), eps, ms)
+    # the border rules differ on plain clouds and on copies; elsewhere one of them is enough
+    check(spark, cloud(seed, n, d, grid, copies), eps, ms, both=seed in (1, 2))
 
 
 def test_large_cells_are_halved(spark):
@@ -64,12 +67,12 @@ def test_large_cells_are_halved(spark):
     c = rng.uniform(0, 0.6, (150, 2)) + [5.0, 5.0]
     d = rng.uniform(0, 0.3, (150, 2)) + [6.5, 6.5]
     x = np.vstack([a, b, c, d])
-    check(spark, x[rng.permutation(len(x))], 1.0, 5, budget=40)
+    check(spark, x[rng.permutation(len(x))], 1.0, 5, both=False, budget=40)
 
 
 def test_hot_keys_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(scratch, "HOT_KEY_ROWS", 5)
-    check(spark, cloud(8, 250, 2, 0.1, 80), 0.3, 6)
+    check(spark, cloud(8, 250, 2, 0.1, 80), 0.3, 6, both=False)
 
 
 def test_weights_from_combining(spark):
@@ -83,8 +86,7 @@ def test_weights_from_combining(spark):
     assert [(r.label, r.is_core) for r in got] == list(zip(want, core))
 
 
-@pytest.mark.parametrize("walk_rows", [1_000, 37, 9])
-@pytest.mark.parametrize("rtol", [0.001, 0.08, 0.6])
+@pytest.mark.parametrize("walk_rows,rtol", [(1_000, 0.08), (37, 0.001), (37, 0.6), (9, 0.08), (9, 0.6)])
 def test_combining_is_the_sequential_walk(spark, walk_rows, rtol):
     x = cloud(10, 240, 2, 0.05, 40)
     df, cols = frame(spark, x, 5)

@@ -50,7 +50,7 @@ def test_scan_reads_only_needed_columns(spark):
     assert "label" not in schema and "vec_id" in schema
 
 
-@pytest.mark.parametrize("name", ["tsvd", "profile", "dbscan", "combine_near_duplicates", "orient_labels_cosine"])
+@pytest.mark.parametrize("name", ["tsvd", "dbscan", "combine_near_duplicates", "orient_labels_cosine"])
 def test_results_do_not_depend_on_partitions(spark, monkeypatch, name):
     from logsift.checks import analysis
 
