@@ -74,6 +74,8 @@ def parse_access(lines: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     cut = lines.withColumn("_c", F.split(F.regexp_replace("value", COMBINED, groups), "\n"))
     single = ~F.contains(F.col("value"), F.lit("\n"))
     cut = cut.withColumn("_g", F.when((F.size("_c") == COMBINED_GROUPS) & single, F.col("_c")))
+    quoted = {"_request": 4, "_referer": 7, "_user_agent": 8}
+    cut = cut.withColumns({name: _present(token(F.col("_g"), i)) for name, i in quoted.items()})
     when = token(F.col("_g"), 3)
     month = F.instr(F.lit(MONTHS), F.substring(when, 4, 3))
 
@@ -91,11 +93,11 @@ def parse_access(lines: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
         clock(13, 2).alias("hour"),
         clock(16, 2).alias("minute"),
         clock(19, 2).alias("second"),
-        unescape(_present(token(F.col("_g"), 4))).alias("request"),
+        unescape(F.col("_request")).alias("request"),
         token(F.col("_g"), 5).cast("int").alias("final_status"),
         _present(token(F.col("_g"), 6)).try_cast("bigint").alias("bytes_sent"),
-        unescape(_present(token(F.col("_g"), 7))).alias("referer"),
-        unescape(_present(token(F.col("_g"), 8))).alias("user_agent"),
+        unescape(F.col("_referer")).alias("referer"),
+        unescape(F.col("_user_agent")).alias("user_agent"),
         status_class(token(F.col("_g"), 5).cast("int")).alias("status"),
     )
     return handle_malformed(
