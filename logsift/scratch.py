@@ -78,25 +78,36 @@ def number_rows(df: DataFrame, order: list[str], name: str, first: int = 0) -> D
     )
 
 
-def hot_keys(counts: DataFrame, keys: list[str], rows: str) -> DataFrame | None:
-    """Keys of the written table ``counts`` with more than HOT_KEY_ROWS rows, or None.
+def hot_keys(
+    counts: DataFrame, keys: list[str], rows: str, limit: int | None = None
+) -> DataFrame | None:
+    """Keys of the written table ``counts`` with more than ``limit`` rows, or None.
+
+    ``limit`` is HOT_KEY_ROWS unless given (less where the rows are wide).
 
     The result has the keys and ``_copies``, the number of tasks to deal their rows to;
     it is marked for broadcast only after its size has been looked up.
     """
-    hot = counts.where(F.col(rows) > HOT_KEY_ROWS).select(*keys, _copies(rows).alias("_copies"))
+    limit = limit or HOT_KEY_ROWS
+    copies = _copies(rows, limit).alias("_copies")
+    hot = counts.where(F.col(rows) > limit).select(*keys, copies)
     found = hot.limit(BROADCAST_ROWS + 1).count()
     if found == 0:
         return None
     return F.broadcast(hot) if found <= BROADCAST_ROWS else hot
 
 
-def _copies(rows: str) -> Column:
-    return F.greatest(F.ceil(F.col(rows) / F.lit(HOT_KEY_ROWS)), F.lit(1)).cast("bigint")
+def _copies(rows: str, limit: int) -> Column:
+    return F.greatest(F.ceil(F.col(rows) / F.lit(limit)), F.lit(1)).cast("bigint")
 
 
 def join_dealt(
-    left: DataFrame, right: DataFrame, keys: list[str], rows: str, hot: DataFrame | None
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    rows: str,
+    hot: DataFrame | None,
+    limit: int | None = None,
 ) -> DataFrame:
     """Inner equi-join in which the left rows of a hot key are dealt out over several tasks.
 
@@ -112,10 +123,14 @@ def join_dealt(
         .drop("_copies")
     )
     start = F.lit(0).cast("bigint")
-    spread = right.withColumn("_copy", F.explode(F.sequence(start, _copies(rows) - F.lit(1))))
+    last = _copies(rows, limit or HOT_KEY_ROWS) - F.lit(1)
+    spread = right.withColumn("_copy", F.explode(F.sequence(start, last)))
     return dealt.join(spread, [*keys, "_copy"]).drop("_copy")
 
 
-def join_counted(left: DataFrame, right: DataFrame, keys: list[str], rows: str) -> DataFrame:
+def join_counted(
+    left: DataFrame, right: DataFrame, keys: list[str], rows: str, limit: int | None = None
+) -> DataFrame:
     """``join_dealt`` to a written table, with the hot keys looked up in it."""
-    return join_dealt(left, right, keys, rows, hot_keys(right, keys, rows)).drop(rows)
+    hot = hot_keys(right, keys, rows, limit)
+    return join_dealt(left, right, keys, rows, hot, limit).drop(rows)
