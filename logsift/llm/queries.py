@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logsift.llm.common import table
+from logsift.llm.decontam import contamination
 from logsift.llm.near_dedup import near_duplicates
 
 
@@ -12,8 +14,15 @@ def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.withColumn("items_sha256", digest).drop("items")
+
+
 QUERIES = {
     "op7_superminhash": op7_superminhash,
+    "op10_positional_index": op10_positional_index,
 }
 
 ORACLES: dict[str, str] = {}
