@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.llm.common import table
 from logsift.llm.decontam import contamination
 from logsift.llm.near_dedup import near_duplicates
+from logsift.llm.packing import pack_documents
+from logsift.llm.token_files import read_token_files, write_token_files
+from logsift.scratch import scratch_path
+
+
+def op1_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "token_files")
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    write_token_files(table(spark, sf_dir, "documents"), folder, vocabulary, end_id=1)
+    return read_token_files(spark, folder)
+
+
+def op3_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary, end_id=0).drop("ids")
 
 
 def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +37,8 @@ def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simple8b": op1_simple8b,
+    "op3_min_bin_slack": op3_min_bin_slack,
     "op7_superminhash": op7_superminhash,
     "op10_positional_index": op10_positional_index,
 }
