@@ -10,6 +10,7 @@ from logsift.llm.common import table
 from logsift.llm.decontam import contamination
 from logsift.llm.near_dedup import near_duplicates
 from logsift.llm.packing import pack_documents
+from logsift.llm.secrets import BASE, find_secrets, kind_count, span_text
 from logsift.llm.token_files import read_token_files, write_token_files
 from logsift.scratch import scratch_path
 
@@ -26,6 +27,16 @@ def op3_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary, end_id=0).drop("ids")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[kind_count("spans", kind).alias(f"n_{kind}") for kind in BASE],
+        F.sha2(span_text("spans", BASE).cast("binary"), 256).alias("base_sha256"),
+        span_text("spans").alias("spans"),
+    )
+
+
 def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,6 +50,7 @@ def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simple8b": op1_simple8b,
     "op3_min_bin_slack": op3_min_bin_slack,
+    "op5_secret_scan": op5_secret_scan,
     "op7_superminhash": op7_superminhash,
     "op10_positional_index": op10_positional_index,
 }
