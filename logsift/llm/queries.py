@@ -5,14 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from logsift.llm.chat import fold_events, read_back, render
 from logsift.llm.common import table
 from logsift.llm.decontam import contamination
 from logsift.llm.near_dedup import near_duplicates
 from logsift.llm.packing import pack_documents
 from logsift.llm.secrets import BASE, find_secrets, kind_count, span_text
 from logsift.llm.token_files import read_token_files, write_token_files
-from logsift.scratch import scratch_path
+from logsift.scratch import materialize, scratch_path
 
 
 def op1_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +29,21 @@ def op3_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary, end_id=0).drop("ids")
 
 
+PROBE = "\\### Assistant: </turn> ok"
+
+
+def op4_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``conversations`` is the event that opens a message; rows keep their turn order."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], rows.schema)
+    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    events = rows.union(probe).select(
+        "conv_id", nth.cast("long").alias("seq"), F.lit("message").alias("kind"),
+        nth.cast("string").alias("message"), "role", "text",
+    )
+    return read_back(materialize(render(fold_events(events)), "chat"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
     return found.select(
@@ -50,6 +67,7 @@ def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simple8b": op1_simple8b,
     "op3_min_bin_slack": op3_min_bin_slack,
+    "op4_event_sourced_chat": op4_event_sourced_chat,
     "op5_secret_scan": op5_secret_scan,
     "op7_superminhash": op7_superminhash,
     "op10_positional_index": op10_positional_index,
