@@ -12,6 +12,7 @@ from logsift.llm.common import table
 from logsift.llm.decontam import contamination
 from logsift.llm.near_dedup import near_duplicates
 from logsift.llm.packing import pack_documents
+from logsift.llm.quality import judged
 from logsift.llm.secrets import BASE, find_secrets, kind_count, span_text
 from logsift.llm.token_files import read_token_files, write_token_files
 from logsift.scratch import materialize, scratch_path
@@ -24,6 +25,13 @@ def op1_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder)
 
 
+def op2_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "votes", "quality",
+    )
+
+
 def op3_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary, end_id=0).drop("ids")
@@ -66,6 +74,7 @@ def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simple8b": op1_simple8b,
+    "op2_weak_supervision": op2_weak_supervision,
     "op3_min_bin_slack": op3_min_bin_slack,
     "op4_event_sourced_chat": op4_event_sourced_chat,
     "op5_secret_scan": op5_secret_scan,
