@@ -7,7 +7,8 @@ shingle draws a random permutation of the slots, its rank there plus a fraction
 slot, and the draws stop as soon as no later rank can win. Equal bands of a signature make a
 bucket, in which each class meets the bucket's representative; pairs are confirmed on the full
 shingle sets, and confirmed links are united. Members of a bucket that are still in different
-groups are then compared with each other in blocks, so no link inside a bucket is lost.
+groups are then compared with each other in blocks that report only links which join two groups,
+so no link inside a bucket is lost and what is written stays in proportion to the members.
 
 Defined results: a null or blank text has no shingle, is its own group and is linked to nothing;
 repeated rows and exact copies share a group; an empty table gives an empty table.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from logsift.llm.common import GOLDEN, WordHashes, lower_words, mixed, pieces, rolled, signed, text_bytes
 from logsift.operators.components import connected_components
-from logsift.scratch import hot_keys, join_dealt, materialize
+from logsift.scratch import discard, hot_keys, join_dealt, materialize
 
 SHINGLE = 5
 THRESHOLD = 85
@@ -33,8 +34,8 @@ BANDS, SLOTS = 32, 5
 # A pair is looked at in full if this share of the slots agrees: five standard deviations
 # (0.028 for independent slots, less for SuperMinHash) below the threshold.
 LEAST_AGREEMENT = 0.70
-# Most members of a bucket compared in one block, and most pairs of one key in one task.
-BLOCK = 1024
+# Members of a bucket on either side of a block, and most pairs of one key in one task.
+BLOCK = 256
 HOT_PAIRS = 1000
 
 
@@ -110,7 +111,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, slots:
                 keys = parts[:, :, 0].copy()
                 for i in range(1, slots):
                     keys = keys * GOLDEN + parts[:, :, i]
-                keys = mixed(keys)
+                keys = mixed(keys + np.arange(bands, dtype=np.uint64))
             offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, bands, 0))]).astype(np.int32)
             bytes_of = fine.astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
@@ -185,36 +186,128 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) ->
     return joined.select("u", "v", "text_u", "text_v").mapInArrow(rows, "u long, v long")
 
 
-def _apart(threshold: int):
-    """Pairs of one block in different groups whose sizes and sketches allow a link."""
+def _candidates(group: pa.Table, threshold: int) -> np.ndarray:
+    """Members of a block with a partner in another group that sizes and sketches allow.
 
+    Of the buckets that two members share only the first one counts.
+    """
+    roots, sizes, chunk = (group.column(c).to_numpy() for c in ("root", "n", "chunk"))
+    sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(roots), -1)
+    bands = np.array(group.column("bands").to_pylist(), np.int64)
+    here = bands[0] == group.column("key")[0].as_py()
+    earlier = bands[:, : int(np.flatnonzero(here)[0])]
+    first, second = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    involved = np.zeros(len(roots), bool)
+    for x in np.flatnonzero(chunk == second):
+        other = np.flatnonzero((chunk == first) & (roots != roots[x]))
+        small, large = np.minimum(sizes[other], sizes[x]), np.maximum(sizes[other], sizes[x])
+        other = other[100 * small >= threshold * large]
+        other = other[(sketch[other] == sketch[x]).mean(axis=1) >= LEAST_AGREEMENT]
+        other = other[~(earlier[other] == earlier[x]).any(axis=1)]
+        if len(other):
+            involved[x] = True
+            involved[other] = True
+    return involved
+
+
+def _involved(threshold: int):
     def block(group: pa.Table) -> pa.Table:
-        group = group.sort_by("id")
-        ids, roots, sizes, chunk = (
-            group.column(c).to_numpy() for c in ("id", "root", "n", "chunk")
-        )
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
-        first, second = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        us, vs = [], []
-        for x in range(len(ids)):
-            if first == second:
-                other = np.arange(x + 1, len(ids))
-            elif chunk[x] == first:
-                other = np.flatnonzero(chunk == second)
-            else:
-                continue
-            other = other[roots[other] != roots[x]]
-            small, large = np.minimum(sizes[other], sizes[x]), np.maximum(sizes[other], sizes[x])
-            other = other[100 * small >= threshold * large]
-            other = other[(sketch[other] == sketch[x]).mean(axis=1) >= LEAST_AGREEMENT]
-            us.append(np.minimum(ids[x], ids[other]))
-            vs.append(np.maximum(ids[x], ids[other]))
-        empty = [np.empty(0, np.int64)]
-        return pa.table({"u": np.concatenate(us or empty), "v": np.concatenate(vs or empty)})
+        keep = _candidates(group, threshold)
+        return group.select(["key", "i", "j", "id", "root"]).filter(pa.array(keep))
 
     return block
 
 
+def _joining(size: int, threshold: int):
+    """Links (u, v) of a block, one for each two groups that it joins."""
+
+    def block(group: pa.Table) -> pa.Table:
+        hashes, parent = WordHashes(), {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        ids, roots = group.column("id").to_pylist(), group.column("root").to_pylist()
+        sets = [shingle_set(t, hashes, size) for t in group.column("text").to_pylist()]
+        sizes = np.array([len(s) for s in sets])
+        _, local = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.cumsum(sizes) - sizes
+        marked = np.zeros(int(local.max()) + 1, bool)
+        common = max(set(roots), key=roots.count)
+        links = []
+        # Two members of the most common group need no look, so the loop is over the others.
+        for x in (k for k, root in enumerate(roots) if root != common):
+            if len({find(r) for r in roots}) == 1:
+                break
+            mine = local[starts[x] : starts[x] + sizes[x]]
+            marked[mine] = True
+            both = np.add.reduceat(marked[local], starts, dtype=np.int64)
+            marked[mine] = False
+            for y in np.flatnonzero(100 * both >= threshold * (sizes + sizes[x] - both)):
+                a, b = find(roots[x]), find(roots[y])
+                if a != b:
+                    parent[a] = b
+                    links.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        us, vs = zip(*links, strict=True) if links else ([], [])
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return block
+
+
+def _left_open(met: DataFrame, groups: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
+    """Links between members of one bucket that are in different groups.
+
+    The head of a bucket has met everyone and takes no part. Members outside the largest group of
+    their bucket are dealt into chunks that meet each other and all chunks of the largest group.
+    """
+    members = materialize(
+        met.where("rows > 2 and id <> head")
+        .select("key", "id")
+        .join(groups, "id", "left")
+        .select("key", "id", F.coalesce("root", "id").alias("root")),
+        "open",
+    )
+    per_root = members.groupBy("key", "root").agg(F.count("*").alias("n"))
+    chunks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    split = (
+        per_root.groupBy("key")
+        .agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("roots"))
+        .where("roots > 1")
+        .select(
+            "key",
+            F.col("main.root").alias("main"),
+            chunks(F.col("main.n")).alias("mains"),
+            chunks(F.col("all") - F.col("main.n")).alias("others"),
+        )
+    )
+    is_main, draw = F.col("root") == F.col("main"), F.xxhash64("id")
+    chunk = F.when(is_main, F.pmod(draw, F.col("mains"))).otherwise(
+        F.col("mains") + F.pmod(draw, F.col("others"))
+    )
+    last = F.col("mains") + F.col("others") - F.lit(1)
+    partner = F.explode(F.sequence(F.when(is_main, F.col("mains")).otherwise(F.lit(0)), last))
+    dealt = (
+        members.join(split, "key")
+        .withColumn("chunk", chunk.cast("int"))
+        .withColumn("partner", partner)
+        .select("key", "id", "root", "chunk", F.least("chunk", "partner").alias("i"), F.greatest("chunk", "partner").alias("j"))
+    )
+    involved = materialize(
+        dealt.join(nodes, "id")
+        .groupBy("key", "i", "j")
+        .applyInArrow(_involved(threshold), "key long, i int, j int, id long, root long"),
+        "involved",
+    )
+    return materialize(
+        involved.join(texts, "id")
+        .groupBy("key", "i", "j")
+        .applyInArrow(_joining(size, threshold), "u long, v long"),
+        "links",
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     threshold: int = THRESHOLD,
@@ -227,68 +320,47 @@ def near_duplicates(
     The group is named by its smallest doc_id, which is the document kept.
     """
     sets = materialize(signatures(docs, size, bands, slots), "signed")
+    keys = ["low", "high", "n_shingles"]
     full = sets.where("n_shingles > 0")
     classes = materialize(
-        full.groupBy("low", "high", "n_shingles").agg(F.min("doc_id").alias("id"), F.count("*").alias("_rows")),
-        "classes",
+        full.groupBy(*keys).agg(F.min("doc_id").alias("id"), F.count("*").alias("_rows")), "classes"
     )
-    keys = ["low", "high", "n_shingles"]
     hot = hot_keys(classes, keys, "_rows")
+    blank = sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("id"))
     members = materialize(
-        join_dealt(full.select("doc_id", *keys), classes, keys, "_rows", hot).select("doc_id", "n_shingles", "id"),
+        join_dealt(full.select("doc_id", *keys), classes, keys, "_rows", hot)
+        .select("doc_id", "n_shingles", "id")
+        .union(blank),
         "members",
     )
-    # One row per class: repeated rows of the same doc_id have equal sets here.
+    # One row per class; repeated rows of one doc_id and set are the same class.
     nodes = materialize(
-        full.join(members.where("doc_id = id").select(F.col("id").alias("doc_id")).distinct(), "doc_id")
+        full.join(classes.select(F.col("id").alias("doc_id"), *keys), ["doc_id", *keys])
         .dropDuplicates(["doc_id"])
         .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sketch"),
         "nodes",
     )
+    discard(sets)
 
-    buckets = nodes.select("id", "n", F.posexplode("bands").alias("band", "key"))
-    heads = buckets.groupBy("band", "key").agg(
-        F.min(F.struct(F.xxhash64("id", "band").alias("h"), "id")).getField("id").alias("head"),
-        F.count("*").alias("rows"),
+    # The key numbers its band too. The head of a bucket is its smallest id in an order of the key's own.
+    buckets = nodes.select("id", F.explode("bands").alias("key"))
+    heads = buckets.groupBy("key").agg(
+        F.min(F.col("id").bitwiseXOR(F.col("key"))).alias("least"), F.count("*").alias("rows")
     )
-    met = materialize(buckets.join(heads.where("rows > 1"), ["band", "key"]), "buckets")
+    heads = heads.where("rows > 1").select("key", F.col("least").bitwiseXOR(F.col("key")).alias("head"), "rows")
+    met = materialize(buckets.join(heads, "key"), "buckets")
 
     texts = text_bytes(docs).select(F.col("doc_id").alias("id"), "text")
     texts = texts.dropDuplicates(["id"]) if _repeats(members) else texts
     stars = met.where("id <> head").select(F.least("id", "head").alias("u"), F.greatest("id", "head").alias("v"))
     links = _links(stars.distinct(), nodes, texts, size, threshold)
-    groups = _groups(links)
-
-    # What the representatives leave open: members of one bucket in different groups.
-    open_ones = (
-        met.where("rows > 2 and id <> head")
-        .join(groups, "id", "left")
-        .withColumn("root", F.coalesce("root", "id"))
-    )
-    spread = open_ones.groupBy("band", "key").agg(
-        F.min("root").alias("low"), F.max("root").alias("high")
-    )
-    rest = open_ones.join(spread.where("low <> high").select("band", "key"), ["band", "key"])
-    chunks = F.ceil(F.col("rows") / F.lit(BLOCK)).cast("int")
-    rest = rest.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int"))
-    dealt = rest.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - F.lit(1)))).select(
-        "band", "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"),
-        "id", "root", "chunk",
-    )
-    blocks = dealt.join(nodes.select("id", "n", "sketch"), "id")
-    across = (
-        blocks.groupBy("band", "key", "i", "j")
-        .applyInArrow(_apart(threshold), "u long, v long")
-        .distinct()
-    )
-    more = _links(across, nodes, texts, size, threshold)
-    groups = _groups(materialize(links.union(more), "links"))
-
-    roots = members.join(groups, "id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("root", "id").alias("component_id")
+    more = _left_open(met, _groups(links), nodes, texts, size, threshold)
+    groups = _groups(links.union(more))
+    return (
+        members.join(groups, "id", "left")
+        .select("doc_id", "n_shingles", F.coalesce("root", "id").alias("component_id"))
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
-    blank = sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return roots.union(blank).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _repeats(members: DataFrame) -> bool:
