@@ -15,6 +15,7 @@ from logsift.llm.packing import pack_documents
 from logsift.llm.quality import judged
 from logsift.llm.secrets import BASE, find_secrets, kind_count, span_text
 from logsift.llm.token_files import read_token_files, write_token_files
+from logsift.llm.url_filter import judged_urls
 from logsift.scratch import materialize, scratch_path
 
 
@@ -66,6 +67,10 @@ def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_boosted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged_urls(table(spark, sf_dir, "pages"))
+
+
 def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
@@ -79,6 +84,7 @@ QUERIES = {
     "op4_event_sourced_chat": op4_event_sourced_chat,
     "op5_secret_scan": op5_secret_scan,
     "op7_superminhash": op7_superminhash,
+    "op9_boosted_urls": op9_boosted_urls,
     "op10_positional_index": op10_positional_index,
 }
 
