@@ -57,7 +57,14 @@ def _selectors(ids: np.ndarray) -> np.ndarray:
     over = np.zeros(n + FIELDS[0] + 1, np.int32)
     for code in range(len(FIELDS) - 2, -1, -1):
         fields = FIELDS[code]
-        np.cumsum(ids >= (1 << (60 // fields)) - 1, out=over[1 : n + 1])
+        wide = ids >= (1 << (60 // fields)) - 1
+        # Three fields of 20 bits cost 8 / 3 bytes per id; only with this many narrow ids can more
+        # fields cost less.
+        least = fields // 3 + 2
+        narrow = np.flatnonzero(~wide)
+        if fields > 3 and not (narrow[least - 1 :] - narrow[: max(0, len(narrow) - least + 1)] < fields).any():
+            continue
+        np.cumsum(wide, out=over[1 : n + 1])
         over[n + 1 :] = over[n]
         spent = (over[fields : fields + n] - over[:n]).astype(np.float32)
         spent *= 4 / fields
