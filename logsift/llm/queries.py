@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from logsift.llm.chat import fold_events, read_back, render
 from logsift.llm.common import table
 from logsift.llm.decontam import contamination
+from logsift.llm.language import held_out, language_counts, predict_languages
 from logsift.llm.near_dedup import near_duplicates
 from logsift.llm.packing import pack_documents
 from logsift.llm.quality import judged
@@ -67,6 +68,13 @@ def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    counts = language_counts(docs.where(~held_out(5)))
+    found = predict_languages(docs, counts)
+    return found.select("doc_id", held_out(5).alias("held_out"), "lang_pred", "score", F.to_json("proportions").alias("mixture"))
+
+
 def op9_boosted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged_urls(table(spark, sf_dir, "pages"))
 
@@ -84,6 +92,7 @@ QUERIES = {
     "op4_event_sourced_chat": op4_event_sourced_chat,
     "op5_secret_scan": op5_secret_scan,
     "op7_superminhash": op7_superminhash,
+    "op8_language_mixture": op8_language_mixture,
     "op9_boosted_urls": op9_boosted_urls,
     "op10_positional_index": op10_positional_index,
 }
