@@ -15,6 +15,7 @@ from logsift.llm.near_dedup import near_duplicates
 from logsift.llm.packing import pack_documents
 from logsift.llm.quality import judged
 from logsift.llm.secrets import BASE, find_secrets, kind_count, span_text
+from logsift.llm.suffix_tree import scored
 from logsift.llm.token_files import read_token_files, write_token_files
 from logsift.llm.url_filter import judged_urls
 from logsift.scratch import materialize, scratch_path
@@ -64,6 +65,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return scored(docs.select("doc_id", "text", held_out(10).alias("held_out")))
+
+
 def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -91,6 +97,7 @@ QUERIES = {
     "op3_min_bin_slack": op3_min_bin_slack,
     "op4_event_sourced_chat": op4_event_sourced_chat,
     "op5_secret_scan": op5_secret_scan,
+    "op6_suffix_tree": op6_suffix_tree,
     "op7_superminhash": op7_superminhash,
     "op8_language_mixture": op8_language_mixture,
     "op9_boosted_urls": op9_boosted_urls,
