@@ -11,7 +11,8 @@ groups are then compared with each other in blocks that report only links which
 so no link inside a bucket is lost and what is written stays in proportion to the members.
 
 Defined results: a null or blank text has no shingle, is its own group and is linked to nothing;
-repeated rows and exact copies share a group; an empty table gives an empty table.
+repeated rows and exact copies share a group; a row without doc_id is a group of its own without
+a name; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,17 +87,18 @@ def superminhash(values: np.ndarray, owner: np.ndarray, n: int, slots: int) -> n
     return out
 
 
-SIGNED = "doc_id long, n_shingles long, low long, high long, bands array<long>, sketch binary"
+SIGNED = "row long, doc_id long, n_shingles long, low long, high long, bands array<long>, sketch binary"
 
 
 def signatures(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, slots: int = SLOTS) -> DataFrame:
-    """(doc_id, n_shingles, low, high, bands, sketch): set digest, band hashes, one byte per slot.
+    """(row, doc_id, n_shingles, low, high, bands, sketch) of every row of ``docs``.
 
-    A document without words has null bands.
+    ``row`` numbers the rows, ``low`` and ``high`` are a digest of the set, ``bands`` a hash per
+    band (null without words), ``sketch`` one byte per slot.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, width = WordHashes(), bands * slots
+        hashes, width, row = WordHashes(), bands * slots, TaskContext.get().partitionId() << 33
         for batch in pieces(batches, 4 << 20):
             with np.errstate(over="ignore"):
                 sets = [shingle_set(text, hashes, size) for text in batch.column(1).to_pylist()]
@@ -116,6 +119,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, slots:
             bytes_of = fine.astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [
+                    pa.array(np.arange(row, row + len(sets))),
                     batch.column(0).cast(pa.int64()),
                     pa.array(sizes, pa.int64()),
                     pa.array(signed(np.ascontiguousarray(digests[:, 0]))),
@@ -127,8 +131,9 @@ def signatures(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, slots:
                     ),
                     pa.array([row.tobytes() for row in bytes_of], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "low", "high", "bands", "sketch"],
+                names=["row", "doc_id", "n_shingles", "low", "high", "bands", "sketch"],
             )
+            row += len(sets)
 
     return text_bytes(docs).mapInArrow(rows, SIGNED)
 
@@ -154,7 +159,8 @@ def _sized(threshold: int):
 def _with_both(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
     """Pairs (u, v) with the columns of both ends as <name>_u and <name>_v.
 
-    Keys in many pairs are dealt out over several tasks by their number of pairs.
+    Keys in many pairs are dealt out over several tasks by their number of pairs. ``rows`` holds
+    ids that may occur in pairs, not all documents.
     """
     for end in ("u", "v"):
         counts = pairs.groupBy(end).agg(F.count("*").alias("_rows"))
@@ -321,25 +327,25 @@ def near_duplicates(
     """
     sets = materialize(signatures(docs, size, bands, slots), "signed")
     keys = ["low", "high", "n_shingles"]
-    full = sets.where("n_shingles > 0")
+    linkable = F.col("n_shingles") > 0
+    full = sets.where(linkable & F.col("doc_id").isNotNull())
     classes = materialize(
-        full.groupBy(*keys).agg(F.min("doc_id").alias("id"), F.count("*").alias("_rows")), "classes"
+        full.groupBy(*keys).agg(
+            F.min(F.struct(F.col("doc_id").alias("id"), "row")).alias("first"), F.count("*").alias("_rows")
+        ).select(*keys, "first.id", "first.row", "_rows"),
+        "classes",
     )
     hot = hot_keys(classes, keys, "_rows")
-    blank = sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("id"))
+    alone = sets.where(~linkable | F.col("doc_id").isNull())
     members = materialize(
-        join_dealt(full.select("doc_id", *keys), classes, keys, "_rows", hot)
+        join_dealt(full.select("doc_id", *keys), classes.drop("row"), keys, "_rows", hot)
         .select("doc_id", "n_shingles", "id")
-        .union(blank),
+        .union(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("id"))),
         "members",
     )
-    # One row per class; repeated rows of one doc_id and set are the same class.
-    nodes = materialize(
-        full.join(classes.select(F.col("id").alias("doc_id"), *keys), ["doc_id", *keys])
-        .dropDuplicates(["doc_id"])
-        .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sketch"),
-        "nodes",
-    )
+    # One row per class, the first of its smallest id.
+    nodes = full.join(classes.select("row", "id"), "row").select("id", F.col("n_shingles").alias("n"), "bands", "sketch")
+    nodes = materialize(nodes, "nodes")
     discard(sets)
 
     # The key numbers its band too. The head of a bucket is its smallest id in an order of the key's own.
@@ -350,11 +356,17 @@ def near_duplicates(
     heads = heads.where("rows > 1").select("key", F.col("least").bitwiseXOR(F.col("key")).alias("head"), "rows")
     met = materialize(buckets.join(heads, "key"), "buckets")
 
-    texts = text_bytes(docs).select(F.col("doc_id").alias("id"), "text")
-    texts = texts.dropDuplicates(["id"]) if _repeats(members) else texts
+    # From here on only classes that share a bucket matter. Their texts are picked out once; the
+    # number of such classes grows with the input, so they are joined and not broadcast.
+    ids = met.select("id").distinct()
+    near = materialize(nodes.join(ids.hint("merge"), "id"), "near")
+    discard(nodes)
+    texts = text_bytes(docs).select(F.col("doc_id").alias("id"), "text").join(ids.hint("merge"), "id")
+    texts = materialize(texts.dropDuplicates(["id"]) if _repeats(members) else texts, "texts")
+
     stars = met.where("id <> head").select(F.least("id", "head").alias("u"), F.greatest("id", "head").alias("v"))
-    links = _links(stars.distinct(), nodes, texts, size, threshold)
-    more = _left_open(met, _groups(links), nodes, texts, size, threshold)
+    links = _links(stars.distinct(), near, texts, size, threshold)
+    more = _left_open(met, _groups(links), near, texts, size, threshold)
     groups = _groups(links.union(more))
     return (
         members.join(groups, "id", "left")
@@ -364,8 +376,8 @@ def near_duplicates(
 
 
 def _repeats(members: DataFrame) -> bool:
-    """True if a doc_id has several rows (a broken key), which then count once as a text."""
-    return not members.groupBy("doc_id").count().where("count > 1").isEmpty()
+    """True if a doc_id has several rows, which then count once as a text."""
+    return not members.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty()
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
