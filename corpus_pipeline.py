@@ -1,27 +1,68 @@
 """Documents to packed sequences: each stage reads what its predecessor kept.
 
-Stages take (spark, docs, sf_dir); all but the last return the columns of documents.
+Stages take (spark, docs, sf_dir); all but the last return the columns of documents. Defined
+results: documents without an id are judged like others; where one of them is contaminated, all of
+them go; repeated rows go or stay together; an empty table passes through all stages.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logsift.llm.common import table
+from logsift.llm.decontam import contamination
+from logsift.llm.language import held_out, in_known_language, language_counts
 from logsift.llm.near_dedup import near_duplicates
+from logsift.llm.packing import pack_documents
+from logsift.llm.secrets import redacted
 from logsift.scratch import materialize
 
+# Least share of the text in its main language; below it, or without a letter, a document goes.
+LEAST_LANGUAGE = 0.3
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a language learned from the labelled ones."""
+    return in_known_language(docs, language_counts(docs.where(~held_out(5))), LEAST_LANGUAGE)
+
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-duplicate groups shrink to their first document."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """Keeps the first document of each near-duplicate group."""
+    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti")
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of a benchmark item."""
+    hit = contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
+    hit = hit.select(F.col("doc_id").alias("hit_id")).distinct()
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_id"]), "left_anti")
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps every document, its secrets replaced by a mark; n_chars follows the text."""
+    before = F.length("text")
+    clean = redacted(docs.withColumn("_chars", before))
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.col("n_chars") + F.coalesce(before - F.col("_chars"), F.lit(0)))
+    return clean.select(*docs.columns)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their sequence and place in it."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0).drop("ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", known_language),
     ("near_dedup", one_of_each_group),
+    ("decontaminate", uncontaminated),
+    ("secrets", without_secrets),
+    ("pack", packed_sequences),
 ]
 
 # Similarity groups, tokenizers and packing have no SQL; tests hold the run against plain versions.
