@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 # Words whose hash a Python worker remembers before it starts anew.
-CACHED_WORDS = 1 << 20
+CACHED_WORDS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,6 +33,8 @@ SHINGLE = 5
 THRESHOLD = 85
 # 32 bands of 5 slots: a pair at the threshold of 0.85 is missed with a chance below 1e-8.
 BANDS, SLOTS = 32, 5
+# Text whose shingles draw together; each may need a permutation of the slots of its own.
+PIECE_BYTES = 1 << 20
 # A pair is looked at in full if this share of the slots agrees: five standard deviations
 # (0.028 for independent slots, less for SuperMinHash) below the threshold.
 LEAST_AGREEMENT = 0.70
@@ -79,7 +81,8 @@ def superminhash(values: np.ndarray, owner: np.ndarray, n: int, slots: int) -> n
             if not stay.any():
                 break
             if rank == 0:
-                order = np.tile(np.arange(slots, dtype=np.uint16), (int(stay.sum()), 1))
+                kind = np.uint8 if slots <= 256 else np.uint16
+                order = np.tile(np.arange(slots, dtype=kind), (int(stay.sum()), 1))
                 order[np.arange(len(order)), pick[stay]] = 0
             elif not stay.all():
                 order = order[stay]
@@ -99,7 +102,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, slots:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, width, row = WordHashes(), bands * slots, TaskContext.get().partitionId() << 33
-        for batch in pieces(batches, 4 << 20):
+        for batch in pieces(batches, PIECE_BYTES):
             with np.errstate(over="ignore"):
                 sets = [shingle_set(text, hashes, size) for text in batch.column(1).to_pylist()]
                 sizes = np.array([len(s) for s in sets])
