@@ -29,7 +29,7 @@ from logsift.scratch import materialize
 
 WINDOW = 10
 # Text of a block in bytes; a longer document is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
 # Query words that one pass over the index takes along; more queries take more passes.
 PASS_WORDS = 1_000_000
 
@@ -78,6 +78,7 @@ def positional_index(docs: DataFrame, key: str = "doc_id") -> DataFrame:
                 schema=_INDEX_ARROW,
             )
             block += 1
+            del words, values, order, ranked
 
     return text_bytes(docs, key).mapInArrow(rows, INDEX)
 
@@ -181,7 +182,8 @@ def _search(index: DataFrame, items: list[tuple[int | None, bytes | None]], size
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):  # one block at a time in memory
+                row = {name: batch.column(k)[at].as_py() for k, name in enumerate(batch.schema.names)}
                 block, found = Block(row), {}
                 for length, (owners, terms) in queries.items():
                     places, counts = block.find(terms)

@@ -192,7 +192,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
                 {"shard": [shard], "file": [file], "n_ids": [size], "image": [image_of(names, held)]}
             )
 
-        for batch in pieces(batches, 8 << 20):
+        for batch in pieces(batches, 4 << 20):
             for name, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1)), strict=True):
                 names.append(name)
                 held.append(np.concatenate([ids, end]))
@@ -217,7 +217,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):  # one image at a time in memory
+                row = {name: batch.column(k)[at].as_py() for k, name in enumerate(batch.schema.names)}
                 names, lengths, ids = read_image(row["image"])
                 stops = np.cumsum(lengths)
                 starts = stops - lengths

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from logsift.llm.common import mixed
 
 # Chunks that a Python worker remembers before it starts anew.
-KNOWN_CHUNKS = 2_000_000
+KNOWN_CHUNKS = 1_500_000
 # Chunks encoded in one string.
 JOINED = 500
 _CUT = "\x01\x1e\x02"
