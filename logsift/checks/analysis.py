@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logsift.checks.parsing import ACCESS_CTE
+from logsift.checks.parsing import ACCESS_CTE, AUTH_CTE
 from logsift.checks.views import DIMS, lines, matrix, rounded, table, view_sql
 from logsift.functions.fnv import fnv1_64_unit
 from logsift.operators.access_log import parse_access
@@ -322,6 +322,44 @@ def distance_labels_query(spark, sf_dir):
     return orient_labels(labelled, "class").select("line_no", "label")
 
 
+# Standardised whole vectors are about 8 to 12 apart.
+WHOLE_EPS = 9.6
+
+
+def dbscan_whole_query(spark, sf_dir):
+    """All 64 values of the vectors."""
+    found = dbscan(matrix(spark, sf_dir).select("line_no", *E), E, WHOLE_EPS, MIN_SAMPLES)
+    return found.select("line_no", "label", "is_core")
+
+
+def optics_whole_query(spark, sf_dir):
+    found = optics(matrix(spark, sf_dir).select("line_no", *E), E, WHOLE_EPS, MIN_SAMPLES)
+    return found.select("line_no", "label", "is_core")
+
+
+def tsvd_row_energy_query(spark, sf_dir):
+    """All components together hold the squared length of every standardised row."""
+    source = matrix(spark, sf_dir).select("line_no", *E)
+    svd = tsvd(source, E, DIMS)
+    cells = F.array(*svd.reduced_columns)
+    energy = F.aggregate(cells, F.lit(0.0), lambda a, c: a + c * c)
+    return svd.transform(source).select("line_no", F.round(energy, 6).alias("energy"))
+
+
+def corrupt_lines_query(spark, sf_dir):
+    """Every seventh access line is broken on purpose; the run keeps them as a table."""
+    log = lines(spark, sf_dir, "access_lines")
+    broken = F.when(F.col("line_no") % 7 == 0, F.concat(F.lit("broken "), "value")).otherwise(F.col("value"))
+    run = LogPipeline("access", "tsvd").run(log.withColumn("value", broken))
+    return run.tables["corrupt_lines"].select("line_no", "value")
+
+
+def imapd_counts_query(spark, sf_dir):
+    """The counts per address and user as rows of a run, numbered in the order of the table."""
+    run = LogPipeline("imapd_counts", "tsvd").run(lines(spark, sf_dir, "imapd_lines"))
+    return run.tables["raw_data"].select("line_no", "login", "badlogin", "failed", "IP", "userid")
+
+
 QUERIES = {
     "fnv1_64_unit": page_hashes_query,
     "fnv1_64_unit_native": page_hashes_native_query,
@@ -364,6 +402,11 @@ QUERIES = {
     "log_pipeline": pipeline_query,
     "log_pipeline_reduced_log": reduced_log_query,
     "log_distance_labels": distance_labels_query,
+    "log_pipeline_corrupt_lines": corrupt_lines_query,
+    "dbscan_whole": dbscan_whole_query,
+    "optics_whole": optics_whole_query,
+    "tsvd_row_energy": tsvd_row_energy_query,
+    "imapd_counts_pipeline": imapd_counts_query,
 }
 
 
@@ -424,10 +467,11 @@ v AS (SELECT sqrt(l0) AS sv0, sqrt(l1) AS sv1, p0 * s0 AS p0, q0 * s0 AS q0, p1
 us AS (SELECT m.line_no, m.e0, m.e1, m.e0 * v.p0 + m.e1 * v.q0 AS c0, m.e0 * v.p1 + m.e1 * v.q1 AS c1 FROM {source} m, v)"""
 
 
-def density_sql(source_cte: str, eps: float, min_samples: int, label: str) -> str:
-    """Pairs, core rows, reachability, numbering and the border rule over table ``m(line_no, e0, e1, w)``."""
+def density_sql(source_cte: str, eps: float, min_samples: int, label: str, columns=PLANE) -> str:
+    """Pairs, core rows, reachability, numbering and the border rule over table ``m(line_no, .., w)``."""
+    gap = " + ".join(f"(x.{c} - y.{c}) * (x.{c} - y.{c})" for c in columns)
     return f"""WITH RECURSIVE {source_cte},
-p AS (SELECT x.line_no AS i, y.line_no AS j, y.w FROM m x JOIN m y ON (x.e0 - y.e0) * (x.e0 - y.e0) + (x.e1 - y.e1) * (x.e1 - y.e1) <= {eps!r}::DOUBLE * {eps!r}::DOUBLE),
+p AS (SELECT x.line_no AS i, y.line_no AS j, y.w FROM m x JOIN m y ON {gap} <= {eps!r}::DOUBLE * {eps!r}::DOUBLE),
 core AS (SELECT i FROM p GROUP BY i HAVING sum(w) >= {min_samples}),
 cp AS (SELECT i, j FROM p WHERE i IN (SELECT i FROM core) AND j IN (SELECT i FROM core)),
 reach(i, r) AS (SELECT i, i FROM core UNION SELECT cp.j, reach.r FROM reach JOIN cp ON cp.i = reach.i),
@@ -441,6 +485,7 @@ SELECT {label} FROM labelled"""
 
 DBSCAN_LABEL = "CAST(coalesce(core_k, border_k, -1) AS INTEGER) AS label, core_k IS NOT NULL AS is_core"
 OPTICS_LABEL = "CAST(coalesce(core_k, CASE WHEN start < line_no THEN border_k END, -1) AS INTEGER) AS label, core_k IS NOT NULL AS is_core"
+WHOLE_CTE = f"{M}, m AS (SELECT line_no, {', '.join(f'{z(c)} AS {c}' for c in E)}, 1 AS w FROM matrix)"
 PLANE_CTE = f"{M}, m AS (SELECT line_no, {z('e0')} AS e0, {z('e1')} AS e1, 1 AS w FROM matrix)"
 
 
@@ -503,6 +548,11 @@ SELECT line_no, CAST({FLIP} AS INTEGER) AS label FROM lab"""
 URL_HASH_SQL = f"SELECT page_id, round({fnv_sql('url')}, 6) AS url_hash FROM pages"
 
 ORACLES = {
+    "dbscan_whole": density_sql(WHOLE_CTE, WHOLE_EPS, MIN_SAMPLES, "line_no, " + DBSCAN_LABEL, E),
+    "optics_whole": density_sql(WHOLE_CTE, WHOLE_EPS, MIN_SAMPLES, "line_no, " + OPTICS_LABEL, E),
+    "tsvd_row_energy": f"WITH {Z_CTE} SELECT line_no, round({' + '.join(f'{c} * {c}' for c in E)}, 6) AS energy FROM z",
+    "log_pipeline_corrupt_lines": f"WITH {view_sql('access_lines')} SELECT line_no, 'broken ' || value AS value FROM access_lines WHERE line_no % 7 = 0",
+    "imapd_counts_pipeline": f"WITH {AUTH_CTE}, counts AS (SELECT count_if(what = 0)::BIGINT AS login, count_if(what = 1)::BIGINT AS badlogin, count_if(what = 2)::BIGINT AS failed, \"IP\", userid FROM auth GROUP BY \"IP\", userid) SELECT row_number() OVER (ORDER BY \"IP\"::VARCHAR, userid) AS line_no, login, badlogin, failed, \"IP\", userid FROM counts",
     "fnv1_64_unit": URL_HASH_SQL,
     "fnv1_64_unit_native": URL_HASH_SQL,
     "hash_encode": f"WITH {FEATURES_CTE} SELECT line_no, {', '.join(r6(c, c) for c in ACCESS_FEATURES)} FROM feats",

@@ -28,7 +28,7 @@ from logsift.plans.formats import widen
 from logsift.scratch import scratch_path
 from logsift.sources.labels import label_of, read_labels
 from logsift.sources.log_lines import read_log_lines
-from logsift.sources.results import save_results
+from logsift.sources.results import CSV_READ, save_results
 
 MODE = "DROPMALFORMED"
 
@@ -70,10 +70,10 @@ def save_results_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"log_format": "access"},
     )
     schema = "line_no BIGINT, request STRING, referer STRING, status DOUBLE"
-    back = spark.read.schema(schema).option("header", True).csv(f"{path}/raw_data")
+    back = spark.read.schema(schema).options(**CSV_READ).csv(f"{path}/raw_data")
     auth = (
         spark.read.schema("line_no BIGINT, what INT, IP BIGINT, userid STRING")
-        .option("header", True)
+        .options(**CSV_READ)
         .csv(f"{path}/auth")
     )
     return back.join(auth, "line_no", "left")

@@ -20,7 +20,7 @@ SELECT event_id AS line_no, concat('10.0.', user_id % 4, '.', user_id % 250, ' -
 
 ERROR_LINES = """
 SELECT event_id AS line_no, concat('[', ts_s, '] [core:error] [pid ', user_id, '] [client 10.0.', user_id % 4, '.', user_id % 250, ':', 1000 + event_id % 9000, '] AH', lpad(concat('', event_id % 300), 5, '0'), ': File does not exist: /srv/', event_id % 23, CASE WHEN event_id % 4 = 0 THEN concat(', referer: http://ref.example/', user_id % 9) ELSE '' END) AS value
-FROM (SELECT *, concat('Mon Jan ', lpad(concat('', day(ts)), 2, '0'), ' ', lpad(concat('', hour(ts)), 2, '0'), ':', lpad(concat('', minute(ts)), 2, '0'), ':00 ', year(ts)) AS ts_s FROM {events} WHERE event_type = 'error') e
+FROM (SELECT *, concat('Mon Jan ', lpad(concat('', day(ts)), 2, '0'), ' ', lpad(concat('', hour(ts)), 2, '0'), ':', lpad(concat('', minute(ts)), 2, '0'), ':00 ', year(ts)) AS ts_s FROM {events}) e
 """
 
 SYSLOG_LINES = """
@@ -61,7 +61,7 @@ LINES = {
 }
 TABLES = ["events", "labels", "embeddings", "pages"]
 
-DIMS = 4
+DIMS = 64  # all values of an embedding
 # The numeric matrix for DuckDB; ``matrix`` below builds the same one in Spark.
 MATRIX_SQL = (
     "SELECT vec_id AS line_no, "
@@ -81,7 +81,7 @@ def lines(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(line_no, e0..e3, label, status) from the embeddings."""
+    """(line_no, e0..e63, label, status) from the embeddings."""
     source = table(spark, sf_dir, "embeddings")
     cells = [F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(DIMS)]
     status = F.when(F.col("label") < 5, F.lit(0.2)).otherwise(F.lit(0.4)).alias("status")

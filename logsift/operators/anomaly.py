@@ -43,18 +43,18 @@ def cosine_to_centroids(table: DataFrame, columns: list[str], centroids) -> Data
     for i, centroid in enumerate(two_centroids(centroids, columns)):
         size = sum(v * v for v in centroid) ** 0.5
         unit = [v / size if size > 0 else 0.0 for v in centroid]
-        added[f"s{i}"] = F.when(length > 0, dot(points, literals(unit)) / length).otherwise(0.0)
+        added[f"s{i}"] = F.when(length > 0, dot(points, literals(unit)) / length).when(length == 0, 0.0)
     return table.withColumns(added)
 
 
 def classify_euclidean(table: DataFrame) -> DataFrame:
-    """0 if the first centroid is strictly nearer, else 1."""
-    return table.withColumn("label", F.when(F.col("d0") < F.col("d1"), 0).otherwise(1))
+    """0 if the first centroid is strictly nearer, else 1; NULL without a distance."""
+    return table.withColumn("label", F.when(F.col("d0") < F.col("d1"), 0).when(F.col("d0") >= F.col("d1"), 1))
 
 
 def classify_cosine(table: DataFrame) -> DataFrame:
-    """0 if the first centroid is strictly more similar, else 1."""
-    return table.withColumn("label", F.when(F.col("s0") > F.col("s1"), 0).otherwise(1))
+    """0 if the first centroid is strictly more similar, else 1; NULL without a similarity."""
+    return table.withColumn("label", F.when(F.col("s0") > F.col("s1"), 0).when(F.col("s0") <= F.col("s1"), 1))
 
 
 def labels_reversed(table: DataFrame, status: str = "status") -> DataFrame:

@@ -7,7 +7,8 @@ points. Neighbour pairs are therefore spelled out only from light cells; inside
 cell none are (Gunawan 2013; Gan and Tao 2015). Two heavy cells are linked by one pair of
 points, looked for in halves of halves when the cells are large. Boxes around the points
 decide most cases; because rounding is monotonic a box decision never contradicts the
-distances of its points.
+distances of its points. With more than three columns nearly all cells would be light, so
+there points of neighbouring cells are compared in blocks (``density_blocks``).
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ from pyspark.sql import functions as F
 
 from logsift import scratch
 from logsift.operators.components import connected_components
+from logsift.operators.density_blocks import cluster_by_blocks
 from logsift.operators.near_duplicates import combine_near_duplicates
 from logsift.operators.scaling import standardize
 from logsift.scratch import hot_keys, join_counted, join_dealt, materialize, number_rows
 
-# Columns per level of the grid; more would make too many neighbour cells at once.
+# Columns in which cells are cut; with more columns points are compared in blocks instead.
 LEVEL_COLUMNS = 3
 # Point pairs of two heavy cells that are compared directly; larger pairs are halved first.
 PAIR_BUDGET = 10_000
@@ -47,13 +49,6 @@ class _Space:
     def limit(self) -> Column:
         return F.lit(self.eps * self.eps)
 
-    def levels(self) -> list[int]:
-        """Lengths of the cell key at which cells are compared."""
-        cuts = [self.coarse]
-        for start in range(0, self.d, LEVEL_COLUMNS):
-            cuts.append(cuts[-1] + min(LEVEL_COLUMNS, self.d - start))
-        return cuts
-
     def key(self) -> Column:
         """Coarse cell numbers of the leading columns, then fine numbers of all columns."""
         coarse_width = self.eps * (1 + 1e-6)
@@ -137,38 +132,13 @@ def _neighbour_keys(key: str, length: int) -> Column:
 def _cell_pairs(cells: DataFrame, space: _Space) -> DataFrame:
     """Pairs a <= b of cells whose boxes come within eps, with prefixes ``a_`` and ``b_``.
 
-    Up to LEVEL_COLUMNS columns this is one equi-join on the coarse key. With more columns
-    coarse pairs are refined a few columns at a time, so a crowded coarse cell is split by
-    the next columns before its fine cells are ever compared.
+    One equi-join on the coarse key, whose cells are as wide as eps.
     """
-    cuts = space.levels()
-    direct = space.d <= LEVEL_COLUMNS
-    units = cells if direct else _prefix_cells(cells, space, cuts[0])
     around = F.explode(_neighbour_keys("key", space.coarse)).alias("_at")
-    left = _prefixed(units, "a_", around)
-    right = _prefixed(units, "b_", F.slice("key", 1, space.coarse).alias("_at"))
+    left = _prefixed(cells, "a_", around)
+    right = _prefixed(cells, "b_", F.slice("key", 1, space.coarse).alias("_at"))
     close = (F.col("a_key") <= F.col("b_key")) & (space.box_gap("a_", "b_") <= space.limit)
-    pairs = materialize(left.join(right, "_at").where(close).drop("_at"), "pairs")
-    for before, cut in zip(cuts, cuts[1:]) if not direct else ():
-        finer = cells if cut == cuts[-1] else _prefix_cells(cells, space, cut)
-        parent = F.slice("key", 1, before)
-        pairs = materialize(
-            pairs.select(F.col("a_key").alias("_pa"), F.col("b_key").alias("_pb"))
-            .join(_prefixed(finer, "a_", parent.alias("_pa")), "_pa")
-            .join(_prefixed(finer, "b_", parent.alias("_pb")), "_pb")
-            .where(close)
-            .drop("_pa", "_pb"),
-            "pairs",
-        )
-    return pairs
-
-
-def _prefix_cells(cells: DataFrame, space: _Space, length: int) -> DataFrame:
-    merged = [
-        *[F.min(f"lo{i}").alias(f"lo{i}") for i in range(space.d)],
-        *[F.max(f"hi{i}").alias(f"hi{i}") for i in range(space.d)],
-    ]
-    return cells.groupBy(F.slice("key", 1, length).alias("key")).agg(*merged)
+    return materialize(left.join(right, "_at").where(close).drop("_at"), "pairs")
 
 
 def _links(
@@ -341,6 +311,9 @@ def _cluster_points(
     )
     if d > LEVEL_COLUMNS:
         distinct = materialize(distinct, "distinct")
+        space = _plan_space(distinct, d, eps)
+        lead = [f"x{i}" for i in space.order[:LEVEL_COLUMNS]]
+        return cluster_by_blocks(distinct, space.names, lead, eps, min_samples)
     space = _plan_space(distinct, d, eps)
     points = materialize(distinct.withColumn("key", space.key()), "points")
     # every point of a heavy cell is core; the box check guards against rounding of the key
@@ -409,16 +382,13 @@ def _cluster_points(
         )
     )
     is_core = light_core.withColumn("_core", F.lit(True))
+    nothing = F.lit(None).cast("bigint")
     cell_root = (
-        cells.select("key", "n", F.when(F.col("heavy"), F.col("node")).alias("id"))
-        .join(members, "id", "left")
-        .select(
-            "key",
-            "n",
-            F.col("id").isNotNull().alias("heavy"),
-            F.col("root").alias("_root"),
-            F.col("cluster").alias("_cluster"),
-        )
+        cells.where("heavy")
+        .select("key", "n", F.col("node").alias("id"))
+        .join(members, "id")
+        .select("key", "n", F.lit(True).alias("heavy"), F.col("root").alias("_root"), F.col("cluster").alias("_cluster"))
+        .union(cells.where("not heavy").select("key", "n", F.lit(False), nothing, nothing))
     )
     placed = join_dealt(points, cell_root, ["key"], "n", hot_cells)
     inside = placed.where("heavy").select(

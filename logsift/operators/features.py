@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logsift.functions.fnv import DEFAULT_INIT, fnv1_64_unit
-from logsift.functions.text import token
+from logsift.functions.text import rest_from, token
 
 # Columns that identify a line; they pass through every operator unchanged.
 KEY_COLUMNS = ["file", "line_no"]
@@ -31,17 +31,21 @@ DROPPED = {
 
 
 def expand_tokens(
-    table: DataFrame, array_col: str, prefix: str, width: int | None = None
+    table: DataFrame, array_col: str, prefix: str, width: int | None = None, joint: str = " "
 ) -> DataFrame:
     """Array column to ``prefix_0 .. prefix_{w-1}``, short rows padded with NULL.
 
     Without ``width`` one aggregate finds the longest row; a streaming table needs it given.
+    The last column of a longer row holds all that is left, joined by ``joint``.
     """
     if width is None:
         width = table.agg(F.max(F.size(array_col))).head()[0] or 0
     others = [c for c in table.columns if c != array_col]
-    parts = [token(F.col(array_col), i).alias(f"{prefix}_{i}") for i in range(width)]
-    return table.select(*others, *parts)
+    parts = [token(F.col(array_col), i) for i in range(width)]
+    if width:
+        rest = F.array_join(rest_from(F.col(array_col), width - 1), joint)
+        parts[-1] = F.when(F.size(array_col) > width, rest).otherwise(parts[-1])
+    return table.select(*others, *[p.alias(f"{prefix}_{i}") for i, p in enumerate(parts)])
 
 
 def select_features(table: DataFrame, log_format: str) -> DataFrame:

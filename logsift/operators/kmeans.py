@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsift.functions.vectors import literals, squared_distance
-from logsift.operators.scaling import Scaler, fit_scaler
+from logsift.operators.scaling import Scaler, fit_scaler, require_filled
+from logsift.scratch import materialize
 
 DEFAULT_SEED = 12345
-# Centroids that move less than this end a run.
-TOLERANCE = 1e-4
+# Rows, chosen by the hash of their values, among which the first centroids are sought.
+START_ROWS = 2_000
+# Distinct rows for which a task is worth starting in every round.
+ROWS_PER_TASK = 100_000
+# Digits of a centroid that are kept, so that the order of a sum does not matter.
+DIGITS = 9
 
 
 @dataclass(frozen=True)
@@ -28,9 +34,7 @@ class KMeansResult:
 
     def nearest(self) -> Column:
         """Number of the nearest centroid as an expression over the scaled columns."""
-        x = [F.col(c).cast("double") for c in self.columns]
-        gaps = F.array(*[squared_distance(x, literals(c)) for c in self.centroids])
-        return (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int")
+        return _nearest(self.columns, self.centroids)
 
     def transform(self, table: DataFrame) -> DataFrame:
         """The (scaled) table with ``cluster``, in the space of the centroids."""
@@ -43,6 +47,30 @@ class KMeansResult:
         )
 
 
+def _nearest(columns: list[str], centroids: list[list[float]]) -> Column:
+    x = [F.col(c).cast("double") for c in columns]
+    gaps = F.array(*[squared_distance(x, literals(c)) for c in centroids])
+    return (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int")
+
+
+def _rounded(values) -> list[float]:
+    return [round(float(v), DIGITS) + 0.0 for v in values]
+
+
+def _first_centroids(rows: list[list[float]], k: int) -> list[list[float]]:
+    """Farthest-first choice among sorted rows: the one farthest from their mean, then the rest."""
+    mean = [sum(r[i] for r in rows) / len(rows) for i in range(len(rows[0]))]
+    gap = lambda a, b: sum((x - y) * (x - y) for x, y in zip(a, b))
+    chosen: list[list[float]] = []
+    near = [gap(r, mean) for r in rows]
+    for _ in range(k):
+        best = max(range(len(rows)), key=lambda i: (near[i], -i))
+        chosen.append(rows[best])
+        new = [gap(r, rows[best]) for r in rows]
+        near = new if len(chosen) == 1 else [min(a, b) for a, b in zip(near, new)]
+    return chosen
+
+
 def kmeans(
     table: DataFrame,
     columns: list[str],
@@ -54,22 +82,67 @@ def kmeans(
 ) -> KMeansResult:
     """Fit k-means on the (standardised) columns; of ``restarts`` runs the cheapest is kept.
 
-    Clusters are numbered by size, largest first, equal sizes by centroid.
+    Each run starts from far apart rows among START_ROWS distinct ones that the hash of their
+    values and the seed choose, and repeats assignment and means over all rows until no centroid
+    moves, so the result does not depend on how the rows lie in partitions. Fewer distinct rows than
+    ``k`` make fewer clusters, missing values are an error. Clusters are numbered by size, largest first, equal sizes by centroid.
     """
     scaler = fit_scaler(table, columns) if normalize else None
-    scaled = scaler.transform(table) if scaler else table
-    vectors = scaled.select(
-        array_to_vector(F.array(*[F.col(c).cast("double") for c in columns])).alias("features")
-    ).persist()
-    try:
-        best = None
-        for run in range(restarts):
-            fitted = KMeans(k=k, seed=seed + run, maxIter=max_iter, tol=TOLERANCE).fit(vectors)
-            if best is None or fitted.summary.trainingCost < best.summary.trainingCost:
-                best = fitted
-        centers = [[float(v) for v in center] for center in best.clusterCenters()]
-        sizes = best.summary.clusterSizes
-    finally:
-        vectors.unpersist()
+    require_filled(table, columns, scaler)
+    # Equal rows move together, so each is kept once with its weight; they are scaled in the rounds.
+    cells = F.array(*[F.col(c).cast("double") for c in columns]).alias("x")
+    points = materialize(table.select(cells).groupBy("x").agg(F.count("*").alias("_n")), "points")
+    rounds = points.coalesce(-(-points.count() // ROWS_PER_TASK) or 1)
+    shift = np.array(scaler.means if scaler else [0.0] * len(columns))
+    scale = np.array(scaler.deviations if scaler else [1.0] * len(columns))
+    best = None
+    for run in range(restarts):
+        sample = points.orderBy(F.xxhash64(F.lit(seed + run), "x"), "x").limit(START_ROWS).select("x").collect()
+        rows = sorted(_rounded((np.array(r.x) - shift) / scale) for r in sample)
+        if not rows:
+            raise ValueError("k-means needs at least one row")
+        starts = _first_centroids(rows, min(k, len(rows)))
+        fitted = _lloyd(rounds, shift, scale, starts, max_iter)
+        if best is None or fitted[0] < best[0]:
+            best = fitted
+    _, sizes, centers = best
     ranked = sorted(zip(sizes, centers), key=lambda item: (-item[0], item[1]))
     return KMeansResult(list(columns), scaler, [center for _, center in ranked])
+
+
+def _lloyd(points: DataFrame, shift: np.ndarray, scale: np.ndarray, centers: list[list[float]], max_iter: int):
+    """(cost, sizes, centroids) at the fixed point.
+
+    Every round each task adds up its rows by nearest centroid, in Arrow batches so that no round
+    compiles code of its own; k x (columns + 2) sums reach the driver.
+    """
+    k, d = len(centers), len(shift)
+    for _ in range(max_iter):
+        current = np.array(centers)
+
+        def sums(batches: Iterator[pa.RecordBatch], current=current) -> Iterator[pa.RecordBatch]:
+            found = np.zeros((k, d + 2))
+            for batch in batches:
+                x = (batch.column(0).flatten().to_numpy().reshape(-1, d) - shift) / scale
+                n = batch.column(1).to_numpy()
+                gaps = np.stack([((x - c) ** 2).sum(axis=1) for c in current], axis=1)
+                near = gaps.argmin(axis=1)
+                for c in range(k):
+                    mine = near == c
+                    found[c, 0] += n[mine].sum()
+                    found[c, 1] += (gaps[mine, c] * n[mine]).sum()
+                    found[c, 2:] += (x[mine] * n[mine, None]).sum(axis=0)
+            cells = np.arange(found.size, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(found.reshape(-1))], ["cell", "value"])
+
+        total = np.zeros(k * (d + 2))
+        parts = points.select("x", "_n").mapInArrow(sums, "cell INT, value DOUBLE")
+        for row in parts.groupBy("cell").agg(F.sum("value").alias("value")).collect():
+            total[row.cell] = row.value
+        total = total.reshape(k, d + 2)
+        sizes = [int(n) for n in total[:, 0]]
+        moved = [_rounded(row[2:] / row[0]) if row[0] else list(c) for row, c in zip(total, centers)]
+        if moved == centers:
+            break
+        centers = moved
+    return round(float(total[:, 1].sum()), 6), sizes, centers

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from logsift.operators.features import feature_columns
-from logsift.scratch import materialize
+from logsift.scratch import BROADCAST_ROWS, materialize
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 PROFILE_COLUMNS = ["column", "count", "unique", "top", "freq", "mean", "std", "min", *QUARTILES, "max"]
@@ -40,7 +40,6 @@ def _exact_quartiles(values: DataFrame) -> DataFrame:
     )
     totals = placed.groupBy("column", "_pid").agg(F.sum("n").alias("_n"))
     by_partition = Window.partitionBy("column").orderBy("_pid")
-    # one row per column and partition
     ahead = totals.select(
         "column",
         "_pid",
@@ -49,8 +48,12 @@ def _exact_quartiles(values: DataFrame) -> DataFrame:
         ).alias("_ahead"),
         F.sum("_n").over(Window.partitionBy("column")).alias("_all"),
     )
+    # one row per column and partition; usually few
+    ahead = materialize(ahead, "ahead")
+    if ahead.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        ahead = F.broadcast(ahead)
     inside = Window.partitionBy("_pid", "column").orderBy("number")
-    ranked = placed.join(F.broadcast(ahead), ["column", "_pid"]).withColumn(
+    ranked = placed.join(ahead, ["column", "_pid"]).withColumn(
         "_upto", F.col("_ahead") + F.sum("n").over(inside)
     )
 
@@ -75,7 +78,9 @@ def profile(table: DataFrame, columns: list[str] | None = None, exact: bool = Tr
 
     String columns have count, unique, top and freq (of equally frequent values the
     smallest); numeric columns have count, mean, sample std, min, quartiles and max.
-    ``exact=False`` estimates the quartiles and the distinct counts in the same single pass.
+    The table is read once: values are counted, and everything else comes from the counts.
+    ``exact=False`` estimates the quartiles and the distinct numbers of texts; it reads the table
+    twice, but counts only texts.
     """
     columns = columns if columns is not None else feature_columns(table)
     long = _long(table, columns)
@@ -106,7 +111,7 @@ def profile(table: DataFrame, columns: list[str] | None = None, exact: bool = Tr
     counted = materialize(
         long.groupBy("column", "text", "number").agg(F.count("*").alias("n")), "values"
     )
-    basic = long.groupBy("column").agg(filled, *moments)
+    basic = _weighted_moments(counted)
     top = _top_values(counted.where("text IS NOT NULL"))
     quartiles = _exact_quartiles(counted.where("number IS NOT NULL").select("column", "number", "n"))
     return (
@@ -114,6 +119,26 @@ def profile(table: DataFrame, columns: list[str] | None = None, exact: bool = Tr
     )
 
 
+def _weighted_moments(counted: DataFrame) -> DataFrame:
+    """count, mean, std, min and max by column from (column, text, number, n)."""
+    x, n = F.col("number"), F.col("n")
+    numbers = F.sum(F.when(x.isNotNull(), n))
+    sums = counted.groupBy("column").agg(
+        F.coalesce(F.sum(F.when(x.isNotNull() | F.col("text").isNotNull(), n)), F.lit(0)).alias("count"),
+        F.try_divide(F.sum(x * n), numbers).alias("mean"),
+        numbers.alias("_numbers"),
+        F.min("number").alias("min"),
+        F.max("number").alias("max"),
+    )
+    # one row per column of the table
+    apart = counted.where(x.isNotNull()).join(F.broadcast(sums.select("column", "mean")), "column")
+    squares = apart.groupBy("column").agg(F.sum(n * (x - F.col("mean")) * (x - F.col("mean"))).alias("_squares"))
+    spread = F.sqrt(F.try_divide(F.col("_squares"), F.col("_numbers") - 1))
+    return sums.join(F.broadcast(squares), "column", "left").select(
+        "column", "count", "mean", spread.alias("std"), "min", "max"
+    )
+
+
 def _top_values(counted: DataFrame) -> DataFrame:
     best = F.min(F.struct((-F.col("n")).alias("minus"), F.col("text")))
     return counted.groupBy("column").agg(F.count("*").alias("unique"), best.alias("_b")).select(

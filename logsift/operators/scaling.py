@@ -16,6 +16,7 @@ class Scaler:
     means: list[float]
     deviations: list[float]
     rows: int
+    missing: tuple[str, ...] = ()
 
     def expressions(self) -> dict[str, Column]:
         return {
@@ -34,15 +35,34 @@ def fit_scaler(
     measures = [F.count("*")]
     for name in columns:
         value = F.col(name).cast("double")
-        measures += [F.avg(value), F.stddev_pop(value), F.min(value), F.max(value)]
+        measures += [F.avg(value), F.stddev_pop(value), F.min(value), F.max(value), missing_cells(name)]
     row = table.agg(*[m.alias(f"m{i}") for i, m in enumerate(measures)]).head()
-    means, deviations = [], []
+    means, deviations, missing = [], [], []
     for i in range(len(columns)):
-        mean, deviation, low, high = row[1 + 4 * i : 5 + 4 * i]
+        mean, deviation, low, high, holes = row[1 + 5 * i : 6 + 5 * i]
+        if holes:
+            missing.append(columns[i])
         means.append(mean if with_mean and mean is not None else 0.0)
         varies = with_std and deviation is not None and low != high and deviation > 0.0
         deviations.append(deviation if varies else 1.0)
-    return Scaler(list(columns), means, deviations, row[0])
+    return Scaler(list(columns), means, deviations, row[0], tuple(missing))
+
+
+def missing_cells(name: str) -> Column:
+    """Number of NULL and NaN cells of a column."""
+    value = F.col(name).cast("double")
+    return F.count_if(value.isNull() | F.isnan(value))
+
+
+def require_filled(table: DataFrame, columns: list[str], scaler: Scaler | None) -> None:
+    """Raise if a column has a NULL or NaN; looked up in ``scaler``, or else in one aggregate."""
+    if scaler is not None:
+        missing = scaler.missing
+    else:
+        found = table.agg(*[missing_cells(c).alias(f"m{i}") for i, c in enumerate(columns)]).head()
+        missing = [c for c, n in zip(columns, found) if n]
+    if missing:
+        raise ValueError(f"columns with missing values: {', '.join(missing)}")
 
 
 def standardize(

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from logsift.functions.vectors import dot, literals, squared_norm, total
-from logsift.operators.scaling import Scaler, fit_scaler
+from logsift.operators.scaling import Scaler, fit_scaler, require_filled
 
 # Up to this many products the Gramian is a code-generated aggregate without Python.
 NATIVE_PRODUCTS = 28
@@ -126,11 +126,12 @@ def tsvd(
 ) -> TruncatedSvd:
     """Decompose the (standardised) columns; ``transform`` then gives the reduced matrix.
 
-    Of each right singular vector the largest entry is made positive (of equal ones the first).
+    Missing values are an error. Of each right singular vector the largest entry is made positive (of equal ones the first).
     """
     if not 1 <= n_components <= len(columns):
         raise ValueError(f"n_components must be 1..{len(columns)}, got {n_components}")
     scaler = fit_scaler(table, columns) if normalize else None
+    require_filled(table, columns, scaler)
     scaled = scaler.transform(table) if scaler else table
     values, vectors = np.linalg.eigh(gramian(scaled, columns))
     order = np.argsort(-values, kind="stable")[:n_components]
@@ -174,10 +175,19 @@ def reconstruction_error(table: DataFrame, svd: TruncatedSvd) -> DataFrame:
 
 
 def reconstruct(table: DataFrame, svd: TruncatedSvd) -> DataFrame:
-    """The rebuilt matrix US x VT in place of the input columns."""
+    """The rebuilt matrix US x VT in place of the input columns, two products per Arrow batch."""
     others = [c for c in table.columns if c not in svd.columns]
-    again = [column.alias(name) for name, column in zip(svd.columns, svd.rebuilt())]
-    return svd.both(table).select(*others, *again)
+    scaled = svd.scaled(table).select(*others, *[F.col(c).cast("double").alias(c) for c in svd.columns])
+    components, first = np.array(svd.components), len(others)
+
+    def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[first:]])
+            again = x @ components.T @ components
+            columns = [pa.array(np.ascontiguousarray(c)) for c in again.T]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:first], *columns], names=batch.schema.names)
+
+    return scaled.mapInArrow(rebuilt, scaled.schema)
 
 
 def srss(table: DataFrame, columns: list[str], split: int = 1, maximum: int = 3) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from logsift.operators.density import cluster_centroids, dbscan, optics
 from logsift.operators.features import KEY_COLUMNS, hash_encode, select_features
 from logsift.operators.kmeans import kmeans
 from logsift.operators.points import append_centroids, plot_points
+from logsift.operators.profile import profile
 from logsift.operators.svd import (
     centroid_distance,
     reconstruction_anomaly_score,
@@ -21,10 +24,20 @@ from logsift.operators.svd import (
     tsvd,
     variance_ratios,
 )
-from logsift.plans.formats import TOKEN_ARRAYS, parse_format, widen
+from logsift.plans.formats import TOKEN_ARRAYS, imapd_count_rows, parse_format, widen
 from logsift.scratch import materialize
+from logsift.sources.results import save_results
 
 CARRIED = "status_class"  # status of the line, kept beside the features for orientation
+LINE = "_line"  # the line itself, so that the reduced log is a filter and no join
+MALFORMED, OVERFLOW = "malformed", "overflow"  # what is told of later lines
+BESIDE = (*KEY_COLUMNS, CARRIED, LINE, MALFORMED, OVERFLOW)
+SVD_OPTIONS = {
+    "tsvd": {"n_components"},
+    "tsvd_srss": {"maximum", "split"},
+    "tsvd_distance": set(),
+    "tsvd_score": {"score_components"},
+}
 
 
 @dataclass
@@ -40,6 +53,9 @@ class Stage:
 
 def _svd_stage(table: DataFrame, columns: list[str], kind: str, **options) -> Stage:
     spark = table.sparkSession
+    unknown = set(options) - SVD_OPTIONS[kind] - {"normalize"}
+    if unknown:
+        raise ValueError(f"stage {kind!r} has no options {sorted(unknown)}")
     normalize = options.get("normalize", True)
     components = {
         "tsvd": options.get("n_components", 2),
@@ -85,7 +101,7 @@ def _kmeans_stage(table: DataFrame, columns: list[str], **options) -> Stage:
 
 def _density_stage(table: DataFrame, columns: list[str], kind: str, **options) -> Stage:
     run = dbscan if kind == "dbscan" else optics
-    labelled = materialize(run(table, columns, **options), kind)
+    labelled = materialize(run(table.drop(LINE), columns, **options), kind)
     centroids = cluster_centroids(labelled, columns)
     name = kind.upper()
     tables = {
@@ -101,7 +117,7 @@ def run_stage(table: DataFrame, columns: list[str], stage: str | Callable, optio
     """A named stage, or any function of a DataFrame that keeps ``line_no``."""
     if callable(stage):
         output = stage(table)
-        kept = [c for c in output.columns if c not in (*KEY_COLUMNS, CARRIED)]
+        kept = [c for c in output.columns if c not in BESIDE]
         return Stage(output, kept, {"custom": output}, None, stage)
     if stage in ("tsvd", "tsvd_srss", "tsvd_distance", "tsvd_score"):
         return _svd_stage(table, columns, stage, **options)
@@ -120,6 +136,7 @@ class LogRun:
     output: DataFrame
     columns: list[str]
     centroids: DataFrame | None
+    options: dict[str, object] = field(default_factory=dict)
     scorer: Callable[[DataFrame], DataFrame] | None = None
 
     def points(self, dims: int = 2, labels: DataFrame | None = None, how: str = "left") -> DataFrame:
@@ -129,8 +146,16 @@ class LogRun:
             return points
         return append_centroids(points, self.centroids, self.columns)
 
+    def save(self, path: str, file_format: str = "csv", mode: str = "overwrite") -> None:
+        """Write all tables and the options of the run."""
+        save_results(self.tables, path, self.options, file_format, mode)
+
     def score(self, lines: DataFrame) -> DataFrame:
-        """Label new lines with the fitted scaling, components and centroids."""
+        """Label new lines with the fitted scaling, components and centroids.
+
+        ``malformed`` lines have label 1 and no distances; ``overflow`` tells of lines with more
+        parts than any line of the run, whose last part holds the rest.
+        """
         if self.scorer is None:
             raise ValueError("the run has no label step that can be applied to new lines")
         return self.scorer(lines)
@@ -142,7 +167,9 @@ class LogPipeline:
 
     ``anomaly`` is ``euclidean`` or ``cosine`` and needs a stage with exactly two centroids;
     ``orient`` swaps the labels if most failed requests carry label 1 (needs a format with
-    a status).
+    a status). With mode PERMISSIVE lines that do not parse are in the table ``corrupt_lines``
+    and, unless ``corrupt_in_reduced`` is false, in the reduced log; DROPMALFORMED leaves them
+    out. ``profiles`` adds the column profiles before and after encoding.
     """
 
     log_format: str
@@ -150,7 +177,9 @@ class LogPipeline:
     then: str | Callable | None = None
     anomaly: str | None = None
     orient: bool = True
-    mode: str = "DROPMALFORMED"
+    mode: str = "PERMISSIVE"
+    corrupt_in_reduced: bool = True
+    profiles: bool = False
     reduce_options: dict = field(default_factory=dict)
     then_options: dict = field(default_factory=dict)
     hash_init: int = DEFAULT_INIT
@@ -160,9 +189,31 @@ class LogPipeline:
         chosen = select_features(widen(raw, self.log_format, widths), self.log_format)
         if "status" in chosen.columns:
             chosen = chosen.withColumn(CARRIED, F.col("status"))
-        names = [c for c in chosen.columns if c not in (*KEY_COLUMNS, CARRIED)]
+        names = [c for c in chosen.columns if c not in BESIDE]
         return hash_encode(chosen, names, self.hash_init, self.hash_engine)
 
+    def _options(self) -> dict[str, object]:
+        named = {f.name: getattr(self, f.name) for f in fields(self)}
+        return {k: getattr(v, "__name__", v) for k, v in named.items()}
+
+    def _parsed(self, lines: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Rows that parsed, and the lines that did not (or None), from one parse."""
+        if self.log_format == "imapd_counts":
+            events = materialize(parse_format(lines, "imapd_auth", self.mode), "events")
+            good = events.where("_corrupt is null") if "_corrupt" in events.columns else events
+            counts = materialize(imapd_count_rows(good), "raw")
+            bad = events if "_corrupt" in events.columns else None
+        else:
+            marked = lines.withColumn(LINE, F.col("value"))
+            events = counts = materialize(parse_format(marked, self.log_format, self.mode), "raw")
+            bad = events if "_corrupt" in events.columns else None
+            if bad is not None:
+                counts = events.where("_corrupt is null").drop("_corrupt")
+        if bad is None:
+            return counts, None
+        keys = [c for c in lines.columns if c != "value"]
+        return counts, bad.where("_corrupt is not null").select(*keys, F.col("_corrupt").alias("value"))
+
     def _label(self, matrix: DataFrame, columns: list[str], centroids) -> DataFrame:
         if self.anomaly == "euclidean":
             return labelling.classify_euclidean(
@@ -176,26 +227,29 @@ class LogPipeline:
 
     def run(self, lines: DataFrame, labels: DataFrame | None = None) -> LogRun:
         """All tables of the run. The raw table and the features are written once and reread."""
-        raw = materialize(parse_format(lines, self.log_format, self.mode), "raw")
-        if "line_no" not in raw.columns:
-            raise ValueError(f"format {self.log_format!r} has no line numbers to run on")
+        raw, corrupt = self._parsed(lines)
         widths = _widths(raw)
         features = materialize(self._encode(raw, widths), "features")
-        columns = [c for c in features.columns if c not in (*KEY_COLUMNS, CARRIED)]
+        columns = [c for c in features.columns if c not in BESIDE]
         tables = {
-            "raw_data": widen(raw, self.log_format, widths),
-            "ml_ready_data": features.drop(CARRIED),
+            "raw_data": widen(raw.drop(LINE), self.log_format, widths),
+            "ml_ready_data": features.drop(CARRIED, LINE),
         }
+        if corrupt is not None:
+            tables["corrupt_lines"] = corrupt
+        if self.profiles:
+            tables["raw_profile"] = profile(tables["raw_data"])
+            tables["ml_ready_profile"] = profile(tables["ml_ready_data"])
         if labels is not None:
             tables["label_data"] = labels
 
         first = run_stage(features, columns, self.reduce, self.reduce_options)
-        tables.update(first.tables)
+        tables.update({k: t.drop(LINE) for k, t in first.tables.items()})
         last = first
         if self.then is not None:
             last = run_stage(first.output, first.columns, self.then, self.then_options)
-            tables.update(last.tables)
-        run = LogRun(tables, last.output, last.columns, last.centroids)
+            tables.update({k: t.drop(LINE) for k, t in last.tables.items()})
+        run = LogRun(tables, last.output.drop(LINE), last.columns, last.centroids, self._options())
         if self.anomaly is None:
             return run
         if last.centroids is None:
@@ -218,19 +272,31 @@ class LogPipeline:
         tables["anomaly_reduction_results"] = done.select(*_keys(done), *distances)
         anomalies = done.select(*_keys(done), "label")
         tables["identified_anomalies"] = anomalies
-        if "line_no" in anomalies.columns and "sample" not in anomalies.columns:
-            tables["reduced_log"] = labelling.reduce_log(lines, anomalies)
+        if self.log_format != "imapd_counts" and "line_no" in done.columns and "sample" not in done.columns:
+            if LINE in done.columns:
+                cells = [F.col(LINE).alias("value") if c == "value" else c for c in lines.columns]
+                reduced = done.where("label = 1").select(*cells)
+            else:
+                reduced = labelling.reduce_log(lines, anomalies)
+            if corrupt is not None and self.corrupt_in_reduced:
+                reduced = reduced.unionByName(corrupt.select(*lines.columns))
+            tables["reduced_log"] = reduced
 
         steps = [first.apply] if self.then is None else [first.apply, last.apply]
         if all(step is not None for step in steps):
 
             def scorer(new_lines: DataFrame) -> DataFrame:
-                matrix = self._encode(parse_format(new_lines, self.log_format, self.mode), widths)
+                parsed = parse_format(new_lines, self.log_format, self.mode)
+                bad = F.col("_corrupt").isNotNull() if "_corrupt" in parsed.columns else F.lit(False)
+                long = [F.coalesce(F.size(a) > n, F.lit(False)) for a, n in widths.items()]
+                told = {MALFORMED: bad, OVERFLOW: reduce(or_, long, F.lit(False))}
+                matrix = self._encode(parsed.withColumns(told), widths)
                 for step in steps:
                     matrix = step(matrix)
-                return finish(self._label(matrix, last.columns, centers)).select(
-                    *_keys(matrix), *distances, "label"
-                )
+                marked = finish(self._label(matrix, last.columns, centers))
+                cells = [F.when(~F.col(MALFORMED), F.col(c)).alias(c) for c in distances]
+                label = F.when(F.col(MALFORMED), 1).otherwise(F.col("label")).alias("label")
+                return marked.select(*_keys(marked), *cells, label, MALFORMED, OVERFLOW)
 
             run.scorer = scorer
         return run

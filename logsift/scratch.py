@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,20 +25,34 @@ _PLACE_BITS = 33
 _PLACE_MASK = (1 << _PLACE_BITS) - 1
 
 
+# Paths written while a ``temporary_tables`` block is open, innermost block last.
+_open_blocks: list[list[str]] = []
+
+
 def scratch_base(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; set here only in local tests."""
+    """The folder named by ``spark.checkpoint.dir``, which all executors share.
+
+    Outside local mode an unset or machine-local folder is an error; in local mode an unset one
+    is a temporary folder of the process.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = tempfile.mkdtemp(prefix="logsift-")
-    spark.sparkContext.setCheckpointDir(base)
-    return base
+    return _local_base()
+
+
+@cache
+def _local_base() -> str:
+    return tempfile.mkdtemp(prefix="logsift-")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_base(spark)}/logsift/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_base(spark)}/logsift/{name}-{uuid.uuid4().hex}"
+    if _open_blocks:
+        _open_blocks[-1].append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -47,13 +63,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a written table that nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+@contextmanager
+def temporary_tables(spark: SparkSession):
+    """Tables written inside the block are deleted at its end; use its results before."""
+    _open_blocks.append([])
+    try:
+        yield
+    finally:
+        for path in _open_blocks.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete the files of written tables that nothing reads any more."""
+    for df in written:
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            _delete(df.sparkSession, folder)
 
 
 def place_columns(partition: str = "_pid", place: str = "_pos"):

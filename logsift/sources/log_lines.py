@@ -6,23 +6,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logsift.scratch import BROADCAST_ROWS, materialize
+from logsift.scratch import materialize
+
+
+# Most splits whose offsets (two numbers each) are broadcast, about 64 MB.
+BROADCAST_SPLITS = 4_000_000
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
     """Add ``line_no`` (from 1, files in path order) to lines that carry ``file`` and ``block``.
 
-    A text partition may hold several file splits, so partition order is not file order.
-    The generated row id is consecutive inside one split; adding up the line counts of
-    the earlier splits gives the number, and only that one-row-per-split table is moved.
+    The lines are written once with their place, and both the counts and the numbers are taken
+    from what was written, so a later change of the split size cannot move a line. The generated
+    row id is consecutive inside one split of a file; adding up the line counts of the earlier
+    splits gives the number. Only the table with one row per split is moved: a split is known by
+    one number, so that of a million splits takes 16 MB.
     """
-    placed = lines.withColumn("_id", F.monotonically_increasing_id())
+    placed = materialize(
+        lines.withColumn("_split", F.xxhash64("file", "block")).withColumn(
+            "_id", F.monotonically_increasing_id()
+        ),
+        "lines",
+    )
     splits = materialize(
-        placed.groupBy("file", "block").agg(
+        placed.groupBy("file", "block", "_split").agg(
             F.min("_id").alias("_first"), F.count("*").alias("_lines")
         ),
         "splits",
     )
+    sizes = splits.agg(F.count("*").alias("n"), F.count_distinct("_split").alias("keys")).first()
+    if sizes["n"] != sizes["keys"]:
+        raise ValueError("two file splits have the same hash; rename a file")
     files = splits.groupBy("file").agg(F.sum("_lines").alias("_lines"))
     # one row per file, then one row per split of a file
     earlier_files = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
@@ -31,8 +45,7 @@ def number_lines(lines: DataFrame) -> DataFrame:
     )
     bases = files.select("file", F.coalesce(F.sum("_lines").over(earlier_files), F.lit(0)).alias("_base"))
     offsets = splits.join(bases, "file").select(
-        "file",
-        "block",
+        "_split",
         (
             F.col("_base")
             + F.coalesce(F.sum("_lines").over(earlier_splits), F.lit(0))
@@ -40,9 +53,9 @@ def number_lines(lines: DataFrame) -> DataFrame:
             + F.lit(1)
         ).alias("_shift"),
     )
-    if splits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if sizes["n"] <= BROADCAST_SPLITS:
         offsets = F.broadcast(offsets)
-    return placed.join(offsets, ["file", "block"]).select(
+    return placed.join(offsets, "_split").select(
         "file", (F.col("_id") + F.col("_shift")).alias("line_no"), "value"
     )
 

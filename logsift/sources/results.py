@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# Options with which Spark reads the CSV tables back.
+CSV_READ = {"header": True, "escape": '"', "multiLine": True, "nullValue": "\\N"}
+
+
 def flat_columns(table: DataFrame) -> DataFrame:
     """Arrays of known cells as JSON text, so that every format can hold the table."""
     columns = []
@@ -30,7 +34,9 @@ def save_results(
 ) -> None:
     """Write each named table under ``path/name`` and the options used under ``path/options``.
 
-    ``csv`` has a header; a missing value is an empty field, an empty string a quoted one.
+    ``csv`` has a header; a missing value is an empty field, an empty string a quoted one, and a
+    quote inside a field is doubled. Line breaks stay in their quoted fields, which Spark reads
+    back with ``CSV_READ`` and pandas or DuckDB as they are.
     """
     if not tables:
         return
@@ -44,6 +50,6 @@ def save_results(
     for name, table in named.items():
         if file_format == "csv":
             writer = flat_columns(table).write.mode(mode)
-            writer.option("header", True).csv(f"{path}/{name}")
+            writer.options(header=True, escape='"').csv(f"{path}/{name}")
         else:
             table.write.mode(mode).parquet(f"{path}/{name}")

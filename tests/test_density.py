@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from logsift import scratch
+from logsift.operators import density_blocks
 from logsift.operators.components import connected_components
 from logsift.operators.density import cluster_centroids, cluster_sizes, dbscan, optics
 from logsift.operators.near_duplicates import combine_near_duplicates
@@ -59,6 +60,34 @@ def test_same_as_sequential(spark, seed, n, d, eps, ms, grid, copies):
     check(spark, cloud(seed, n, d, grid, copies), eps, ms, both=seed in (1, 2))
 
 
+@pytest.mark.parametrize("chunk", [7, 512])
+def test_blocks_in_many_columns(spark, monkeypatch, chunk):
+    monkeypatch.setattr(density_blocks, "CHUNK", chunk)
+    monkeypatch.setattr(density_blocks, "HOT_CELL", 10)
+    check(spark, cloud(11, 250, 6, 0.2, 60), 1.0, 5)
+
+
+def test_blocks_write_in_proportion(spark, monkeypatch):
+    """Ten columns, full neighbourhoods: no table grows with the pairs of points."""
+    rows = {}
+
+    def counted(df, name):
+        out = materialize(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(density_blocks, "materialize", counted)
+    sizes = []
+    for n in (200, 400):
+        rows.clear()
+        x = np.random.default_rng(3).normal(0, 0.4, (n, 10))
+        df, cols = frame(spark, x)
+        dbscan(df, cols, 1.0, 5, normalize=False).count()
+        assert max(rows.values()) <= 27 * n and rows["edges"] <= rows["dealt"]
+        sizes.append(rows["dealt"])
+    assert sizes[1] < 3 * sizes[0]
+
+
 def test_large_cells_are_halved(spark):
     rng = np.random.default_rng(7)
     # two crowded cells that touch in one spot, two that do not

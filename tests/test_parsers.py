@@ -177,7 +177,11 @@ def test_expand_and_widen(spark):
     assert wide.columns[-2:] == ["message_0", "message_1"]
     chosen = ls.select_features(wide, "messages")
     assert chosen.columns == ["line_no", "daemon", "message_0", "message_1"]
-    assert ls.expand_tokens(table, "message", "m", 1).columns[-1] == "m_0"
+    narrow = ls.expand_tokens(table.select("line_no", "message"), "message", "m", 1)
+    assert narrow.columns == ["line_no", "m_0"]
+    # the last column keeps what does not fit
+    words = {r.line_no: " ".join(r.message) for r in table.collect()}
+    assert {r.line_no: r.m_0 for r in narrow.collect()} == words
 
 
 def test_parsers_accept_a_stream(spark, tmp_path):

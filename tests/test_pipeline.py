@@ -40,6 +40,30 @@ def test_distances_use_the_space_of_the_centroids(access_run):
     assert np.allclose(x.mean(axis=0), 0, atol=1e-9) and np.allclose(x.std(axis=0), 1)
 
 
+def test_malformed_lines_are_kept(spark, access_run):
+    log, run = access_run
+    bad = spark.createDataFrame([(-1, "garbage"), (-2, "")], "line_no BIGINT, value STRING")
+    mixed = log.where("line_no % 3 = 0").unionByName(bad)
+    kept = ls.LogPipeline("access_url", "tsvd", "kmeans", "euclidean").run(mixed)
+    assert {(r.line_no, r.value) for r in kept.tables["corrupt_lines"].collect()} == {(-1, "garbage"), (-2, "")}
+    reduced = kept.tables["reduced_log"]
+    assert "Exchange" not in reduced._jdf.queryExecution().executedPlan().toString()
+    labels = kept.tables["identified_anomalies"].where("label = 1").count()
+    assert reduced.count() == labels + 2 and {-1, -2} <= {r.line_no for r in reduced.collect()}
+    scored = {r.line_no: r for r in run.score(mixed).collect()}
+    assert scored[-1].malformed and scored[-1].label == 1 and scored[-1].d0 is None
+    dropped = ls.LogPipeline("access", "tsvd", mode="DROPMALFORMED").run(mixed)
+    assert "corrupt_lines" not in dropped.tables
+    assert dropped.options["log_format"] == "access"
+
+
+def test_missing_values_are_named(spark):
+    table = spark.createDataFrame([(1, 1.0, None), (2, 2.0, 3.0)], "line_no BIGINT, a DOUBLE, b DOUBLE")
+    for run in (lambda: ls.tsvd(table, ["a", "b"], 1), lambda: ls.tsvd(table, ["a", "b"], 1, False), lambda: ls.kmeans(table, ["a", "b"])):
+        with pytest.raises(ValueError, match="missing values: b"):
+            run()
+
+
 def test_new_lines_get_the_same_labels(access_run):
     log, run = access_run
     again = {r.line_no: r.label for r in run.score(log.where("line_no % 3 = 0")).collect()}

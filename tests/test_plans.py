@@ -50,7 +50,7 @@ def test_scan_reads_only_needed_columns(spark):
     assert "label" not in schema and "vec_id" in schema
 
 
-@pytest.mark.parametrize("name", ["tsvd", "dbscan", "combine_near_duplicates", "orient_labels_cosine"])
+@pytest.mark.parametrize("name", ["tsvd", "dbscan", "combine_near_duplicates", "orient_labels_cosine", "kmeans"])
 def test_results_do_not_depend_on_partitions(spark, monkeypatch, name):
     from logsift.checks import analysis
 
@@ -58,5 +58,7 @@ def test_results_do_not_depend_on_partitions(spark, monkeypatch, name):
     for parts in (1, 4, 17):
         monkeypatch.setattr(analysis, "matrix", lambda s, d: matrix(s, d).repartition(parts, F.rand(parts)))
         rows = QUERIES[name](spark, SF).collect()
-        results.append(sorted(map(str, rows)))
+        # sums over partitions differ in the last digits
+        plain = [[round(v, 9) if isinstance(v, float) else v for v in row] for row in rows]
+        results.append(sorted(map(str, plain)))
     assert results[0] == results[1] == results[2]

@@ -1,8 +1,13 @@
+import glob
 import json
+import os
 
+import pandas as pd
 import pytest
 
 import logsift as ls
+from logsift.scratch import materialize, temporary_tables
+from logsift.sources.results import CSV_READ
 
 
 def test_line_numbers_over_many_splits(spark, tmp_path):
@@ -24,6 +29,47 @@ def test_line_numbers_over_many_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_line_numbers_survive_a_changed_plan(spark, tmp_path):
+    """Split sizes that change between definition and use neither lose nor renumber lines."""
+    want = []
+    for name, count in (("a.log", 800), ("b.log", 500)):
+        texts = [f"{name} {i} {'y' * (i % 40)}" for i in range(count)]
+        (tmp_path / name).write_text("\n".join(texts) + "\n")
+        want += texts
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.minPartitionNum")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        spark.conf.set(keys[0], "3000")
+        read = ls.read_log_lines(spark, str(tmp_path))
+        for size, number in (("100000000", "1"), ("1000", "40")):
+            spark.conf.set(keys[0], size)
+            spark.conf.set(keys[1], number)
+            got = read.orderBy("line_no").collect()
+            assert [(r.line_no, r.value) for r in got] == list(enumerate(want, 1))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_csv_reads_back(spark, tmp_path):
+    texts = ['say "hi"', "back\\slash", "two\nlines", 'a,"b"\\', None, ""]
+    table = spark.createDataFrame(list(enumerate(texts)), "n INT, t STRING")
+    ls.save_results({"t": table.coalesce(1)}, str(tmp_path))
+    back = spark.read.schema("n INT, t STRING").options(**CSV_READ).csv(str(tmp_path / "t"))
+    assert [r.t for r in back.orderBy("n").collect()] == texts
+    files = [pd.read_csv(f, keep_default_na=False) for f in glob.glob(f"{tmp_path}/t/*.csv")]
+    assert [t or None for t in pd.concat(files)["t"]] == [t or None for t in texts]
+
+
+def test_temporary_tables_go(spark):
+    df = spark.range(5)
+    with temporary_tables(spark):
+        written = materialize(df, "kept")
+        folder = written.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:")
+        assert written.count() == 5 and os.path.isdir(folder)
+    assert not os.path.exists(folder)
+
+
 def test_invalid_bytes(spark, tmp_path):
     path = tmp_path / "x.log"
     path.write_bytes(b"ok\n\nbad \xff byte \xe2\x82 end\r\nlast")
