@@ -21,7 +21,8 @@ from logsift.llm.packing import pack_documents
 from logsift.llm.secrets import redacted
 from logsift.scratch import materialize
 
-# Least share of the text in its main language; below it, or without a letter, a document goes.
+# Least share of the text in its main language; below it, without a letter, or with more than
+# MOST_BACKGROUND of the text in no learned language, a document goes.
 LEAST_LANGUAGE = 0.3
 
 

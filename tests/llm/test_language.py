@@ -1,3 +1,5 @@
+import base64
+import random
 import zlib
 
 from logsift.llm.language import held_out, in_known_language, language_counts, predict_languages
@@ -49,3 +51,27 @@ def test_held_out_accuracy(spark):
     test = [r.lang_pred == docs[r.doc_id] for r in got if r.held_out]
     assert sum(test) > 0.98 * len(test)
     assert docs_of(spark, [(None, "x")]).where(~held_out(5)).count() == 1
+
+
+def test_unlearned_texts_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rnd = random.Random(1)
+    made = lambda letters: " ".join("".join(rnd.choices(letters, k=rnd.randint(3, 9))) for _ in range(100))
+    foreign = [
+        "В далёком лесу жила маленькая девочка, которая очень любила читать книги. " * 3,
+        "我们今天去学校学习中文，然后在公园里散步，晚上回家吃饭。" * 4,
+        "私は毎日学校へ行きます。本を読むのが好きです。" * 4,
+        "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. heille on annettu järki",
+        made("bcdfghjklmnpqrstvwxz"), made("abcdefghijklmnopqrstuvwxyz"),
+        base64.b64encode(rnd.randbytes(600)).decode(),
+    ]
+    # Long texts, in one learned language and half and half.
+    some = {r.lang: r.text for r in docs.where("length(text) between 1500 and 2500").orderBy("doc_id").collect()}
+    known = [*some.values(), some["en"] + " " + some["de"], some["fr"] + " " + some["es"]]
+    rows = list(enumerate(foreign)) + list(enumerate(known, 100))
+    counts = language_counts(docs.where(~held_out(5)))
+    kept = in_known_language(docs_of(spark, rows), counts, 0.3)
+    assert {r.doc_id for r in kept.collect()} == {100 + i for i in range(len(known))}
+    found = predict_languages(docs_of(spark, rows), counts).collect()
+    assert all((r.lang_pred == "und") == (r.doc_id < 100) and (r.doc_id >= 100 or r.score == 0) for r in found)
+    assert in_known_language(docs, counts, 0.3).count() == docs.count()
