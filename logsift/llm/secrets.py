@@ -7,7 +7,8 @@ a checksum of their own are kept only if it is right.
 
 Kinds, in their order in results: assign, access, hex (fixed definitions of the base), then
 github and npm (prefix, 30 characters, CRC32 of these in six base-62 digits) and private_key
-(armoured block). Matches of a kind do not overlap; a match that fails its length or checksum is
+(armoured block: from its BEGIN line through the END line of the same label if that is the next
+armour line, else through the lines that can be its body). Matches of a kind do not overlap; a match that fails its length or checksum is
 dropped and still consumes its characters. Spans count code points, end exclusive.
 
 Defined results: a null or empty text has no span; repeated rows each have their own result;
@@ -37,7 +38,18 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 
 GITHUB = rb"gh[pousr]_[A-Za-z0-9]+"
 NPM = rb"npm_[A-Za-z0-9]+"
-PRIVATE_KEY = rb"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+# What stands between the lines of a body: blanks, quotes of mail or code, line ends written out.
+_GAP = rb"""(?:[\s>"',]|\\[nr])"""
+# Without its END line a block goes on through header lines, runs of at least 24 base64 digits and
+# a shorter last one that is padded, fills its line or ends the text. Loops are possessive.
+PRIVATE_KEY = (
+    rb"-----BEGIN ([A-Z ]{0,40}PRIVATE KEY)-----"
+    rb"(?:[^-]*+(?:-{1,4}(?!-)[^-]*+)*+-----END \1-----"
+    rb"|(?:" + _GAP + rb"++(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+"
+    rb"(?:(?:" + _GAP + rb"++[A-Za-z0-9+/]{24,}+={0,2})++"
+    rb"(?:" + _GAP + rb"++[A-Za-z0-9+/]++={1,2}|(?:[\r\n]|\\[nr])++[\x20\t>]*+[A-Za-z0-9+/]++(?=[\x20\t]*+(?:[\r\n\\\"'-]|\Z)))?+"
+    rb"|(?:[\r\n]|\\[nr])++[\x20\t>]*+[A-Za-z0-9+/]++={0,2}\Z)?+)"
+)
 
 KEYWORDS = {
     "assign": ("password", "passwd", "secret", "token", "apikey", "api_key"),

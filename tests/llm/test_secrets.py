@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import random
 import re
@@ -58,6 +59,42 @@ def test_odd_documents_and_redaction(spark):
     assert texts[30] == 'é #" # x' and texts[31] == "secret: short" and texts[1] is None
 
 
+def test_whole_private_key_goes(spark):
+    rnd = random.Random(4)
+    body = base64.b64encode(rnd.randbytes(610)).decode()
+    lines = [body[i : i + 64] for i in range(0, len(body), 64)]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    info = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0F1E2D3C", ""]
+    whole = {
+        "plain": "\n".join([begin, *lines, end]),
+        "encrypted": "\r\n".join([begin, *info, *lines, end]),
+        "indented": "\n".join("    " + x for x in [begin, *lines, end]).strip(),
+        "json": "\\n".join([begin, *lines, end]),
+        "one line": " ".join([begin, *lines, end]),
+        "short": f"{begin}\nMIIB\n{end}",
+    }
+    cut = {
+        "no end": "\n".join([begin, *lines]),
+        "encrypted, no end": "\n".join([begin, *info, *lines]),
+        "other end": "\n".join([begin, *lines]),
+        "json, no end": "\\n".join([begin, *lines]),
+        "one line, no end": " ".join([begin, *lines]),
+        "unpadded, no end": "\n".join([begin, *lines[:-1], lines[-1].rstrip("=")]),
+        "cut": f"{begin}\n{lines[0][:20]}",
+    }
+    after = {"other end": "\n-----END PUBLIC KEY-----", "cut": "", "json, no end": '" é'}
+    texts = [(f"é {t} and é {begin} more", "é [secret] and é [secret] more") for t in whole.values()]
+    for name, t in cut.items():
+        rest = after.get(name, "\nwords and more words")
+        texts.append((f"é {t}{rest}", f"é [secret]{rest}"))
+    assert body[-1] == "="
+    docs = docs_of(spark, [(i, t) for i, (t, _) in enumerate(texts)])
+    got = {r.doc_id: r.text for r in redacted(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == [wanted for _, wanted in texts]
+    many = (begin + "\n" + "\n".join(lines) + " - ") * 300
+    assert len(Scanner().spans(many.encode())) == 300
+
+
 def test_empty_table(spark):
     assert find_secrets(docs_of(spark, [])).count() == 0
     assert redacted(docs_of(spark, [])).count() == 0
