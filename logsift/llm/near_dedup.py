@@ -31,13 +31,14 @@ from logsift.scratch import discard, hot_keys, join_dealt, materialize
 
 SHINGLE = 5
 THRESHOLD = 85
-# 32 bands of 5 slots: a pair at the threshold of 0.85 is missed with a chance below 1e-8.
+# 32 bands of 5 slots: a pair at the threshold of 0.85 is missed with a chance below 1e-8, at 0.80
+# with one of 3e-6.
 BANDS, SLOTS = 32, 5
 # Text whose shingles draw together; each may need a permutation of the slots of its own.
 PIECE_BYTES = 1 << 20
-# A pair is looked at in full if this share of the slots agrees: five standard deviations
-# (0.028 for independent slots, less for SuperMinHash) below the threshold.
-LEAST_AGREEMENT = 0.70
+# A pair is looked at in full unless fewer slots agree than so many standard deviations (of
+# independent slots; SuperMinHash has smaller ones) below the threshold.
+DEVIATIONS = 5.5
 # Members of a bucket on either side of a block, and most pairs of one key in one task.
 BLOCK = 256
 HOT_PAIRS = 1000
@@ -146,11 +147,21 @@ def _agreement(a: pa.Array, b: pa.Array) -> np.ndarray:
     return (x == y).mean(axis=1)
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            keep = _agreement(batch.column(2), batch.column(3)) >= LEAST_AGREEMENT
-            yield batch.select([0, 1]).filter(pa.array(keep))
+def least_agreement(threshold: int, slots: int) -> float:
+    """Share of equal slots below which a pair does not reach the threshold."""
+    p = threshold / 100
+    return p - DEVIATIONS * np.sqrt(p * (1 - p) / slots)
+
+
+def _likely(threshold: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                slots = len(batch.column(2)[0].as_py())
+                keep = _agreement(batch.column(2), batch.column(3)) >= least_agreement(threshold, slots)
+                yield batch.select([0, 1]).filter(pa.array(keep))
+
+    return rows
 
 
 def _sized(threshold: int):
@@ -206,12 +217,13 @@ def _candidates(group: pa.Table, threshold: int) -> np.ndarray:
     here = bands[0] == group.column("key")[0].as_py()
     earlier = bands[:, : int(np.flatnonzero(here)[0])]
     first, second = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    least = least_agreement(threshold, sketch.shape[1])
     involved = np.zeros(len(roots), bool)
     for x in np.flatnonzero(chunk == second):
         other = np.flatnonzero((chunk == first) & (roots != roots[x]))
         small, large = np.minimum(sizes[other], sizes[x]), np.maximum(sizes[other], sizes[x])
         other = other[100 * small >= threshold * large]
-        other = other[(sketch[other] == sketch[x]).mean(axis=1) >= LEAST_AGREEMENT]
+        other = other[(sketch[other] == sketch[x]).mean(axis=1) >= least]
         other = other[~(earlier[other] == earlier[x]).any(axis=1)]
         if len(other):
             involved[x] = True
@@ -389,7 +401,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, thre
         _with_both(pairs, nodes, ["n", "sketch"])
         .where(_sized(threshold))
         .select("u", "v", "sketch_u", "sketch_v")
-        .mapInArrow(_likely, "u long, v long")
+        .mapInArrow(_likely(threshold), "u long, v long")
     )
     return materialize(confirmed(materialize(likely, "likely"), texts, size, threshold), "links")
 

@@ -95,3 +95,11 @@ def test_empty_table(spark):
 def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     assert found(QUERIES["op7_superminhash"](spark, SMALL)) == plain(rows)
+
+
+def test_sketches_let_every_threshold_pass(spark):
+    # Hardly any pair at the threshold may be dropped before the full sets are compared.
+    assert near_dedup.least_agreement(80, 160) <= 0.64 and near_dedup.least_agreement(85, 160) <= 0.70
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    assert found(near_duplicates(docs, 80)) == plain(rows, 80)
