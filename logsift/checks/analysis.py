@@ -346,6 +346,64 @@ def tsvd_row_energy_query(spark, sf_dir):
     return svd.transform(source).select("line_no", F.round(energy, 6).alias("energy"))
 
 
+# The same operators over all values of the vectors as above over PLANE.
+REDUCED = 2
+
+
+def _whole(spark, sf_dir):
+    return matrix(spark, sf_dir).select("line_no", *E)
+
+
+def tsvd_whole_query(spark, sf_dir):
+    source = _whole(spark, sf_dir)
+    return _round_all(tsvd(source, E, REDUCED).transform(source), ["c0", "c1"], "line_no")
+
+
+def tsvd_unscaled_whole_query(spark, sf_dir):
+    source = _whole(spark, sf_dir)
+    return _round_all(tsvd(source, E, REDUCED, normalize=False).transform(source), ["c0", "c1"], "line_no")
+
+
+def svd_tables_whole_query(spark, sf_dir):
+    parts = tsvd(_whole(spark, sf_dir), E, DIMS, normalize=False).tables(spark)
+    joined = parts["S"].join(parts["VT"], "component").join(parts["T"], "component")
+    return _round_all(joined, ["singular_value", *E, "t"], "component")
+
+
+def energy_total_whole_query(spark, sf_dir):
+    """The squared singular values add up to the squares of all cells."""
+    values = tsvd(_whole(spark, sf_dir), E, DIMS, normalize=False).tables(spark)["S"]
+    return values.agg(F.round(F.sum(F.col("singular_value") * F.col("singular_value")), 6).alias("energy"))
+
+
+def variance_ratios_whole_query(spark, sf_dir):
+    source = _whole(spark, sf_dir)
+    return _round_all(variance_ratios(source, tsvd(source, E, REDUCED, normalize=False)), ["variance_ratio"], "component")
+
+
+def reconstruction_error_whole_query(spark, sf_dir):
+    source = _whole(spark, sf_dir)
+    return _round_all(reconstruction_error(source, tsvd(source, E, REDUCED, normalize=False)), ["error"])
+
+
+def tsvd_srss_whole_query(spark, sf_dir):
+    _, reduced = tsvd_srss(_whole(spark, sf_dir), E, 1, REDUCED, normalize=False)
+    return _round_all(reduced, ["r0", "r1"], "line_no")
+
+
+def anomaly_score_whole_query(spark, sf_dir):
+    return _round_all(reconstruction_anomaly_score(_whole(spark, sf_dir), E, REDUCED), ["score"], "line_no")
+
+
+def combine_whole_query(spark, sf_dir):
+    return _round_all(combine_near_duplicates(_whole(spark, sf_dir), E, RTOL), E, "sample", "weight")
+
+
+def dbscan_combined_whole_query(spark, sf_dir):
+    found = dbscan(_whole(spark, sf_dir), E, WHOLE_EPS, MIN_SAMPLES, rtol=RTOL)
+    return found.select("sample", "weight", "label", "is_core")
+
+
 def corrupt_lines_query(spark, sf_dir):
     """Every seventh access line is broken on purpose; the run keeps them as a table."""
     log = lines(spark, sf_dir, "access_lines")
@@ -406,6 +464,16 @@ QUERIES = {
     "dbscan_whole": dbscan_whole_query,
     "optics_whole": optics_whole_query,
     "tsvd_row_energy": tsvd_row_energy_query,
+    "tsvd_whole": tsvd_whole_query,
+    "tsvd_unscaled_whole": tsvd_unscaled_whole_query,
+    "energy_curve_whole": svd_tables_whole_query,
+    "energy_total_whole": energy_total_whole_query,
+    "variance_ratios_whole": variance_ratios_whole_query,
+    "reconstruction_error_whole": reconstruction_error_whole_query,
+    "tsvd_srss_whole": tsvd_srss_whole_query,
+    "reconstruction_anomaly_score_whole": anomaly_score_whole_query,
+    "combine_near_duplicates_whole": combine_whole_query,
+    "dbscan_combined_whole": dbscan_combined_whole_query,
     "imapd_counts_pipeline": imapd_counts_query,
 }
 
@@ -499,6 +567,17 @@ walk(n, r0, r1, sample) AS (SELECT n, e0, e1, 0 FROM rows_ WHERE n = 1 UNION ALL
 combined AS (SELECT CAST(sample AS BIGINT) AS sample, r0 AS e0, r1 AS e1, count(*) AS weight FROM walk GROUP BY sample, r0, r1)"""
 
 
+def combine_whole_cte(source: str) -> str:
+    """The walk of ``combine_cte`` over all columns."""
+    cells = ", ".join(E)
+    return f"""rows_ AS (SELECT row_number() OVER (ORDER BY {cells}) AS n, [{cells}] AS x FROM {source}),
+walk(n, r, sample) AS (SELECT n, x, 0 FROM rows_ WHERE n = 1 UNION ALL
+  SELECT t.n, CASE WHEN t.far THEN t.x ELSE t.r END, CASE WHEN t.far THEN t.sample + 1 ELSE t.sample END FROM (
+    SELECT y.n, y.x, w.r, w.sample, list_distance(y.x, w.r) > {RTOL!r}::DOUBLE * (sqrt(list_inner_product(w.r, w.r)) + {RTOL!r}::DOUBLE) AS far
+    FROM walk w JOIN rows_ y ON y.n = w.n + 1) t),
+combined AS (SELECT CAST(sample AS BIGINT) AS sample, {', '.join(f'r[{i + 1}] AS {c}' for i, c in enumerate(E))}, count(*) AS weight FROM walk GROUP BY sample, r)"""
+
+
 COARSE_CTE = f"{M}, coarse AS (SELECT line_no, round(e0, 1) AS e0, round(e1, 1) AS e1 FROM matrix)"
 CENTROID_CTE = f"{M}, cen AS (SELECT label, {', '.join(f'avg({c}) AS {c}' for c in E)} FROM matrix WHERE label < 2 GROUP BY label)"
 
@@ -548,6 +627,15 @@ SELECT line_no, CAST({FLIP} AS INTEGER) AS label FROM lab"""
 URL_HASH_SQL = f"SELECT page_id, round({fnv_sql('url')}, 6) AS url_hash FROM pages"
 
 ORACLES = {
+    "energy_total_whole": f"WITH {M} SELECT round({' + '.join(f'sum({c} * {c})' for c in E)}, 6) AS energy FROM matrix",
+    "combine_near_duplicates_whole": f"WITH RECURSIVE {M}, {combine_whole_cte('matrix')} SELECT sample, weight, {', '.join(r6(c, c) for c in E)} FROM combined",
+    "dbscan_combined_whole": density_sql(
+        f"{Z_CTE}, {combine_whole_cte('z')}, m AS (SELECT sample AS line_no, {', '.join(E)}, weight AS w FROM combined)",
+        WHOLE_EPS,
+        MIN_SAMPLES,
+        "line_no AS sample, w AS weight, " + DBSCAN_LABEL,
+        E,
+    ),
     "dbscan_whole": density_sql(WHOLE_CTE, WHOLE_EPS, MIN_SAMPLES, "line_no, " + DBSCAN_LABEL, E),
     "optics_whole": density_sql(WHOLE_CTE, WHOLE_EPS, MIN_SAMPLES, "line_no, " + OPTICS_LABEL, E),
     "tsvd_row_energy": f"WITH {Z_CTE} SELECT line_no, round({' + '.join(f'{c} * {c}' for c in E)}, 6) AS energy FROM z",

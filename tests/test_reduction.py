@@ -94,3 +94,39 @@ def test_kmeans_more_clusters_than_points(spark):
     df, cols = frame(spark, np.array([[1.0, 1.0]] * 4 + [[2.0, 0.0]] * 2))
     fitted = ls.kmeans(df, cols, 3)
     assert fitted.transform(df).where("cluster = 0").count() == 4
+
+
+def test_whole_vector_queries(spark):
+    import __spark_entry__ as entry
+    from logsift.checks.analysis import E
+    from logsift.checks.views import matrix
+
+    sf = "/root/testdata/sf0.001"
+    run = lambda name: entry.queries()[f"{name}_whole"](spark, sf)
+    x = values(matrix(spark, sf), E)
+    assert x.shape[1] == 64
+
+    def svd(m):
+        _, s, vt = np.linalg.svd(m, full_matrices=False)
+        size = np.abs(vt)
+        lead = (size >= size.max(axis=1, keepdims=True) - 1e-9).argmax(axis=1)
+        vt = vt * np.where(vt[np.arange(len(vt)), lead] < 0, -1, 1)[:, None]
+        return s, vt, m @ vt.T
+
+    _, _, us = svd((x - x.mean(axis=0)) / x.std(axis=0))
+    assert np.allclose(values(run("tsvd"), ["c0", "c1"]), us[:, :2], atol=2e-6)
+    s, vt, us = svd(x)
+    assert np.allclose(values(run("tsvd_unscaled"), ["c0", "c1"]), us[:, :2], atol=2e-6)
+    curve = run("energy_curve").toPandas().sort_values("component")
+    assert np.allclose(curve["singular_value"], s, atol=2e-6)
+    assert np.allclose(curve["t"], np.cumsum(s**2) / (s**2).sum(), atol=2e-6)
+    vectors = curve[E].to_numpy()
+    assert np.allclose(vectors @ vectors.T, np.eye(64), atol=1e-4)
+    ratios = run("variance_ratios").toPandas().sort_values("component")["variance_ratio"]
+    assert np.allclose(ratios, us[:, :2].var(axis=0) / x.var(axis=0).sum(), atol=2e-6)
+    assert abs(run("reconstruction_error").head().error - np.sqrt((s[2:] ** 2).sum())) < 2e-6
+    r = np.abs(us[:, :2])
+    assert np.allclose(values(run("tsvd_srss"), ["r0", "r1"]), r, atol=2e-6)
+    loss = (us[:, 2:] ** 2).sum(axis=1)
+    score = (loss - loss.min()) / (loss.max() - loss.min())
+    assert np.allclose(values(run("reconstruction_anomaly_score"), ["score"])[:, 0], score, atol=2e-6)
