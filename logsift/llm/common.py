@@ -84,6 +84,14 @@ def _offsets(column: pa.Array) -> np.ndarray:
     return whole[column.offset : column.offset + len(column) + 1]
 
 
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices of all cells of ranges, range after range."""
+    ends = np.cumsum(sizes)
+    out = np.repeat(starts - ends + sizes, sizes)
+    out += np.arange(len(out))
+    return out
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit numbers as the longs of Spark."""
     return x.view(np.int64)
