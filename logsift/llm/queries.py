@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,13 +11,17 @@ from logsift.llm.chat import fold_events, read_back, render
 from logsift.llm.common import table
 from logsift.llm.decontam import contamination
 from logsift.llm.language import held_out, language_counts, predict_languages
+from logsift.llm.manifest import SQL as MANIFEST_SQL
+from logsift.llm.manifest import manifest
 from logsift.llm.near_dedup import near_duplicates
 from logsift.llm.packing import pack_documents
+from logsift.llm.periodic import made_periodic, periodic_runs
 from logsift.llm.quality import judged
 from logsift.llm.secrets import BASE, find_secrets, kind_count, span_text
 from logsift.llm.suffix_tree import scored
 from logsift.llm.token_files import read_token_files, write_token_files
 from logsift.llm.url_filter import judged_urls
+from logsift.llm.word_bpe import decoded, encoded
 from logsift.scratch import materialize, scratch_path
 
 
@@ -91,6 +95,40 @@ def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("items_sha256", digest).drop("items")
 
 
+def op11_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    back = decoded(encoded(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op12_block_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(table(spark, sf_dir, "documents"), made_periodic)
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+
+    def greater(best: Column, run: Column) -> Column:
+        more = best.isNull() | (run["length"] * best["period"] > best["length"] * run["period"])
+        return F.when(more, run).otherwise(best)
+
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.withColumn("best", F.aggregate("runs", none, greater)).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_recursive_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simple8b": op1_simple8b,
     "op2_weak_supervision": op2_weak_supervision,
@@ -102,6 +140,10 @@ QUERIES = {
     "op8_language_mixture": op8_language_mixture,
     "op9_boosted_urls": op9_boosted_urls,
     "op10_positional_index": op10_positional_index,
+    "op11_merge_rounds": op11_merge_rounds,
+    "op12_block_convolution": op12_block_convolution,
+    "op13_recursive_climb": op13_recursive_climb,
 }
 
-ORACLES: dict[str, str] = {}
+# SQL has no byte-pair merges, transforms, tokenizers or similarity groups; the others have tests.
+ORACLES: dict[str, str] = {"op13_recursive_climb": MANIFEST_SQL}
