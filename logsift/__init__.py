@@ -40,7 +40,7 @@ from logsift.operators.imapd_log import (
 from logsift.operators.kmeans import kmeans
 from logsift.operators.mail_log import parse_mail
 from logsift.operators.near_duplicates import combine_near_duplicates
-from logsift.operators.points import align_by_line, append_centroids, plot_points
+from logsift.operators.points import align_by_line, append_centroids, plot_points, thin_points
 from logsift.operators.profile import profile
 from logsift.operators.scaling import fit_scaler, standardize
 from logsift.operators.svd import (
@@ -55,10 +55,13 @@ from logsift.operators.svd import (
     variance_ratios,
 )
 from logsift.operators.syslog import parse_messages
+from logsift.plans.model import LogModel, load_model, model_versions
 from logsift.plans.pipeline import LogPipeline
 from logsift.sources.labels import read_labels
 from logsift.sources.log_lines import read_log_lines
 from logsift.sources.results import save_results
+from logsift.streaming.auth_counts import read_auth_counts, stream_auth_counts
+from logsift.streaming.scoring import read_scored, score_stream, stream_log_lines
 
 __all__ = [
     name for name in dir() if not name.startswith("_") and name not in ("sys", "cloudpickle")

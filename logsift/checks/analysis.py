@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from logsift.checks.parsing import ACCESS_CTE, AUTH_CTE
-from logsift.checks.views import DIMS, lines, matrix, rounded, table, view_sql
+from logsift.checks.views import DIMS, line_stream, lines, matrix, rounded, table, view_sql
 from logsift.functions.fnv import fnv1_64_unit
 from logsift.operators.access_log import parse_access
 from logsift.operators.anomaly import (
@@ -13,16 +15,18 @@ from logsift.operators.anomaly import (
     classify_euclidean,
     cosine_to_centroids,
     euclidean_to_centroids,
+    labels_reversed,
     orient_labels,
     reduce_log,
+    two_centroids,
 )
 from logsift.operators.density import cluster_centroids, cluster_sizes, dbscan, optics
 from logsift.operators.features import hash_encode, select_features
 from logsift.operators.kmeans import kmeans
 from logsift.operators.near_duplicates import combine_near_duplicates
-from logsift.operators.points import align_by_line, append_centroids, plot_points
+from logsift.operators.points import align_by_line, append_centroids, plot_points, thin_points
 from logsift.operators.profile import profile
-from logsift.operators.scaling import standardize
+from logsift.operators.scaling import fit_scaler, standardize
 from logsift.operators.svd import (
     centroid_distance,
     reconstruct,
@@ -34,8 +38,10 @@ from logsift.operators.svd import (
     tsvd_srss,
     variance_ratios,
 )
+from logsift.plans.model import LogModel, Step, load_model
 from logsift.plans.pipeline import LogPipeline
-from logsift.scratch import materialize
+from logsift.scratch import materialize, scratch_path
+from logsift.streaming.scoring import read_scored, score_stream
 
 E = [f"e{i}" for i in range(DIMS)]
 PLANE = ["e0", "e1"]
@@ -282,6 +288,12 @@ def plot_points_3d_query(spark, sf_dir):
     return _round_all(points, ["x", "y", "z"], "line_no", "log_line", "label")
 
 
+def thin_points_query(spark, sf_dir):
+    """Two points of each of 8 x 8 x 8 boxes and label, with the rows they stand for."""
+    points = plot_points(matrix(spark, sf_dir), E, 3, _line_labels(spark, sf_dir))
+    return _round_all(thin_points(points, 2, 8), ["x", "y", "z", "weight"], "line_no", "log_line", "label")
+
+
 def append_centroids_query(spark, sf_dir):
     points = append_centroids(plot_points(matrix(spark, sf_dir), E, 2), _centroids(spark, sf_dir), E)
     return _round_all(points, ["x", "y"], "line_no", "log_line", "label")
@@ -322,6 +334,32 @@ def distance_labels_query(spark, sf_dir):
     return orient_labels(labelled, "class").select("line_no", "label")
 
 
+def _distance_model(spark, sf_dir):
+    """The model of ``distance_labels_query``."""
+    columns = ["bytes_sent", "status", "referer"]
+    features = _access_features(spark, sf_dir).withColumn("class", F.col("status"))
+    scaler = fit_scaler(features, columns)
+    source = materialize(scaler.transform(features), "scaled")
+    group = F.when(F.col("class") == 0.2, 1).otherwise(0)
+    centroids = two_centroids(cluster_centroids(source.withColumn("label", group), columns), columns)
+    model = LogModel("access", "euclidean", {}, [Step("scale", columns, scaler)], columns, centroids)
+    return replace(model, swap=labels_reversed(model.finish(source), "class").head()[0])
+
+
+def stored_model_query(spark, sf_dir):
+    """Labels by a model that was stored and loaded."""
+    path = scratch_path(spark, "model")
+    _distance_model(spark, sf_dir).save(spark, path)
+    return load_model(spark, path).score(lines(spark, sf_dir, "access_lines")).select("line_no", "label")
+
+
+def score_stream_query(spark, sf_dir):
+    """The same labels over a stream of the files of the table."""
+    path, model = scratch_path(spark, "scored"), _distance_model(spark, sf_dir)
+    score_stream(model, line_stream(spark, sf_dir, "access_lines"), path, availableNow=True).awaitTermination()
+    return read_scored(spark, path, model).select("line_no", "label")
+
+
 # Standardised whole vectors are about 8 to 12 apart.
 WHOLE_EPS = 9.6
 
@@ -455,11 +493,14 @@ QUERIES = {
     "reduce_log": reduce_log_query,
     "plot_points": plot_points_query,
     "plot_points_3d": plot_points_3d_query,
+    "thin_points": thin_points_query,
     "append_centroids": append_centroids_query,
     "align_by_line": align_query,
     "log_pipeline": pipeline_query,
     "log_pipeline_reduced_log": reduced_log_query,
     "log_distance_labels": distance_labels_query,
+    "stored_model_labels": stored_model_query,
+    "score_stream": score_stream_query,
     "log_pipeline_corrupt_lines": corrupt_lines_query,
     "dbscan_whole": dbscan_whole_query,
     "optics_whole": optics_whole_query,
@@ -680,9 +721,16 @@ SELECT 0::INTEGER AS component, {r6('var_pop(c0) / (SELECT v FROM t)', 'variance
     "orient_labels_cosine": f"WITH {COSINE_CTE} SELECT line_no, {FLIP} AS label FROM lab",
     "reduce_log": f"WITH {ACCESS_CTE} SELECT l.line_no, l.value FROM access_lines l JOIN access a ON a.line_no = l.line_no WHERE a.status <> 0.2",
     "plot_points": f"WITH {M} SELECT m.line_no, 'Log Line: ' || m.line_no AS log_line, coalesce(CAST(t.toxic AS VARCHAR), '0') AS label, {r6('m.e0', 'x')}, {r6('m.e1', 'y')} FROM matrix m {LABEL_JOIN}",
+    "thin_points": f"""WITH {M}, points AS (SELECT m.line_no, coalesce(CAST(t.toxic AS VARCHAR), '0') AS label, m.e0 AS x, m.e1 AS y, m.e2 AS z FROM matrix m {LABEL_JOIN}),
+ ends AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM points),
+ boxed AS (SELECT p.*, least(floor((x - x0) * (8 / (x1 - x0))), 7) AS bx, least(floor((y - y0) * (8 / (y1 - y0))), 7) AS by_, least(floor((z - z0) * (8 / (z1 - z0))), 7) AS bz FROM points p, ends),
+ ranked AS (SELECT *, count(*) OVER (PARTITION BY label, bx, by_, bz) AS n, row_number() OVER (PARTITION BY label, bx, by_, bz ORDER BY md5(line_no::VARCHAR), line_no) AS k FROM boxed)
+ SELECT line_no, 'Log Line: ' || line_no AS log_line, label, {r6('x', 'x')}, {r6('y', 'y')}, {r6('z', 'z')}, {r6('n / least(n, 2)', 'weight')} FROM ranked WHERE k <= 2""",
     "plot_points_3d": f"WITH {M} SELECT m.line_no, 'Log Line: ' || m.line_no AS log_line, CAST(t.toxic AS VARCHAR) AS label, {r6('m.e0', 'x')}, {r6('m.e1', 'y')}, {r6('m.e2', 'z')} FROM matrix m JOIN labels t ON t.doc_id = m.line_no",
     "append_centroids": f"""WITH {CENTROID_CTE} SELECT line_no, 'Log Line: ' || line_no AS log_line, '0' AS label, {r6('e0', 'x')}, {r6('e1', 'y')} FROM matrix
 UNION ALL SELECT (SELECT max(line_no) FROM matrix) + 1 + label, 'Log Line: ' || ((SELECT max(line_no) FROM matrix) + 1 + label), 'Centroid ' || label, {r6('e0', 'x')}, {r6('e1', 'y')} FROM cen""",
     "align_by_line": f"WITH {M} SELECT m.line_no, t.toxic AS label, {r6('m.e0', 'e0')} FROM matrix m {LABEL_JOIN}",
     "log_distance_labels": DISTANCE_LABELS_SQL,
+    "stored_model_labels": DISTANCE_LABELS_SQL,
+    "score_stream": DISTANCE_LABELS_SQL,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.checks.views import lines, table, view_sql
+from logsift.checks.views import line_stream, lines, table, view_sql
 from logsift.operators.access_log import (
     REQUEST_COLUMNS,
     parse_access,
@@ -29,6 +29,7 @@ from logsift.scratch import scratch_path
 from logsift.sources.labels import label_of, read_labels
 from logsift.sources.log_lines import read_log_lines
 from logsift.sources.results import CSV_READ, save_results
+from logsift.streaming.auth_counts import read_auth_counts, stream_auth_counts
 
 MODE = "DROPMALFORMED"
 
@@ -134,6 +135,14 @@ def imapd_auth_counts_query(spark, sf_dir):
     return imapd_auth_counts(imapd_auth_events_query(spark, sf_dir))
 
 
+def stream_auth_counts_query(spark, sf_dir):
+    """The same counts from a stream of the files of the table, by keyed state."""
+    path = scratch_path(spark, "auth_counts")
+    stream = line_stream(spark, sf_dir, "imapd_lines", "ts")
+    stream_auth_counts(stream, path, "ts", mode=MODE, availableNow=True).awaitTermination()
+    return read_auth_counts(spark, path)
+
+
 def expand_tokens_query(spark, sf_dir):
     """Width found from the data; the longest row decides how many columns there are."""
     parsed = parse_messages(lines(spark, sf_dir, "syslog_lines"), mode=MODE)
@@ -171,6 +180,7 @@ QUERIES = {
     "parse_imapd_filtered": _widened(parse_imapd_filtered, "syslog_lines", 12),
     "imapd_auth_events": imapd_auth_events_query,
     "imapd_auth_counts": imapd_auth_counts_query,
+    "stream_auth_counts": stream_auth_counts_query,
     "expand_tokens": expand_tokens_query,
     "select_features": select_features_query,
 }
@@ -281,6 +291,7 @@ SELECT line_no, substr(p[1], 2) AS date_time, split_part(substr(p[4], 9), ':', 1
     "parse_imapd_filtered": syslog_sql("syslog_lines", 25, 12, True, True),
     "imapd_auth_events": f"WITH {AUTH_CTE} SELECT line_no, what, \"IP\", userid FROM auth",
     "imapd_auth_counts": f"WITH {AUTH_CTE} SELECT count_if(what = 0)::BIGINT AS login, count_if(what = 1)::BIGINT AS badlogin, count_if(what = 2)::BIGINT AS failed, \"IP\", userid FROM auth GROUP BY \"IP\", userid",
+    "stream_auth_counts": f"WITH {AUTH_CTE} SELECT count_if(what = 0)::BIGINT AS login, count_if(what = 1)::BIGINT AS badlogin, count_if(what = 2)::BIGINT AS failed, \"IP\", userid FROM auth GROUP BY \"IP\", userid",
     "expand_tokens": f"""WITH {view_sql('syslog_lines')}, raw AS (SELECT line_no, string_split(replace(replace(value, '  ', ' '), '  ', ' '), ' ') AS w FROM syslog_lines),
 tok AS (SELECT line_no, ({limited('w', 7, ' ')})[6:] AS m FROM raw) SELECT line_no, m[1] AS message_0, m[2] AS message_1 FROM tok""",
     "select_features": f"WITH {SPLITS_CTE} SELECT line_no, remote_host, bytes_sent, status, referer, command, parameters, version, {columns_of('us', 'url_split', 9)}, {columns_of('uas', 'user_agent_split', 11)} FROM cuts",

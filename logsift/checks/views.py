@@ -80,6 +80,14 @@ def lines(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(LINES[name], **{source: table(spark, sf_dir, source)})
 
 
+def line_stream(spark: SparkSession, sf_dir: str, name: str, *beside: str) -> DataFrame:
+    """A view over ``events`` as a stream of its files, with further columns of the table."""
+    # As a pattern, because a stream takes a single file by none but a pattern.
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+    text = LINES[name].replace("event_id AS line_no", ", ".join([*beside, "event_id AS line_no"]), 1)
+    return spark.sql(text, events=events)
+
+
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(line_no, e0..e63, label, status) from the embeddings."""
     source = table(spark, sf_dir, "embeddings")

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from logsift.scratch import materialize
 
 AXES = ["x", "y", "z"]
+# Most points of a box; up to so many Spark cuts each task's ranks before the shuffle.
+MOST_PER_BOX = 1000
 
 
 def align_by_line(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
@@ -40,6 +48,38 @@ def plot_points(
     )
 
 
+def thin_points(points: DataFrame, per_box: int = 20, boxes: int = 100) -> DataFrame:
+    """Few enough points to draw, with the ``weight`` that each stands for.
+
+    Every axis is cut into ``boxes`` parts between its ends. Of each box (and label, if there is one)
+    the ``per_box`` points whose line numbers have the lowest hashes stay, so the choice does not
+    depend on partitions, and a box that holds any point keeps one. Tasks send no more than
+    ``per_box`` points of a box. A point without a coordinate cannot be drawn and is left out.
+    """
+    if not 1 <= per_box <= MOST_PER_BOX:
+        raise ValueError(f"per_box must be 1..{MOST_PER_BOX}, got {per_box}")
+    axes = [c for c in AXES if c in points.columns]
+    drawn = points.where(reduce(and_, [F.col(c).isNotNull() & ~F.isnan(c) for c in axes]))
+    ends = materialize(
+        drawn.agg(*[f(c).alias(f"_{f.__name__}_{c}") for c in axes for f in (F.min, F.max)]), "ends"
+    )
+    cells = {}
+    for c in axes:
+        low, high = F.col(f"_min_{c}"), F.col(f"_max_{c}")
+        part = F.floor((F.col(c) - low) * (F.lit(float(boxes)) / (high - low)))
+        cells[f"_box_{c}"] = F.when(high > low, F.least(part, F.lit(boxes - 1))).otherwise(0)
+    box = [*cells, *[c for c in ("label",) if c in points.columns]]
+    boxed = drawn.join(F.broadcast(ends)).withColumns(cells)  # one row
+    rank = Window.partitionBy(*box).orderBy(F.md5(F.col("line_no").cast("string").cast("binary")), "line_no")
+    kept = boxed.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= per_box)
+    counts = boxed.groupBy(*box).agg(F.count("*").alias("_n"))
+    same = reduce(and_, [F.col(f"p.{c}").eqNullSafe(F.col(f"n.{c}")) for c in box])
+    weight = F.col("_n") / F.least(F.col("_n"), F.lit(per_box))
+    return kept.alias("p").join(counts.alias("n"), same).select(
+        *[F.col(f"p.{c}") for c in points.columns], weight.alias("weight")
+    )
+
+
 def append_centroids(points: DataFrame, centroids: DataFrame, columns: list[str]) -> DataFrame:
     """Add the centroids as points "Centroid i", numbered on after the last log line."""
     axes = [c for c in AXES if c in points.columns]

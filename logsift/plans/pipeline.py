@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field, fields
-from functools import reduce
-from operator import or_
+from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,25 +11,20 @@ from pyspark.sql import functions as F
 from logsift.functions.fnv import DEFAULT_INIT
 from logsift.operators import anomaly as labelling
 from logsift.operators.density import cluster_centroids, dbscan, optics
-from logsift.operators.features import KEY_COLUMNS, hash_encode, select_features
 from logsift.operators.kmeans import kmeans
 from logsift.operators.points import append_centroids, plot_points
 from logsift.operators.profile import profile
 from logsift.operators.svd import (
     centroid_distance,
     reconstruction_anomaly_score,
-    srss,
     tsvd,
     variance_ratios,
 )
 from logsift.plans.formats import TOKEN_ARRAYS, imapd_count_rows, parse_format, widen
+from logsift.plans.model import BESIDE, CARRIED, LINE, LogModel, Step, encode, key_columns
 from logsift.scratch import materialize
 from logsift.sources.results import save_results
 
-CARRIED = "status_class"  # status of the line, kept beside the features for orientation
-LINE = "_line"  # the line itself, so that the reduced log is a filter and no join
-MALFORMED, OVERFLOW = "malformed", "overflow"  # what is told of later lines
-BESIDE = (*KEY_COLUMNS, CARRIED, LINE, MALFORMED, OVERFLOW)
 SVD_OPTIONS = {
     "tsvd": {"n_components"},
     "tsvd_srss": {"maximum", "split"},
@@ -42,13 +35,13 @@ SVD_OPTIONS = {
 
 @dataclass
 class Stage:
-    """What a stage hands on: its output matrix, named tables, centroids, and how to rerun it."""
+    """What a stage hands on: its output matrix, named tables, centroids, and what it fitted."""
 
     output: DataFrame
     columns: list[str]
     tables: dict[str, DataFrame] = field(default_factory=dict)
     centroids: DataFrame | None = None
-    apply: Callable[[DataFrame], DataFrame] | None = None
+    fitted: Step | None = None
 
 
 def _svd_stage(table: DataFrame, columns: list[str], kind: str, **options) -> Stage:
@@ -67,25 +60,19 @@ def _svd_stage(table: DataFrame, columns: list[str], kind: str, **options) -> St
     us = svd.transform(table)
     tables = {"US": us, **svd.tables(spark), "variance_ratios": variance_ratios(table, svd)}
     if kind == "tsvd_srss":
-        split = options.get("split", 1)
-
-        def apply(new: DataFrame) -> DataFrame:
-            return srss(svd.transform(new), svd.reduced_columns, split, components)
-
-        reduced = apply(table)
-        return Stage(reduced, ["r0", "r1"], {**tables, "srss_reduction": reduced}, None, apply)
+        fitted = Step(
+            "srss", list(columns), svd=svd, split=options.get("split", 1), maximum=components
+        )
+        reduced = fitted.apply(table)
+        return Stage(reduced, ["r0", "r1"], {**tables, "srss_reduction": reduced}, None, fitted)
     if kind == "tsvd_distance":
         tables["distance"] = centroid_distance(us, svd.reduced_columns).select(
-            *_keys(us), "distance"
+            *key_columns(us), "distance"
         )
     if kind == "tsvd_score":
         scored = reconstruction_anomaly_score(table, columns, options.get("score_components", 2))
-        tables["anomaly_score"] = scored.select(*_keys(us), "score")
-    return Stage(us, svd.reduced_columns, tables, None, svd.transform)
-
-
-def _keys(table: DataFrame) -> list[str]:
-    return [c for c in (*KEY_COLUMNS, "sample") if c in table.columns]
+        tables["anomaly_score"] = scored.select(*key_columns(us), "score")
+    return Stage(us, svd.reduced_columns, tables, None, Step("svd", list(columns), svd=svd))
 
 
 def _kmeans_stage(table: DataFrame, columns: list[str], **options) -> Stage:
@@ -93,10 +80,11 @@ def _kmeans_stage(table: DataFrame, columns: list[str], **options) -> Stage:
     clustered = fitted.transform(table)
     centroids = fitted.centroid_table(table.sparkSession)
     tables = {
-        "KMeans_Results": clustered.select(*_keys(clustered), "cluster"),
+        "KMeans_Results": clustered.select(*key_columns(clustered), "cluster"),
         "KMeans_Centroids": centroids,
     }
-    return Stage(clustered.drop("cluster"), columns, tables, centroids, fitted.scaled)
+    step = Step("scale", list(columns), fitted.scaler)
+    return Stage(clustered.drop("cluster"), columns, tables, centroids, step)
 
 
 def _density_stage(table: DataFrame, columns: list[str], kind: str, **options) -> Stage:
@@ -105,7 +93,7 @@ def _density_stage(table: DataFrame, columns: list[str], kind: str, **options) -
     centroids = cluster_centroids(labelled, columns)
     name = kind.upper()
     tables = {
-        f"{name}_Results": labelled.select(*_keys(labelled), "label", "is_core"),
+        f"{name}_Results": labelled.select(*key_columns(labelled), "label", "is_core"),
         f"{name}_Centroids": centroids,
     }
     if "sample" in labelled.columns:
@@ -118,7 +106,7 @@ def run_stage(table: DataFrame, columns: list[str], stage: str | Callable, optio
     if callable(stage):
         output = stage(table)
         kept = [c for c in output.columns if c not in BESIDE]
-        return Stage(output, kept, {"custom": output}, None, stage)
+        return Stage(output, kept, {"custom": output}, None, Step("custom", function=stage))
     if stage in ("tsvd", "tsvd_srss", "tsvd_distance", "tsvd_score"):
         return _svd_stage(table, columns, stage, **options)
     if stage == "kmeans":
@@ -137,7 +125,7 @@ class LogRun:
     columns: list[str]
     centroids: DataFrame | None
     options: dict[str, object] = field(default_factory=dict)
-    scorer: Callable[[DataFrame], DataFrame] | None = None
+    model: LogModel | None = None
 
     def points(self, dims: int = 2, labels: DataFrame | None = None, how: str = "left") -> DataFrame:
         """Point table of the output matrix, with the centroids if there are any."""
@@ -150,15 +138,23 @@ class LogRun:
         """Write all tables and the options of the run."""
         save_results(self.tables, path, self.options, file_format, mode)
 
+    def fitted(self) -> LogModel:
+        """What labels later lines; an error if the run cannot."""
+        if self.model is None:
+            raise ValueError("the run has no label step that can be applied to new lines")
+        return self.model
+
     def score(self, lines: DataFrame) -> DataFrame:
         """Label new lines with the fitted scaling, components and centroids.
 
         ``malformed`` lines have label 1 and no distances; ``overflow`` tells of lines with more
         parts than any line of the run, whose last part holds the rest.
         """
-        if self.scorer is None:
-            raise ValueError("the run has no label step that can be applied to new lines")
-        return self.scorer(lines)
+        return self.fitted().score(lines)
+
+    def save_model(self, path: str) -> int:
+        """Store what was fitted as the next version under ``path``; see ``load_model``."""
+        return self.fitted().save(self.output.sparkSession, path)
 
 
 @dataclass
@@ -185,13 +181,6 @@ class LogPipeline:
     hash_init: int = DEFAULT_INIT
     hash_engine: str = "arrow"
 
-    def _encode(self, raw: DataFrame, widths: dict[str, int]) -> DataFrame:
-        chosen = select_features(widen(raw, self.log_format, widths), self.log_format)
-        if "status" in chosen.columns:
-            chosen = chosen.withColumn(CARRIED, F.col("status"))
-        names = [c for c in chosen.columns if c not in BESIDE]
-        return hash_encode(chosen, names, self.hash_init, self.hash_engine)
-
     def _options(self) -> dict[str, object]:
         named = {f.name: getattr(self, f.name) for f in fields(self)}
         return {k: getattr(v, "__name__", v) for k, v in named.items()}
@@ -214,22 +203,12 @@ class LogPipeline:
         keys = [c for c in lines.columns if c != "value"]
         return counts, bad.where("_corrupt is not null").select(*keys, F.col("_corrupt").alias("value"))
 
-    def _label(self, matrix: DataFrame, columns: list[str], centroids) -> DataFrame:
-        if self.anomaly == "euclidean":
-            return labelling.classify_euclidean(
-                labelling.euclidean_to_centroids(matrix, columns, centroids)
-            )
-        if self.anomaly == "cosine":
-            return labelling.classify_cosine(
-                labelling.cosine_to_centroids(matrix, columns, centroids)
-            )
-        raise ValueError(f"anomaly must be 'euclidean' or 'cosine', got {self.anomaly!r}")
-
     def run(self, lines: DataFrame, labels: DataFrame | None = None) -> LogRun:
         """All tables of the run. The raw table and the features are written once and reread."""
         raw, corrupt = self._parsed(lines)
         widths = _widths(raw)
-        features = materialize(self._encode(raw, widths), "features")
+        encoded = encode(raw, self.log_format, widths, self.hash_init, self.hash_engine)
+        features = materialize(encoded, "features")
         columns = [c for c in features.columns if c not in BESIDE]
         tables = {
             "raw_data": widen(raw.drop(LINE), self.log_format, widths),
@@ -256,21 +235,19 @@ class LogPipeline:
             raise ValueError("the label step needs a stage with centroids")
 
         centers = labelling.two_centroids(last.centroids, last.columns)
-        marked = self._label(last.output, last.columns, centers)
+        steps = [first.fitted] if self.then is None else [first.fitted, last.fitted]
+        settings = (self.mode, self.hash_init, self.hash_engine)
+        model = LogModel(
+            self.log_format, self.anomaly, widths, steps, list(last.columns), centers, False, *settings
+        )
         # the swap is decided once on this log and then kept for later lines
-        swap = False
-        if self.orient and CARRIED in marked.columns:
-            swap = labelling.labels_reversed(marked, CARRIED).head()[0]
-
-        def finish(table: DataFrame) -> DataFrame:
-            if swap:
-                return table.withColumn("label", F.lit(1) - F.col("label"))
-            return table
-
-        distances = [c for c in ("d0", "d1", "s0", "s1") if c in marked.columns]
-        done = finish(marked)
-        tables["anomaly_reduction_results"] = done.select(*_keys(done), *distances)
-        anomalies = done.select(*_keys(done), "label")
+        if self.orient and CARRIED in last.output.columns:
+            swap = labelling.labels_reversed(model.finish(last.output), CARRIED).head()[0]
+            model = replace(model, swap=swap)
+        done = model.finish(last.output)
+        distances = [c for c in ("d0", "d1", "s0", "s1") if c in done.columns]
+        tables["anomaly_reduction_results"] = done.select(*key_columns(done), *distances)
+        anomalies = done.select(*key_columns(done), "label")
         tables["identified_anomalies"] = anomalies
         if self.log_format != "imapd_counts" and "line_no" in done.columns and "sample" not in done.columns:
             if LINE in done.columns:
@@ -282,23 +259,8 @@ class LogPipeline:
                 reduced = reduced.unionByName(corrupt.select(*lines.columns))
             tables["reduced_log"] = reduced
 
-        steps = [first.apply] if self.then is None else [first.apply, last.apply]
         if all(step is not None for step in steps):
-
-            def scorer(new_lines: DataFrame) -> DataFrame:
-                parsed = parse_format(new_lines, self.log_format, self.mode)
-                bad = F.col("_corrupt").isNotNull() if "_corrupt" in parsed.columns else F.lit(False)
-                long = [F.coalesce(F.size(a) > n, F.lit(False)) for a, n in widths.items()]
-                told = {MALFORMED: bad, OVERFLOW: reduce(or_, long, F.lit(False))}
-                matrix = self._encode(parsed.withColumns(told), widths)
-                for step in steps:
-                    matrix = step(matrix)
-                marked = finish(self._label(matrix, last.columns, centers))
-                cells = [F.when(~F.col(MALFORMED), F.col(c)).alias(c) for c in distances]
-                label = F.when(F.col(MALFORMED), 1).otherwise(F.col("label")).alias("label")
-                return marked.select(*_keys(marked), *cells, label, MALFORMED, OVERFLOW)
-
-            run.scorer = scorer
+            run.model = model
         return run
 
 

@@ -32,8 +32,8 @@ _open_blocks: list[list[str]] = []
 def scratch_base(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which all executors share.
 
-    Outside local mode an unset or machine-local folder is an error; in local mode an unset one
-    is a temporary folder of the process.
+    Outside local mode an unset folder is an error (whether a set one is shared cannot be told from
+    its name); in local mode an unset one is a temporary folder of the process.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
@@ -74,9 +74,15 @@ def temporary_tables(spark: SparkSession):
             _delete(spark, path)
 
 
+def file_system(spark: SparkSession, folder: str):
+    """(file system that holds ``folder``, constructor of its paths)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    fs, path = file_system(spark, folder)
+    fs.delete(path(folder), True)
 
 
 def discard(*written: DataFrame) -> None:
