@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsift.functions.vectors import dot, literals, squared_distance, squared_norm
+from logsift.scratch import materialize
 
 OK_CLASS = 0.2
 
@@ -69,7 +70,11 @@ def labels_reversed(table: DataFrame, status: str = "status") -> DataFrame:
 
 
 def orient_labels(table: DataFrame, status: str = "status") -> DataFrame:
-    """Swap 0 and 1 everywhere if most failed requests carry label 1."""
+    """Swap 0 and 1 everywhere if most failed requests carry label 1.
+
+    The table is written once; the decision and the result are both read from there.
+    """
+    table = materialize(table, "oriented")
     reversed_ = labels_reversed(table, status).scalar()
     return table.withColumn(
         "label", F.when(reversed_, F.lit(1) - F.col("label")).otherwise(F.col("label"))

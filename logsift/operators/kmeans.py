@@ -1,7 +1,15 @@
-"""k-means labels and centroids."""
+"""k-means labels and centroids.
+
+The start is k-means|| (Bahmani et al. 2012): in each of a few passes every row draws by a hash of its
+values, with a chance in proportion to its cost, whether it becomes a candidate; the candidates, weighted
+by the rows nearest to them, are then clustered on the driver. All restarts go through each pass
+together. A pass sums in Arrow batches inside the tasks and sends k x columns numbers; a table that
+fits one task goes through all passes inside that task, by the same code.
+"""
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,12 +23,16 @@ from logsift.operators.scaling import Scaler, fit_scaler, require_filled
 from logsift.scratch import materialize
 
 DEFAULT_SEED = 12345
-# Rows, chosen by the hash of their values, among which the first centroids are sought.
+# Up to this many distinct rows all are candidates for the start.
 START_ROWS = 2_000
-# Distinct rows for which a task is worth starting in every round.
-ROWS_PER_TASK = 100_000
+# Passes that draw candidates, and draws expected in each for every cluster.
+DRAWS, DRAWN = 5, 2
+# Distinct rows for which a task is worth starting in every round, and numbers that fit one task.
+ROWS_PER_TASK, CELLS_PER_TASK = 100_000, 8_000_000
 # Digits of a centroid that are kept, so that the order of a sum does not matter.
 DIGITS = 9
+# Starts tried on the candidates.
+TRIES = 8
 
 
 @dataclass(frozen=True)
@@ -28,6 +40,7 @@ class KMeansResult:
     columns: list[str]
     scaler: Scaler | None
     centroids: list[list[float]]
+    converged: bool = True
 
     def scaled(self, table: DataFrame) -> DataFrame:
         return self.scaler.transform(table) if self.scaler else table
@@ -57,18 +70,191 @@ def _rounded(values) -> list[float]:
     return [round(float(v), DIGITS) + 0.0 for v in values]
 
 
-def _first_centroids(rows: list[list[float]], k: int) -> list[list[float]]:
-    """Farthest-first choice among sorted rows: the one farthest from their mean, then the rest."""
-    mean = [sum(r[i] for r in rows) / len(rows) for i in range(len(rows[0]))]
-    gap = lambda a, b: sum((x - y) * (x - y) for x, y in zip(a, b))
-    chosen: list[list[float]] = []
-    near = [gap(r, mean) for r in rows]
-    for _ in range(k):
-        best = max(range(len(rows)), key=lambda i: (near[i], -i))
-        chosen.append(rows[best])
-        new = [gap(r, rows[best]) for r in rows]
-        near = new if len(chosen) == 1 else [min(a, b) for a, b in zip(near, new)]
-    return chosen
+def _ranks(x: np.ndarray, seed: int) -> np.ndarray:
+    """A number in [0, 1) drawn by each row from its values and the seed."""
+    with np.errstate(over="ignore"):
+        h = np.full(len(x), np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+        for bits in np.ascontiguousarray((x + 0.0).T).view(np.uint64):
+            h = (h ^ bits) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(32)
+    return h.astype(float) / 2.0**64
+
+
+def _gaps(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return np.stack([((x - c) ** 2).sum(axis=1) for c in centers], axis=1)
+
+
+def _sums(x: np.ndarray, n: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Per centre: weight, cost and weighted sum of the rows nearest to it."""
+    gaps = _gaps(x, centers)
+    near = gaps.argmin(axis=1)
+    out = np.zeros((len(centers), x.shape[1] + 2))
+    out[:, 0] = np.bincount(near, weights=n, minlength=len(centers))
+    out[:, 1] = np.bincount(near, weights=gaps[np.arange(len(x)), near] * n, minlength=len(centers))
+    for c in range(len(centers)):
+        mine = near == c
+        out[c, 2:] = (x[mine] * n[mine, None]).sum(axis=0)
+    return out
+
+
+def _drawn(x: np.ndarray, n: np.ndarray, centers: np.ndarray, cost: float, number: int, seed: int) -> np.ndarray:
+    """Rows that become candidates: ``number`` of them in expectation if ``cost`` is the cost of all."""
+    chance = number * n * _gaps(x, centers).min(axis=1) / cost if cost > 0 else np.zeros(len(x))
+    return x[_ranks(x, seed) < chance]
+
+
+class _LocalPasses:
+    """Passes over rows and weights in memory."""
+
+    def __init__(self, x: np.ndarray, n: np.ndarray):
+        self.x, self.n, self.rows = x, n, len(x)
+
+    def all_rows(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.x, self.n
+
+    def first(self, seed: int) -> np.ndarray:
+        """The row of lowest rank."""
+        rank = _ranks(self.x, seed)
+        return self.x[min(np.flatnonzero(rank == rank.min()), key=lambda i: self.x[i].tolist())]
+
+    def sums(self, starts: list[np.ndarray]) -> list[np.ndarray]:
+        return [_sums(self.x, self.n, c) for c in starts]
+
+    def drawn(self, starts: list[np.ndarray], costs: list[float], number: int, seeds: list[int]) -> list[np.ndarray]:
+        return [_drawn(self.x, self.n, c, f, number, s) for c, f, s in zip(starts, costs, seeds, strict=True)]
+
+
+@dataclass(frozen=True)
+class _Reader:
+    """Arrow batches (x, _n) as scaled rows and weights."""
+
+    shift: np.ndarray
+    scale: np.ndarray
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy().reshape(-1, len(self.shift))
+            yield (x - self.shift) / self.scale, batch.column(1).to_numpy().astype(float)
+
+
+class _SparkPasses:
+    """The same passes over a written table (x, _n), a job each."""
+
+    def __init__(self, points: DataFrame, rows: int, shift: np.ndarray, scale: np.ndarray):
+        self.points = points.coalesce(-(-rows // ROWS_PER_TASK) or 1).select("x", "_n")
+        self.rows, self.shift, self.scale = rows, shift, scale
+
+    def _found(self, task, schema: str) -> DataFrame:
+        read = _Reader(self.shift, self.scale)
+        return self.points.mapInArrow(lambda batches: task(read(batches)), schema)
+
+    def all_rows(self) -> tuple[np.ndarray, np.ndarray]:
+        rows = self.points.collect()  # START_ROWS at most
+        x = np.array([r[0] for r in rows], float)
+        return (x - self.shift) / self.scale, np.array([r[1] for r in rows], float)
+
+    def first(self, seed: int) -> np.ndarray:
+        def task(parts):
+            for x, n in parts:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([_ranks(x, seed).min()]), pa.array([_LocalPasses(x, n).first(seed).tolist()])], ["rank", "x"]
+                )
+
+        return np.array(self._found(task, "rank double, x array<double>").orderBy("rank", "x").head()["x"])
+
+    def sums(self, starts: list[np.ndarray]) -> list[np.ndarray]:
+        def task(parts):
+            total = [np.zeros((len(c), c.shape[1] + 2)) for c in starts]
+            for x, n in parts:
+                for t, c in zip(total, starts, strict=True):
+                    t += _sums(x, n, c)
+            flat = np.concatenate([t.reshape(-1) for t in total])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["cell", "value"])
+
+        flat = np.zeros(sum(len(c) * (c.shape[1] + 2) for c in starts))
+        for row in self._found(task, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect():
+            flat[row.cell] = row.value
+        out = []
+        for c in starts:
+            size = len(c) * (c.shape[1] + 2)
+            out.append(flat[:size].reshape(len(c), -1))
+            flat = flat[size:]
+        return out
+
+    def drawn(self, starts: list[np.ndarray], costs: list[float], number: int, seeds: list[int]) -> list[np.ndarray]:
+        def task(parts):
+            for x, n in parts:
+                for k, (c, cost, seed) in enumerate(zip(starts, costs, seeds, strict=True)):
+                    rows = _drawn(x, n, c, cost, number, seed)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(rows), k, np.int32)), pa.array(rows.tolist(), pa.list_(pa.float64()))], ["start", "x"]
+                    )
+
+        out: list[list] = [[] for _ in starts]
+        for row in self._found(task, "start int, x array<double>").collect():  # a few times ``number``
+            out[row.start].append(row.x)
+        return [np.array(sorted(rows), float).reshape(-1, len(self.shift)) for rows in out]
+
+
+def _chosen(x: np.ndarray, n: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """The best of a few k-means runs on weighted candidates, each from a start drawn by cost."""
+    order = np.lexsort(x.T[::-1])
+    x, n = x[order], n[order]
+    best, found = None, x[:k]
+    for draw in range(TRIES):
+        random = np.random.default_rng([seed, draw])
+        centers = [x[random.choice(len(x), p=n / n.sum())]]
+        while len(centers) < k:
+            chance = n * _gaps(x, np.array(centers)).min(axis=1)
+            if not chance.sum():
+                break
+            centers.append(x[random.choice(len(x), p=chance / chance.sum())])
+        centers = np.array(centers)
+        for _ in range(100):
+            sums = _sums(x, n, centers)
+            moved = np.where(sums[:, :1] > 0, sums[:, 2:] / np.maximum(sums[:, :1], 1e-300), centers)
+            if np.allclose(moved, centers, rtol=0, atol=1e-12):
+                break
+            centers = moved
+        cost = round(float(_sums(x, n, centers)[:, 1].sum()), 6)
+        if len(centers) == k and (best is None or cost < best):
+            best, found = cost, centers
+    return found
+
+
+def _starts(passes, k: int, seeds: list[int]) -> list[np.ndarray]:
+    """First centroids of each restart."""
+    if passes.rows <= START_ROWS:
+        x, n = passes.all_rows()
+        return [_chosen(x, n, k, seed) for seed in seeds]
+    found = [passes.first(seed)[None] for seed in seeds]
+    for turn in range(DRAWS):
+        costs = [round(float(s[:, 1].sum()), 6) for s in passes.sums(found)]
+        draws = passes.drawn(found, costs, DRAWN * k, [seed + 7919 * (turn + 1) for seed in seeds])
+        found = [np.unique(np.concatenate([a, b]), axis=0) for a, b in zip(found, draws, strict=True)]
+    sums = passes.sums(found)
+    return [_chosen(c, s[:, 0], k, seed) for c, s, seed in zip(found, sums, seeds, strict=True)]
+
+
+def _fitted(passes, k: int, seeds: list[int], max_iter: int) -> tuple[list[int], list[list[float]], bool]:
+    """(sizes, centroids, fixed point reached) of the cheapest restart."""
+    runs = {i: [_rounded(c) for c in start] for i, start in enumerate(_starts(passes, min(k, passes.rows), seeds))}
+    done: dict[int, tuple] = {}
+    for turn in range(max_iter):
+        open_ = [i for i in runs if i not in done]
+        for i, total in zip(open_, passes.sums([np.array(runs[i]) for i in open_]), strict=True):
+            moved = [_rounded(t[2:] / t[0]) if t[0] else list(c) for t, c in zip(total, runs[i], strict=True)]
+            result = (round(float(total[:, 1].sum()), 6), [int(t) for t in total[:, 0]], runs[i])
+            if moved == runs[i]:
+                done[i] = (*result, True)
+            elif turn == max_iter - 1:
+                done[i] = (*result, False)
+            runs[i] = moved
+        if len(done) == len(runs):
+            break
+    _, sizes, centers, fixed = min((done[i] for i in sorted(done)), key=lambda d: d[0])
+    return sizes, centers, fixed
 
 
 def kmeans(
@@ -82,67 +268,46 @@ def kmeans(
 ) -> KMeansResult:
     """Fit k-means on the (standardised) columns; of ``restarts`` runs the cheapest is kept.
 
-    Each run starts from far apart rows among START_ROWS distinct ones that the hash of their
-    values and the seed choose, and repeats assignment and means over all rows until no centroid
-    moves, so the result does not depend on how the rows lie in partitions. Fewer distinct rows than
-    ``k`` make fewer clusters, missing values are an error. Clusters are numbered by size, largest first, equal sizes by centroid.
+    Each run starts from centroids drawn over all rows by hashes of their values and repeats
+    assignment and means until no centroid moves, so the result does not depend on how the rows lie
+    in partitions (sums are rounded to DIGITS places, which makes another path by another order of
+    summation unlikely, not impossible). ``converged`` is false, with a warning, if ``max_iter``
+    rounds do not get there. Fewer distinct rows than ``k`` make fewer clusters, missing values are
+    an error. Clusters are numbered by size, largest first, equal sizes by centroid.
     """
     scaler = fit_scaler(table, columns) if normalize else None
     require_filled(table, columns, scaler)
-    # Equal rows move together, so each is kept once with its weight; they are scaled in the rounds.
+    # Equal rows move together, so each is kept once with its weight; they are scaled in the passes.
     cells = F.array(*[F.col(c).cast("double") for c in columns]).alias("x")
     points = materialize(table.select(cells).groupBy("x").agg(F.count("*").alias("_n")), "points")
-    rounds = points.coalesce(-(-points.count() // ROWS_PER_TASK) or 1)
+    rows = points.count()
+    if not rows:
+        raise ValueError("k-means needs at least one row")
     shift = np.array(scaler.means if scaler else [0.0] * len(columns))
     scale = np.array(scaler.deviations if scaler else [1.0] * len(columns))
-    best = None
-    for run in range(restarts):
-        sample = points.orderBy(F.xxhash64(F.lit(seed + run), "x"), "x").limit(START_ROWS).select("x").collect()
-        rows = sorted(_rounded((np.array(r.x) - shift) / scale) for r in sample)
-        if not rows:
-            raise ValueError("k-means needs at least one row")
-        starts = _first_centroids(rows, min(k, len(rows)))
-        fitted = _lloyd(rounds, shift, scale, starts, max_iter)
-        if best is None or fitted[0] < best[0]:
-            best = fitted
-    _, sizes, centers = best
+    seeds = [seed + run for run in range(restarts)]
+    passes = _SparkPasses(points, rows, shift, scale)
+    if rows <= ROWS_PER_TASK and rows * len(columns) <= CELLS_PER_TASK:
+        sizes, centers, fixed = _in_one_task(passes, k, seeds, max_iter)
+    else:
+        sizes, centers, fixed = _fitted(passes, k, seeds, max_iter)
+    if not fixed:
+        warnings.warn(f"k-means has not reached a fixed point in {max_iter} rounds", stacklevel=2)
     ranked = sorted(zip(sizes, centers), key=lambda item: (-item[0], item[1]))
-    return KMeansResult(list(columns), scaler, [center for _, center in ranked])
+    return KMeansResult(list(columns), scaler, [center for _, center in ranked], fixed)
 
 
-def _lloyd(points: DataFrame, shift: np.ndarray, scale: np.ndarray, centers: list[list[float]], max_iter: int):
-    """(cost, sizes, centroids) at the fixed point.
+def _in_one_task(passes: _SparkPasses, k: int, seeds: list[int], max_iter: int) -> tuple[list[int], list[list[float]], bool]:
+    """All passes inside the one task that reads the table."""
 
-    Every round each task adds up its rows by nearest centroid, in Arrow batches so that no round
-    compiles code of its own; k x (columns + 2) sums reach the driver.
-    """
-    k, d = len(centers), len(shift)
-    for _ in range(max_iter):
-        current = np.array(centers)
-
-        def sums(batches: Iterator[pa.RecordBatch], current=current) -> Iterator[pa.RecordBatch]:
-            found = np.zeros((k, d + 2))
-            for batch in batches:
-                x = (batch.column(0).flatten().to_numpy().reshape(-1, d) - shift) / scale
-                n = batch.column(1).to_numpy()
-                gaps = np.stack([((x - c) ** 2).sum(axis=1) for c in current], axis=1)
-                near = gaps.argmin(axis=1)
-                for c in range(k):
-                    mine = near == c
-                    found[c, 0] += n[mine].sum()
-                    found[c, 1] += (gaps[mine, c] * n[mine]).sum()
-                    found[c, 2:] += (x[mine] * n[mine, None]).sum(axis=0)
-            cells = np.arange(found.size, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(found.reshape(-1))], ["cell", "value"])
-
-        total = np.zeros(k * (d + 2))
-        parts = points.select("x", "_n").mapInArrow(sums, "cell INT, value DOUBLE")
-        for row in parts.groupBy("cell").agg(F.sum("value").alias("value")).collect():
-            total[row.cell] = row.value
-        total = total.reshape(k, d + 2)
-        sizes = [int(n) for n in total[:, 0]]
-        moved = [_rounded(row[2:] / row[0]) if row[0] else list(c) for row, c in zip(total, centers)]
-        if moved == centers:
-            break
-        centers = moved
-    return round(float(total[:, 1].sum()), 6), sizes, centers
+    def task(parts):
+        found = list(parts)
+        if found:
+            local = _LocalPasses(*(np.concatenate(a) for a in zip(*found, strict=True)))
+            order = np.lexsort(local.x.T[::-1])
+            local.x, local.n = local.x[order], local.n[order]
+            sizes, centers, fixed = _fitted(local, k, seeds, max_iter)
+            yield pa.RecordBatch.from_arrays([pa.array([sizes]), pa.array([centers]), pa.array([fixed])], ["sizes", "centers", "fixed"])
+
+    row = passes._found(task, "sizes array<long>, centers array<array<double>>, fixed boolean").head()
+    return list(row.sizes), [list(c) for c in row.centers], row.fixed
