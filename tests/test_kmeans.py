@@ -49,7 +49,8 @@ def test_cost_against_many_plain_runs(spark, monkeypatch):
     assert cost(df, ls.kmeans(df, COLUMNS, 4)) <= best * 1.0001
 
 
-def test_rounds_that_do_not_suffice_are_told(spark):
+def test_rounds_that_do_not_suffice_are_told(spark, monkeypatch):
+    monkeypatch.setattr(module, "START_ROWS", 10)
     with pytest.warns(UserWarning, match="fixed point"):
         fitted = ls.kmeans(table(spark, 500), COLUMNS, 4, max_iter=1)
     assert not fitted.converged
