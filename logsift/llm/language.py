@@ -5,22 +5,20 @@ mixture: expectation-maximisation finds the proportions of the languages under w
 are most likely. The set of languages is chosen by likelihood less a penalty for each further one,
 so a few borrowed words do not make a second language.
 
-Proportions of learned languages alone add up to 1 for any text, so a uniform background over the
-buckets stands beside them. It cannot be predicted: it takes the trigrams that no learned language
-explains (other languages and scripts, random letters). A text with more than MOST_BACKGROUND of
-it is ``und``; with less, the score is the share of the language in the whole text.
+Proportions of learned languages alone add up to 1 for any text. ``background`` tells how much of it
+they do not explain: the share of a uniform distribution over the buckets that is mixed with them. It
+plays no part in the prediction; ``in_known_language`` rejects a text with more than MOST_BACKGROUND.
 
-Trigrams run over the lower-cased text with everything but letters taken as a blank, and fall into
-2^16 buckets, which bounds the model by languages x buckets.
+Trigrams run over the lower-cased text with everything in ASCII but letters taken as a blank, and
+fall into 2^16 buckets, which bounds the model by languages x buckets.
 
-Defined results: a null text or one without a letter is ``und`` with score 0; so are a text that is
-mostly background and every document if nothing was learned; documents without ``lang`` are not learned from; repeated rows each have
-their own result; an empty table gives no row.
+Defined results: a null text or one without a letter is ``und`` with score 0 and background 1; so is
+every document if nothing was learned; any other text has a learned language; documents without
+``lang`` are not learned from; repeated rows each have their own result; an empty table gives no row.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +34,6 @@ OVERLAP = 3.0
 # On sf0.01 the background takes less than 0.001 of every document, and 0.39 of Finnish, 0.50 of
 # Turkish, 0.85 of random letters and 0.98 or more of other scripts.
 MOST_BACKGROUND = 0.3
-_LETTER = re.compile(r"[^\W\d_]")
 _BLANKS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
@@ -97,10 +94,10 @@ class Mixture:
                 break
         return share, float(weights @ np.log(share @ chance))
 
-    def predict(self, text: str | None) -> tuple[str, float, dict[str, float]]:
-        """(language, score, proportions of the chosen languages)."""
-        if not text or not _LETTER.search(text):
-            return UNKNOWN, 0.0, {}
+    def predict(self, text: str | None) -> tuple[str, float, dict[str, float], float]:
+        """(language, score, proportions of the chosen languages, background)."""
+        if not text or not any(map(str.isalpha, text)):
+            return NOTHING
         grams = trigrams(text)
         if len(grams) > 4096:
             found = np.bincount(grams, minlength=BUCKETS)
@@ -114,8 +111,6 @@ class Mixture:
         total = weights.sum()
         price = 0.5 * np.log(total + 2)
         beside = self.proportions(np.vstack([chance, np.full(len(at), 1 / BUCKETS)]), weights)[0][-1]
-        if beside > MOST_BACKGROUND:
-            return UNKNOWN, 0.0, {}
         share, best = self.proportions(chance, weights)
         order = np.argsort(-share, kind="stable")
         # Languages join in the order of their share as long as the penalised likelihood grows.
@@ -130,43 +125,53 @@ class Mixture:
             chosen, shares, value = order[:n], more, gained
         top = int(np.argmax(shares))
         # One trigram in doubt spread over all languages keeps short texts from full certainty.
-        score = (shares[top] * (1 - beside) * total + 1 / len(self.names)) / (total + 1)
+        score = (shares[top] * total + 1 / len(self.names)) / (total + 1)
         mix = {self.names[k]: float(s) for k, s in zip(chosen, shares, strict=True)}
-        return self.names[chosen[top]], float(min(1.0, score)), mix
+        return self.names[chosen[top]], float(min(1.0, score)), mix, float(beside)
 
 
-PREDICTED = "doc_id long, lang_pred string, score double, proportions map<string, double>"
+# What is said of a text without a letter.
+NOTHING = (UNKNOWN, 0.0, {}, 1.0)
+PREDICTED = "doc_id long, lang_pred string, score double, proportions map<string, double>, background double"
 
 
 def predict_languages(docs: DataFrame, counts: dict[str, np.ndarray]) -> DataFrame:
-    """(doc_id, lang_pred, score, proportions) from the text of each row alone."""
+    """(doc_id, lang_pred, score, proportions, background) from the text of each row alone."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Mixture(counts) if counts else None
         for batch in batches:
-            found = [model.predict(t) if model else (UNKNOWN, 0.0, {}) for t in batch.column(1).to_pylist()]
-            names, scores, mixes = zip(*found, strict=True) if found else ([], [], [])
+            found = [model.predict(t) if model else NOTHING for t in batch.column(1).to_pylist()]
+            names, scores, mixes, beside = zip(*found, strict=True) if found else ([], [], [], [])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).cast(pa.int64()),
                     pa.array(names, pa.string()),
                     pa.array(scores, pa.float64()),
                     pa.array([list(m.items()) for m in mixes], pa.map_(pa.string(), pa.float64())),
+                    pa.array(beside, pa.float64()),
                 ],
-                names=["doc_id", "lang_pred", "score", "proportions"],
+                names=["doc_id", "lang_pred", "score", "proportions", "background"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(rows, PREDICTED)
 
 
-def in_known_language(docs: DataFrame, counts: dict[str, np.ndarray], least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is in a learned language with this score or more."""
+def in_known_language(
+    docs: DataFrame, counts: dict[str, np.ndarray], least: float = 0.5, background: float = MOST_BACKGROUND
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that a learned language explains.
+
+    At most ``background`` of the text is explained by none, and the main language has ``least`` of
+    the rest or more.
+    """
     at = docs.columns.index("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Mixture(counts) if counts else None
         for batch in batches:
-            found = [model.predict(t) if model else (UNKNOWN, 0.0, {}) for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s, _ in found], pa.bool_()))
+            found = [model.predict(t) if model else NOTHING for t in batch.column(at).to_pylist()]
+            kept = [n != UNKNOWN and b <= background and s * (1 - b) >= least for n, s, _, b in found]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(rows, docs.schema)

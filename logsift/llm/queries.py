@@ -82,7 +82,10 @@ def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     counts = language_counts(docs.where(~held_out(5)))
     found = predict_languages(docs, counts)
-    return found.select("doc_id", held_out(5).alias("held_out"), "lang_pred", "score", F.to_json("proportions").alias("mixture"))
+    return found.select(
+        "doc_id", held_out(5).alias("held_out"), "lang_pred", "score",
+        F.to_json("proportions").alias("mixture"), "background",
+    )
 
 
 def op9_boosted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
 import base64
+import math
 import random
 import zlib
 
-from logsift.llm.language import held_out, in_known_language, language_counts, predict_languages
+import numpy as np
+
+from logsift.llm.language import BUCKETS, Mixture, held_out, in_known_language, language_counts, predict_languages, trigrams
 from logsift.llm.queries import QUERIES
 from tests.llm.fixtures import docs_of, odd_texts
 
@@ -72,6 +75,47 @@ def test_unlearned_texts_go(spark):
     counts = language_counts(docs.where(~held_out(5)))
     kept = in_known_language(docs_of(spark, rows), counts, 0.3)
     assert {r.doc_id for r in kept.collect()} == {100 + i for i in range(len(known))}
-    found = predict_languages(docs_of(spark, rows), counts).collect()
-    assert all((r.lang_pred == "und") == (r.doc_id < 100) and (r.doc_id >= 100 or r.score == 0) for r in found)
+    # Every text with a letter has a learned language; the background tells of the foreign ones.
+    short = list(enumerate(["ok", "abc", "x", "Łódź", "²", "kaikki ihmiset syntyvät vapaina"], 200))
+    found = {r.doc_id: r for r in predict_languages(docs_of(spark, rows + short), counts).collect()}
+    assert all((r.lang_pred in counts) == (r.doc_id != 204) for r in found.values())
+    assert all((found[d].background > 0.3) == (d < 100) for d, _ in rows)
     assert in_known_language(docs, counts, 0.3).count() == docs.count()
+
+
+def test_equals_plain_mixture():
+    """Proportions of every set of languages, the set by penalised likelihood, without arrays of buckets."""
+    counts = {}
+    for lang, text in (("en", TEACH[0][1]), ("de", TEACH[1][1]), ("fr", TEACH[2][1])):
+        counts[lang] = np.bincount(trigrams(text), minlength=BUCKETS)
+    chance = {n: (c + 0.5) / (c + 0.5).sum() for n, c in counts.items()}
+
+    def fitted(grams, tables):
+        share = [1 / len(tables)] * len(tables)
+        for _ in range(25 if len(tables) > 1 else 0):
+            sums = [0.0] * len(tables)
+            for g in grams:
+                part = [s * t[g] for s, t in zip(share, tables, strict=True)]
+                sums = [a + p / sum(part) for a, p in zip(sums, part, strict=True)]
+            new = [a / len(grams) for a in sums]
+            done = max(abs(a - b) for a, b in zip(new, share, strict=True)) < 1e-4
+            share = new
+            if done:
+                break
+        return share, sum(math.log(sum(s * t[g] for s, t in zip(share, tables, strict=True))) for g in grams) / 3
+
+    model = Mixture(counts)
+    for text in ("The DOG and the cat", "x", "Der Hund the cat le chien", "die anderen Tiere, les animaux dans la maison", "日本"):
+        grams = trigrams(text).tolist()
+        total, price = len(grams) / 3, 0.5 * math.log(len(grams) / 3 + 2)
+        names = sorted(chance)
+        all_, _ = fitted(grams, [chance[n] for n in names])
+        ranked = [n for _, n in sorted(zip([-s for s in all_], names, strict=True), key=lambda x: x[0])]
+        best = max(range(1, 4), key=lambda n: (fitted(grams, [chance[x] for x in ranked[:n]])[1] - price * (n - 1), -n))
+        share, _ = fitted(grams, [chance[x] for x in ranked[:best]])
+        top = max(range(best), key=lambda k: share[k])
+        lang, score, mix, background = model.predict(text)
+        beside, _ = fitted(grams, [*[chance[n] for n in names], np.full(BUCKETS, 1 / BUCKETS)])
+        assert lang == ranked[top] and set(mix) == set(ranked[:best])
+        assert math.isclose(score, min(1.0, (share[top] * total + 1 / 3) / (total + 1)), rel_tol=1e-6)
+        assert math.isclose(background, beside[-1], rel_tol=1e-6, abs_tol=1e-12)
