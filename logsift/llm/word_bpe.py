@@ -29,9 +29,11 @@ from pyspark.sql import DataFrame
 
 from logsift.llm.common import pieces, spread
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
+# Ids decoded at a time.
+DECODED = 1 << 17
 # Pieces between blanks that a Python worker remembers before it starts anew.
-KNOWN_PIECES = 300_000
+KNOWN_PIECES = 200_000
 _NONE = np.int32(np.iinfo(np.int32).max)
 
 
@@ -198,9 +200,9 @@ class WordBpe:
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[bytes, np.ndarray]:
         """(texts one after the other, bounds of each in it): tokens joined by one space."""
         flat, starts, sizes = self.texts
-        each = sizes[ids]
-        data = flat[spread(starts[ids], each)]
-        ends = np.append(0, np.cumsum(each))[bounds]
+        parts = [ids[k : k + DECODED] for k in range(0, len(ids), DECODED)]
+        data = np.concatenate([np.empty(0, np.uint8), *[flat[spread(starts[x], sizes[x])] for x in parts]])
+        ends = np.append(0, np.cumsum(sizes[ids]))[bounds]
         # Each token has a space behind it; that of the last one of a text goes.
         filled = np.diff(bounds) > 0
         stay = np.ones(len(data), bool)
@@ -235,13 +237,19 @@ def decoded(coded: DataFrame, path: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _of_worker(path)
         for batch in batches:
-            lists = pc.if_else(batch.column(1).is_valid(), batch.column(1), pa.scalar([], batch.column(1).type))
-            bounds = np.asarray(lists.offsets).astype(np.int64)
-            ids = lists.flatten().to_numpy(zero_copy_only=False)
-            data, ends = coder.decode(ids, bounds - bounds[0])
-            texts = pa.LargeStringArray.from_buffers(len(lists), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), lists, texts.cast(pa.string())], names=["doc_id", "ids", "text"]
-            )
+            sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy()
+            start, upto = 0, np.cumsum(sizes)
+            while start < batch.num_rows:  # rows of about DECODED ids
+                before = upto[start] - sizes[start]
+                stop = max(start + 1, int(np.searchsorted(upto, before + DECODED, "right")))
+                part = batch.slice(start, stop - start)
+                bounds = np.append(0, np.cumsum(sizes[start:stop]))
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), part.column(1).flatten())
+                data, ends = coder.decode(lists.values.to_numpy(), bounds)
+                texts = pa.LargeStringArray.from_buffers(len(lists), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), lists, texts.cast(pa.string())], names=["doc_id", "ids", "text"]
+                )
+                start = stop
 
     return coded.select("doc_id", "ids").mapInArrow(rows, "doc_id long, ids array<int>, text string")
