@@ -5,7 +5,8 @@ fits, trees decide. They are trained on the labelled URLs, which are all those t
 (or any table of urls with labels), by Spark's distributed gradient boosting. Features are those of
 the text alone: lengths, depth, shares of digits and other characters, entropy, parameter counts,
 and for host suffix, first path part and leading host part the share of blocked URLs among the
-labelled ones, smoothed towards the overall share.
+labelled ones, smoothed towards the overall share. In training these shares are counted outside the
+fold of the row. Everything is fitted on all labelled URLs.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and fits no rule;
 without any labelled URL, or with labels of one kind only, everything undecided gets the common
@@ -20,6 +21,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logsift.scratch import materialize
+
 # Host and path of each rule with its verdict.
 RULES = {
     "org/": "allow",
@@ -29,6 +32,10 @@ RULES = {
     "com/de/": "block",
 }
 TREES, DEPTH, SEED = 20, 4, 7
+# Folds, by the hash of the URL, outside of which a training row's shares are counted.
+FOLDS = 5
+# Labelled URLs of a task that fits trees.
+ROWS_PER_TASK = 10_000
 # Labelled URLs that an unseen suffix counts for at the overall share.
 SMOOTHING = 10.0
 # Most values of a suffix that are broadcast; more are joined by a shuffle.
@@ -107,33 +114,54 @@ def features(urls: DataFrame) -> DataFrame:
     )
 
 
-def _with_shares(table: DataFrame, shares: dict[str, DataFrame], overall: float) -> DataFrame:
+def _shares(train: DataFrame, name: str, overall: float) -> tuple[DataFrame, DataFrame]:
+    """Share of blocked URLs by value: (of all rows, of the rows outside each fold), smoothed.
+
+    A training row takes the second one, so that its own label is no part of its features.
+    """
+    sums = train.groupBy(name, "fold").agg(F.sum("label").alias("_b"), F.count("*").alias("_n"))
+    every = sums.groupBy(name).agg(F.sum("_b").alias("_all_b"), F.sum("_n").alias("_all_n"))
+    smooth = lambda b, n: (b + F.lit(SMOOTHING * overall)) / (n + F.lit(SMOOTHING))
+    outside = sums.join(every, name).select(
+        name, "fold", smooth(F.col("_all_b") - F.col("_b"), F.col("_all_n") - F.col("_n")).alias(f"{name}_share")
+    )
+    return every.select(name, smooth(F.col("_all_b"), F.col("_all_n")).alias(f"{name}_share")), outside
+
+
+def _joined(table: DataFrame, shares: dict[str, DataFrame], keys: list[str], overall: float) -> DataFrame:
     for name, known in shares.items():
-        table = table.join(known, name, "left").withColumn(f"{name}_share", F.coalesce(f"{name}_share", F.lit(overall)))
+        table = table.join(known, [name, *keys], "left")
+        table = table.withColumn(f"{name}_share", F.coalesce(f"{name}_share", F.lit(overall)))
     return table
 
 
 def trained_scores(urls: DataFrame, labelled: DataFrame) -> DataFrame:
-    """``urls`` with ``block_score``: trees trained on ``labelled`` (url, host, path, label of 0 or 1)."""
-    train = features(labelled)
+    """``urls`` with ``block_score``: trees trained on ``labelled`` (url, host, path, label of 0 or 1).
+
+    The rows are dealt by the hash of their URL into a number of partitions that follows from their
+    number alone, so the trees do not depend on how the rows lay before.
+    """
+    fold = F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")
+    train = materialize(features(labelled.select("url", "host", "path", "label")).withColumn("fold", fold), "train")
     totals = train.agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).first()
     n, blocked = totals["n"], totals["blocked"] or 0
     overall = blocked / n if n else 0.0
     if blocked in (0, n):
         return urls.withColumn("block_score", F.lit(float(overall)))
-    shares = {}
+    known, outside = {}, {}
     for name in SUFFIXES:
-        known = train.groupBy(name).agg(
-            ((F.sum("label") + SMOOTHING * overall) / (F.count("*") + SMOOTHING)).alias(f"{name}_share")
-        )
-        few = known.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES
-        shares[name] = F.broadcast(known) if few else known
+        whole, other = (materialize(t, "shares") for t in _shares(train, name, overall))
+        few = other.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES
+        known[name], outside[name] = (F.broadcast(t) if few else t for t in (whole, other))
     columns = [*LEXICAL, *(f"{name}_share" for name in SUFFIXES)]
     assemble = VectorAssembler(inputCols=columns, outputCol="features")
-    ready = assemble.transform(_with_shares(train, shares, overall)).select("features", F.col("label").cast("double"))
+    place = F.xxhash64("url").alias("place")
+    ready = assemble.transform(_joined(train, outside, ["fold"], overall))
+    ready = ready.select("features", F.col("label").cast("double"), "url", place)
+    ready = ready.repartition(-(-n // ROWS_PER_TASK), "place").sortWithinPartitions("place", "url")
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, stepSize=0.2)
-    model = trees.fit(ready.coalesce(max(1, min(64, n // 10_000))) if n < 640_000 else ready)
-    scored = model.transform(assemble.transform(_with_shares(features(urls), shares, overall)))
+    model = trees.fit(ready.select("features", "label"))
+    scored = model.transform(assemble.transform(_joined(features(urls), known, [], overall)))
     kept = [*urls.columns, F.get(vector_to_array("probability"), F.lit(1)).alias("block_score")]
     return scored.select(*kept)
 

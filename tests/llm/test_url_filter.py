@@ -1,7 +1,10 @@
 import re
 
+from pyspark.sql import functions as F
+
+from logsift.llm import url_filter
 from logsift.llm.queries import QUERIES
-from logsift.llm.url_filter import RULES, judged_urls
+from logsift.llm.url_filter import RULES, judged_urls, parts, rule_of, trained_scores, verdict_of
 from tests.llm.fixtures import SMALL
 
 ODD = [
@@ -60,3 +63,38 @@ def test_trees_follow_the_labels(spark):
 def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "url").collect()]
     check(QUERIES["op9_boosted_urls"](spark, SMALL).collect(), rows)
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "ROWS_PER_TASK", 700)
+    table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    scores = []
+    for count in (2, 13):
+        got = judged_urls(table.repartition(count)).select("page_id", "block_score", "rule").collect()
+        scores.append({r.page_id: round(r.block_score, 9) for r in got})
+        assert any(r.rule is None for r in got)
+    assert scores[0] == scores[1] and len(set(scores[0].values())) > 2
+
+
+def labelled_pages(spark, folder):
+    named = parts(spark.read.parquet(f"{folder}/pages.parquet"))
+    rule = rule_of(F.col("host"), F.col("path"))
+    return named.withColumn("label", (verdict_of(rule) == "block").cast("int")).where("label is not null")
+
+
+def test_held_out_accuracy(spark):
+    """Trees that never saw a fifth of the labelled URLs against the rules' verdicts on them."""
+    labelled = labelled_pages(spark, "/root/testdata/sf0.1").withColumn("test", F.crc32(F.col("url").cast("binary")) % 5 == 0)
+    train, test = labelled.where("not test"), labelled.where("test")
+    got = trained_scores(test, train.drop("test")).select("label", "block_score").collect()
+    right = sum((r.block_score >= 0.5) == (r.label == 1) for r in got)
+    common = sum(r.label == 0 for r in got)
+    assert len(got) > 100 and right >= 0.9 * len(got) and right > 1.2 * max(common, len(got) - common)
+
+
+def test_shares_leave_out_the_fold_of_the_row(spark):
+    rows = [(f"u{i}", "a" if i < 40 else "b", i % 5, int(i < 40)) for i in range(80)]
+    table = spark.createDataFrame(rows, "url string, suffix string, fold int, label int")
+    whole, outside = url_filter._shares(table, "suffix", 0.5)
+    assert {r.suffix: r.suffix_share for r in whole.collect()} == {"a": 45 / 50, "b": 5 / 50}
+    assert {(r.suffix, r.suffix_share) for r in outside.collect()} == {("a", 37 / 42), ("b", 5 / 42)}
