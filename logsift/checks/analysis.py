@@ -425,10 +425,20 @@ def reconstruction_error_whole_query(spark, sf_dir):
 
 
 def tsvd_srss_whole_query(spark, sf_dir):
-    _, reduced = tsvd_srss(_whole(spark, sf_dir), E, 1, REDUCED, normalize=False)
+    _, reduced = tsvd_srss(_whole(spark, sf_dir), E, normalize=False)
     return _round_all(reduced, ["r0", "r1"], "line_no")
 
 
+def tsvd_wide_query(spark, sf_dir):
+    """The products of every two of the first 24 values, 300 columns, reduced to four."""
+    pairs = [(i, j) for i in range(24) for j in range(i, 24)]
+    names = [f"p{i}_{j}" for i, j in pairs]
+    products = [(F.col(E[i]) * F.col(E[j])).alias(n) for (i, j), n in zip(pairs, names)]
+    source = _whole(spark, sf_dir).select("line_no", *products)
+    fitted = tsvd(source, names, 4)
+    return _round_all(fitted.transform(source), fitted.reduced_columns, "line_no")
+
+
 def anomaly_score_whole_query(spark, sf_dir):
     return _round_all(reconstruction_anomaly_score(_whole(spark, sf_dir), E, REDUCED), ["score"], "line_no")
 
@@ -512,6 +522,7 @@ QUERIES = {
     "variance_ratios_whole": variance_ratios_whole_query,
     "reconstruction_error_whole": reconstruction_error_whole_query,
     "tsvd_srss_whole": tsvd_srss_whole_query,
+    "tsvd_wide": tsvd_wide_query,
     "reconstruction_anomaly_score_whole": anomaly_score_whole_query,
     "combine_near_duplicates_whole": combine_whole_query,
     "dbscan_combined_whole": dbscan_combined_whole_query,

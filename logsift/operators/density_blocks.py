@@ -1,28 +1,41 @@
-"""Density clustering in many columns, by blocks of points from neighbouring cells.
+"""Density clustering in many columns, by blocks of points that lie together.
 
 Cells are cut in the leading columns only, so all neighbours of a point lie in its cell or in one
-next to it. The points of two such cells are dealt into chunks, and every two chunks are one block
-whose distances are computed at once. A block reports sums and spanning links, never pairs: the
-weight that each point gathers in it, then one link for each core point that it connects, then
-the lowest cluster next to each other point. What is written is in proportion to the points dealt.
+next to it. The points of a cell are ordered by the nearest of a net of pivots and their distance to
+it, and cut into chunks: one row each, with the centre of its points and the radius around it. Two chunks
+whose centres are too far apart for their radii are not a pair; inside a pair the same holds for
+tiles of points, and tiles that lie closer than their radii allow any distance beyond eps are near
+as a whole. Only what is left is computed. A point is written once, a pair of chunks is one row, and
+blocks report sums over points and links between groups of linked points of two chunks, never pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsift.operators.components import connected_components
 from logsift.scratch import hot_keys, join_dealt, materialize, number_rows
 
-# Points of a chunk; a block compares two chunks.
-CHUNK = 512
-# Points of a cell that one task deals out.
-HOT_CELL = 50_000
+# Points of a chunk; a block compares two chunks. Points of a tile of it.
+CHUNK, TILE = 1024, 128
+# Points, chosen by the hash of their id, around which the others are ordered.
+PIVOTS = 256
+# Chunks of a cell that one task pairs.
+HOT_CELL = 500
+# Share by which a bound must be clear before it decides in place of distances.
+MARGIN = 1e-6
+
+CHUNKS = (
+    "chunk bigint, key array<bigint>, n int, ids array<bigint>, w array<double>, x array<double>,"
+    " centre array<double>, radius double"
+)
 
 
 def _around(key: str, length: int) -> Column:
@@ -33,135 +46,286 @@ def _around(key: str, length: int) -> Column:
     return F.expr("array(" + ", ".join(f"array({k})" for k in keys) + ")")
 
 
+def _matrix(column: pa.Array, d: int) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, d)
+
+
 def _dealt(points: DataFrame, names: list[str], lead: list[str], eps: float) -> DataFrame:
-    """(pair, i, j, first, id, w, x): every point in each block it takes part in.
+    """(id, w, x, key, pivot, far): every point with its cell, nearest pivot and distance to it."""
+    width, d = eps * (1 + MARGIN), len(names)
+    key = F.array(*[F.floor(F.col(c) / F.lit(width)).cast("bigint") for c in lead])
+    cells = points.select("id", "w", F.array(*names).alias("x"), key.alias("key"))
+    first = cells.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("x").collect()
+    pivots = np.array([r.x for r in first], float).reshape(-1, d)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(2), d)
+            far, which = np.full(len(x), np.inf), np.zeros(len(x), np.int32)
+            for k, pivot in enumerate(pivots):
+                gap = ((x - pivot) ** 2).sum(axis=1)
+                which[gap < far] = k
+                far = np.minimum(far, gap)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(which), pa.array(np.sqrt(far))], names=[*batch.schema.names, "pivot", "far"]
+            )
+
+    schema = "id bigint, w double, x array<double>, key array<bigint>, pivot int, far double"
+    return materialize(cells.withColumn("w", F.col("w").cast("double")).mapInArrow(nearest, schema), "dealt")
+
+
+def _chunks(dealt: DataFrame, d: int) -> DataFrame:
+    """CHUNKS: up to CHUNK points of one cell that follow each other in the order of the net."""
+    size = CHUNK
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        held: list[pa.RecordBatch] = []
+
+        def row(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            nonlocal number
+            table = pa.Table.from_batches(parts).combine_chunks()
+            x = _matrix(table.column("x").chunk(0), d)
+            centre = x.mean(axis=0)
+            radius = float(np.sqrt(((x - centre) ** 2).sum(axis=1)).max())
+            number += 1
+            one = [
+                number - 1, table.column("key")[0].as_py(), len(x), table.column("id").to_pylist(),
+                table.column("w").to_pylist(), x.reshape(-1), centre, radius,
+            ]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64()), *[pa.list_(pa.float64())] * 3, pa.float64()]
+            names = ["chunk", "key", "n", "ids", "w", "x", "centre", "radius"]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(one, kinds, strict=True)], names=names)
+
+        for batch in batches:
+            keys = _matrix(batch.column(3), len(batch.column(3)[0]) if batch.num_rows else 1)
+            start = 0
+            for stop in [*(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]:
+                while start < stop:  # rows start : stop are of one cell
+                    have = sum(h.num_rows for h in held)
+                    if held and (have >= size or held[0].column(3)[0] != batch.column(3)[start]):
+                        yield row(held)
+                        held, have = [], 0
+                    part = min(stop, start + size - have)
+                    held.append(batch.slice(start, part - start))
+                    start = part
+        if held:
+            yield row(held)
 
-    ``first`` tells the two sides of a block apart; it is NULL in a block of one chunk.
+    order = ["key", "pivot", "far", "id"]
+    ranged = dealt.repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialize(ranged.mapInArrow(cut, CHUNKS), "chunks")
+
+
+def _pairs(chunks: DataFrame, length: int, eps: float) -> DataFrame:
+    """(pair, chunk, side): the two sides of every pair of chunks that may hold neighbours.
+
+    A chunk with itself has one row, whose side is NULL.
     """
-    width = eps * (1 + 1e-6)
-    key = F.array(*[F.floor(F.col(c) / F.lit(width)).cast("bigint") for c in lead])
-    keyed = materialize(points.select("id", "w", F.array(*names).alias("x"), key.alias("key")), "keyed")
-    cells = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")), "cells")
-    left = cells.select(F.col("key").alias("a"), F.col("n").alias("na"), F.explode(_around("key", len(lead))).alias("b"))
-    right = cells.select(F.col("key").alias("b"), F.col("n").alias("nb"))
-    pairs = materialize(
-        left.join(right, "b").where("a <= b").withColumn("pair", F.monotonically_increasing_id()), "pairs"
-    )
-    chunks = lambda n: F.ceil(F.col(n) / F.lit(CHUNK)).cast("int")
-    sides = pairs.select(
-        "pair", F.col("a").alias("key"), F.col("na").alias("n"), chunks("na").alias("own"),
-        chunks("nb").alias("other"), F.when(F.col("a") != F.col("b"), F.lit(True)).alias("side"),
-    ).union(
-        pairs.where("a <> b").select(
-            "pair", F.col("b").alias("key"), F.col("nb").alias("n"), chunks("nb"), chunks("na"), F.lit(False)
-        )
+    some = materialize(chunks.select("chunk", "key", "centre", "radius"), "summary")
+    cells = materialize(some.groupBy("key").agg(F.count("*").alias("n")), "cells")
+    left = some.select(
+        F.col("chunk").alias("a"), F.col("centre").alias("ca"), F.col("radius").alias("ra"),
+        F.explode(_around("key", length)).alias("key"),
     )
-    hot = hot_keys(cells, ["key"], "n", HOT_CELL)
-    met = join_dealt(keyed, sides, ["key"], "n", hot, HOT_CELL)
-    met = met.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("own")).cast("int")).withColumn(
-        "partner", F.explode(F.sequence(F.lit(0), F.col("other") - F.lit(1)))
+    right = some.join(cells, "key").select(
+        "key", F.col("chunk").alias("b"), F.col("centre").alias("cb"), F.col("radius").alias("rb"), "n"
     )
-    chunk, partner, side = F.col("chunk"), F.col("partner"), F.col("side")
-    i = F.when(side.isNull(), F.least(chunk, partner)).when(side, chunk).otherwise(partner)
-    j = F.when(side.isNull(), F.greatest(chunk, partner)).when(side, partner).otherwise(chunk)
-    first = F.when(side.isNotNull(), side).when(chunk != partner, chunk < partner)
-    return materialize(met.select("pair", i.alias("i"), j.alias("j"), first.alias("first"), "id", "w", "x"), "dealt")
+    met = join_dealt(left, right, ["key"], "n", hot_keys(cells, ["key"], "n", HOT_CELL), HOT_CELL)
+    steps = F.zip_with("ca", "cb", lambda p, q: (p - q) * (p - q))
+    gap = F.sqrt(F.aggregate(steps, F.lit(0.0), lambda s, v: s + v))
+    near = gap <= (F.col("ra") + F.col("rb") + F.lit(eps)) * F.lit(1 + MARGIN)
+    found = met.where("a <= b").where(near).select("a", "b")
+    found = materialize(found.withColumn("pair", F.monotonically_increasing_id()), "pairs")
+    alone = F.when(F.col("a") != F.col("b"), True)
+    return found.select("pair", F.col("a").alias("chunk"), alone.alias("side")).union(
+        found.where("a <> b").select("pair", F.col("b").alias("chunk"), F.lit(False))
+    )
+
+
+def _numbers(values: pa.Array) -> np.ndarray:
+    """A list as an array; -1 where an id is missing."""
+    filled = values.fill_null(-1) if pa.types.is_integer(values.type) else values
+    return filled.to_numpy(zero_copy_only=False)
 
 
 class _Block:
-    """Two sides of points (the same one twice in a block of one chunk) and who is near whom."""
-
-    def __init__(self, group: pa.Table, limit: float):
-        x = np.array(group.column("x").to_pylist(), float)
-        first = group.column("first").to_pylist()
-        self.alone = first[0] is None
-        flags = np.array([f is not False for f in first])
-        self.a = np.flatnonzero(flags)
-        self.b = self.a if self.alone else np.flatnonzero(~flags)
-        gaps = np.zeros((len(self.a), len(self.b)))
-        for column in x.T:  # summed column by column, as everywhere else
-            step = column[self.a][:, None] - column[self.b][None, :]
-            gaps += step * step
-        self.near = gaps <= limit
-
-
-def _gathered(limit: float):
+    """Two chunks (the same one twice in a block of one) and who is near whom."""
+
+    def __init__(self, group: pa.Table, d: int, eps: float):
+        group = group.combine_chunks()
+        order = [0] if group.num_rows == 1 else sorted((0, 1), key=lambda i: group.column("side")[i].as_py() is False)
+        cells = [{name: group.column(name)[i] for name in group.column_names} for i in order]
+        cells = [{k: _numbers(v.values) for k, v in c.items() if pa.types.is_list(v.type)} for c in cells]
+        self.alone = len(cells) == 1
+        self.a, self.b = cells[0], cells[-1]
+        xa, xb = (c["x"].reshape(-1, d) for c in (self.a, self.b))
+        self.near = np.zeros((len(xa), len(xb)), bool)
+        tiles_a = self._tiles(xa)
+        tiles_b = tiles_a if self.alone else self._tiles(xb)
+        for i, (ca, ra) in enumerate(tiles_a):
+            rows_ = slice(i * TILE, (i + 1) * TILE)
+            for j, (cb, rb) in enumerate(tiles_b):
+                columns, gap = slice(j * TILE, (j + 1) * TILE), float(np.sqrt(((ca - cb) ** 2).sum()))
+                if gap > (ra + rb + eps) * (1 + MARGIN):
+                    continue
+                if (gap + ra + rb) * (1 + MARGIN) <= eps:
+                    self.near[rows_, columns] = True
+                    continue
+                gaps = np.zeros((len(xa[rows_]), len(xb[columns])))
+                for p, q in zip(xa[rows_].T, xb[columns].T, strict=True):  # summed column by column, as everywhere else
+                    step = p[:, None] - q[None, :]
+                    gaps += step * step
+                self.near[rows_, columns] = gaps <= eps * eps
+
+    @staticmethod
+    def _tiles(x: np.ndarray) -> list[tuple[np.ndarray, float]]:
+        out = []
+        for start in range(0, len(x), TILE):
+            part = x[start : start + TILE]
+            centre = part.mean(axis=0)
+            out.append((centre, float(np.sqrt(((part - centre) ** 2).sum(axis=1)).max())))
+        return out
+
+    def sides(self) -> list[tuple[dict, dict, np.ndarray]]:
+        """(chunk, the other one, who of the first is near whom of the other)."""
+        if self.alone:
+            return [(self.a, self.b, self.near)]
+        return [(self.a, self.b, self.near), (self.b, self.a, self.near.T)]
+
+
+def _rows(found: list[tuple[np.ndarray, np.ndarray]], names: list[str], kind: pa.DataType) -> pa.Table:
+    first, second = (np.concatenate(x) for x in zip(*found, strict=True)) if found else ([], [])
+    return pa.table({names[0]: pa.array(first, pa.int64()), names[1]: pa.array(second, kind)})
+
+
+def _gathered(d: int, eps: float):
+    def block(group: pa.Table) -> pa.Table:
+        sides = _Block(group, d, eps).sides()
+        return _rows([(a["ids"], near @ b["w"]) for a, b, near in sides], ["id", "w"], pa.float64())
+
+    return block
+
+
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """(component of each row, of each column, links (row, column) that span them); -1 without any."""
+    of_row, of_column = np.full(near.shape[0], -1), np.full(near.shape[1], -1)
+    links: list[tuple[int, int]] = []
+    number = 0
+    for start in np.flatnonzero(near.any(axis=1)):
+        if of_row[start] >= 0:
+            continue
+        of_row[start] = number
+        queue = [int(start)]
+        while queue:
+            row = queue.pop()
+            for column in np.flatnonzero(near[row] & (of_column < 0)).tolist():
+                of_column[column] = number
+                links.append((row, column))
+                back = np.flatnonzero(near[:, column] & (of_row < 0))
+                of_row[back] = number
+                links += [(r, column) for r in back.tolist()]
+                queue += back.tolist()
+        number += 1
+    return of_row, of_column, links
+
+
+def _linked_inside(d: int, eps: float):
+    """(id, root) of the core points of a chunk: the lowest id that they are linked to inside it."""
+
     def block(group: pa.Table) -> pa.Table:
-        it, weights = _Block(group, limit), group.column("w").to_numpy().astype(float)
-        found = np.zeros(len(weights))
-        found[it.a] += it.near @ weights[it.b]
-        if not it.alone:
-            found[it.b] += weights[it.a] @ it.near
-        return pa.table({"id": group.column("id"), "w": pa.array(found)})
+        it = _Block(group, d, eps)
+        core = it.a["core"].astype(bool)
+        of, _, _ = _forest(it.near & core[:, None] & core[None, :])
+        ids, of = it.a["ids"][core], of[core]
+        low = np.full(int(of.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(low, of, ids)
+        return _rows([(ids, low[of])], ["id", "root"], pa.int64())
 
     return block
 
 
-def _spanning(limit: float):
+def _linked_across(d: int, eps: float):
+    """Links (u, v) between the groups that two chunks have inside."""
+
     def block(group: pa.Table) -> pa.Table:
-        it, ids = _Block(group, limit), group.column("id").to_numpy()
-        core = group.column("core").to_numpy(zero_copy_only=False).astype(bool)
-        near = it.near & core[it.a][:, None] & core[it.b][None, :]
-        n, m = near.shape
-        # Breadth first over the rows; columns of another side are nodes of their own.
-        seen_a, seen_b = np.zeros(n, bool), np.zeros(m, bool)
-        us, vs = [], []
-        for start in np.flatnonzero(near.any(axis=1)):
-            if seen_a[start]:
-                continue
-            seen_a[start] = True
-            queue = [start]
-            while queue:
-                row = queue.pop()
-                fresh = np.flatnonzero(near[row] & ~seen_b)
-                seen_b[fresh] = True
-                us.append(np.full(len(fresh), ids[it.a[row]]))
-                vs.append(ids[it.b[fresh]])
-                for column in fresh:
-                    back = np.flatnonzero(near[:, column] & ~seen_a)
-                    seen_a[back] = True
-                    us.append(np.full(len(back), ids[it.b[column]]))
-                    vs.append(ids[it.a[back]])
-                    queue.extend(back)
-        empty = [np.empty(0, np.int64)]
-        u, v = np.concatenate(us or empty), np.concatenate(vs or empty)
-        return pa.table({"u": u[u != v], "v": v[u != v]})
+        it = _Block(group, d, eps)
+        names, which = [], []
+        for side in (it.a, it.b):
+            found, number = np.unique(side["root"], return_inverse=True)
+            names.append(found)
+            which.append(number)
+        met = np.zeros((len(names[0]), len(names[1])), bool)
+        i, j = np.nonzero(it.near)
+        met[which[0][i], which[1][j]] = True
+        met[names[0] == -1] = False
+        met[:, names[1] == -1] = False
+        links = [(int(names[0][r]), int(names[1][c])) for r, c in _forest(met)[2]]
+        u, v = zip(*links, strict=True) if links else ((), ())
+        return _rows([(np.array(u, np.int64), np.array(v, np.int64))], ["u", "v"], pa.int64())
 
     return block
 
 
-def _adjacent(limit: float):
+def _adjacent(d: int, eps: float):
+    """(id, root): the lowest cluster next to each point that is in none."""
+
     def block(group: pa.Table) -> pa.Table:
-        it, ids = _Block(group, limit), group.column("id").to_numpy()
-        none = np.iinfo(np.int64).max
-        roots = np.array([none if r is None else r for r in group.column("root").to_pylist()], np.int64)
-        low = np.full(len(ids), none)
-        low[it.a] = np.where(it.near, roots[it.b][None, :], none).min(axis=1)
-        if not it.alone:
-            low[it.b] = np.where(it.near, roots[it.a][:, None], none).min(axis=0)
-        keep = (low < none) & (roots == none)
-        return pa.table({"id": ids[keep], "root": low[keep]})
+        none, out = np.iinfo(np.int64).max, []
+        for a, b, near in _Block(group, d, eps).sides():
+            own, other = (np.where(side["root"] < 0, none, side["root"]) for side in (a, b))
+            low = np.where(near, other[None, :], none).min(axis=1)
+            keep = (low < none) & (own == none)
+            out.append((a["ids"][keep], low[keep]))
+        return _rows(out, ["id", "root"], pa.int64())
 
     return block
 
 
+def _beside(chunks: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """The chunks with an array of ``name`` of (id, ``name``) for their points, NULL where there is none."""
+    places = chunks.select("chunk", F.posexplode("ids").alias("_at", "id"))
+    cell = F.struct("_at", name)
+    arrays = places.join(values, "id", "left").groupBy("chunk").agg(F.array_sort(F.collect_list(cell)).alias("_cells"))
+    found = F.transform("_cells", lambda c: c[name]).alias(name)
+    return materialize(chunks.join(arrays.select("chunk", found), "chunk"), f"chunks_{name}")
+
+
 def cluster_by_blocks(
     points: DataFrame, names: list[str], lead: list[str], eps: float, min_samples: int
 ) -> DataFrame:
     """``points`` (id, w, rows and ``names``) with core, root and cluster; root NULL for noise."""
-    limit, block = eps * eps, ["pair", "i", "j"]
-    dealt = _dealt(points, names, lead, eps)
-    weights = dealt.groupBy(*block).applyInArrow(_gathered(limit), "id long, w double")
+    d = len(names)
+    chunks = _chunks(_dealt(points, names, lead, eps), d)
+    pairs = materialize(_pairs(chunks, len(lead), eps), "sides")
+    side = ["pair", "side", "ids", "x"]
+    weights = (
+        pairs.join(chunks, "chunk").select(*side, "w").groupBy("pair").applyInArrow(_gathered(d, eps), "id long, w double")
+    )
     core = materialize(
         weights.groupBy("id").agg((F.round(F.sum("w"), 6) >= min_samples).alias("core")), "core"
     )
-    flagged = dealt.join(core, "id")
-    edges = materialize(
-        flagged.groupBy(*block).applyInArrow(_spanning(limit), "u long, v long"), "edges"
+    inside = (
+        _beside(chunks, core, "core")
+        .select("chunk", "ids", "x", "core")
+        .groupBy("chunk")
+        .applyInArrow(_linked_inside(d, eps), "id long, root long")
+    )
+    local = materialize(inside, "local")
+    across = pairs.where("side IS NOT NULL").join(_beside(chunks, local, "root"), "chunk").select(*side, "root")
+    edges = materialize(across.groupBy("pair").applyInArrow(_linked_across(d, eps), "u long, v long"), "edges")
+    heads = materialize(local.select(F.col("root").alias("id")).distinct(), "nodes")
+    joined = connected_components(heads, edges).withColumnRenamed("id", "_head").withColumnRenamed("root", "_root")
+    members = materialize(
+        local.join(joined, F.col("root") == F.col("_head")).select("id", F.col("_root").alias("root")), "members"
     )
-    members = materialize(connected_components(materialize(core.where("core").select("id"), "nodes"), edges), "members")
     numbered = number_rows(members.where("id = root").select("root"), ["root"], "cluster")
-    beside = dealt.join(members, "id", "left").groupBy(*block).applyInArrow(_adjacent(limit), "id long, root long")
+    beside = (
+        pairs.join(_beside(chunks, members, "root"), "chunk")
+        .select(*side, "root")
+        .groupBy("pair")
+        .applyInArrow(_adjacent(d, eps), "id long, root long")
+    )
     border = beside.groupBy("id").agg(F.min("root").alias("root"))
     roots = members.union(border).join(numbered, "root")
     return materialize(

@@ -1,8 +1,9 @@
 """Truncated SVD of a tall, narrow feature matrix and the measures derived from it.
 
-The matrix has one row per log line and a few dozen columns, so X'X is a small table:
+The matrix has one row per log line and mostly a few dozen columns, so X'X is a small table:
 each partition adds up its own, Spark sums the parts, and only the d x d result is
-decomposed on the driver. The reduced matrix is then a plain projection.
+decomposed on the driver. With many columns the leading components are found without it
+(``svd_wide``). The reduced matrix is then a plain projection, or a product per Arrow batch.
 """
 
 from __future__ import annotations
@@ -18,9 +19,15 @@ from pyspark.sql.window import Window
 
 from logsift.functions.vectors import dot, literals, squared_norm, total
 from logsift.operators.scaling import Scaler, fit_scaler, require_filled
+from logsift.operators.svd_wide import Rows, leading
+from logsift.scratch import materialize
 
 # Up to this many products the Gramian is a code-generated aggregate without Python.
 NATIVE_PRODUCTS = 28
+# From this many columns on, leading components are found without X'X.
+WIDE_COLUMNS = 256
+# Up to this many products the projection is generated code, beyond it goes through Arrow batches.
+PROJECTED_PRODUCTS = 128
 # Entries of a singular vector this close in size count as equal for the sign rule.
 SIGN_TIE = 1e-9
 
@@ -90,8 +97,35 @@ class TruncatedSvd:
     def transform(self, table: DataFrame) -> DataFrame:
         """US: the reduced columns replace the input columns."""
         others = [c for c in table.columns if c not in self.columns]
+        if len(self.columns) * len(self.components) > PROJECTED_PRODUCTS:
+            return self._multiplied(table.select(*others, *[F.col(c).cast("double").alias(c) for c in self.columns]))
         return self.both(table).select(*others, *self.reduced_columns)
 
+    def _multiplied(self, table: DataFrame) -> DataFrame:
+        """``transform`` by one matrix product per Arrow batch; the input columns are the last ones."""
+        first, components = len(table.columns) - len(self.columns), np.array(self.components)
+        rows = Rows(*self._shift_and_scale(), first)
+        names = [*table.columns[:first], *self.reduced_columns]
+
+        def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                us = rows(batch) @ components.T
+                # A missing input leaves no result, as in generated code.
+                missing = np.any([c.is_null().to_numpy(zero_copy_only=False) for c in batch.columns[first:]], axis=0)
+                reduced = [pa.array(np.ascontiguousarray(c), mask=missing) for c in us.T]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:first], *reduced], names=names)
+
+        schema = table.select(*table.columns[:first]).schema
+        for name in self.reduced_columns:
+            schema = schema.add(name, "double")
+        return table.mapInArrow(product, schema)
+
+    def _shift_and_scale(self) -> tuple[np.ndarray, np.ndarray]:
+        d = len(self.columns)
+        if self.scaler is None:
+            return np.zeros(d), np.ones(d)
+        return np.array(self.scaler.means), np.array(self.scaler.deviations)
+
     def rebuilt(self) -> list[Column]:
         """Input columns rebuilt from the reduced ones (US x VT)."""
         reduced = [F.col(c) for c in self.reduced_columns]
@@ -132,16 +166,22 @@ def tsvd(
         raise ValueError(f"n_components must be 1..{len(columns)}, got {n_components}")
     scaler = fit_scaler(table, columns) if normalize else None
     require_filled(table, columns, scaler)
-    scaled = scaler.transform(table) if scaler else table
-    values, vectors = np.linalg.eigh(gramian(scaled, columns))
-    order = np.argsort(-values, kind="stable")[:n_components]
+    if len(columns) >= WIDE_COLUMNS and 4 * n_components <= len(columns):
+        unfitted = TruncatedSvd(list(columns), scaler, [], [])
+        # Every pass reads the matrix, so it is written once, as one column.
+        matrix = materialize(table.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("x")), "matrix")
+        singular, right = leading(matrix, *unfitted._shift_and_scale(), n_components)
+    else:
+        scaled = scaler.transform(table) if scaler else table
+        values, vectors = np.linalg.eigh(gramian(scaled, columns))
+        order = np.argsort(-values, kind="stable")[:n_components]
+        singular, right = np.sqrt(np.clip(values[order], 0.0, None)), vectors[:, order].T
     components = []
-    for vector in vectors[:, order].T:
+    for vector in right:
         size = np.abs(vector)
         lead = int(np.argmax(size >= size.max() - SIGN_TIE))
         components.append([float(v) for v in (vector if vector[lead] > 0 else -vector)])
-    singular = [float(v) for v in np.sqrt(np.clip(values[order], 0.0, None))]
-    return TruncatedSvd(list(columns), scaler, singular, components)
+    return TruncatedSvd(list(columns), scaler, [float(v) for v in singular], components)
 
 
 def energy_curve(singular_values: DataFrame) -> DataFrame:

@@ -88,6 +88,45 @@ def test_blocks_write_in_proportion(spark, monkeypatch):
     assert sizes[1] < 3 * sizes[0]
 
 
+def test_tables_grow_with_the_points_in_one_crowd(spark, monkeypatch):
+    """Points of one cell beyond a chunk: twice the points make about twice the rows of every table."""
+    rows = {}
+
+    def counted(df, name):
+        out = materialize(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(density_blocks, "materialize", counted)
+    seen = []
+    for n in (2048, 4096):
+        rows.clear()
+        x = np.random.default_rng(5).normal(0, 0.1, (n, 6))
+        x[:, :3] = np.abs(x[:, :3]) / 100  # one cell of the leading columns
+        x[: n // 8, 3:] *= 8
+        df, cols = frame(spark, x)
+        found = dbscan(df, cols, 0.5, 20, normalize=False)
+        assert found.where("label = 0").count() > n // 2
+        seen.append(dict(rows))
+    assert all(seen[0][name] <= 2 * 2048 and seen[1][name] <= 2 * 4096 for name in seen[0])
+    big = [name for name in seen[0] if seen[0][name] > 200]
+    assert {"dealt", "core"} <= set(big) and all(seen[1][name] < 2.5 * seen[0][name] for name in big)
+
+
+def test_chunks_hold_every_point_once(spark, monkeypatch):
+    monkeypatch.setattr(density_blocks, "CHUNK", 50)
+    x = cloud(12, 700, 6)
+    df, cols = frame(spark, x)
+    points = df.selectExpr("line_no AS id", "1 AS w", *cols)
+    dealt = density_blocks._dealt(points, cols, cols[:3], 1.0)
+    chunks = density_blocks._chunks(dealt, 6).collect()
+    assert sorted(i for c in chunks for i in c.ids) == list(range(700)) and max(c.n for c in chunks) <= 50
+    for c in chunks:
+        mine = np.array(c.x).reshape(-1, 6)
+        assert np.allclose(mine, x[c.ids]) and {tuple(np.floor(r[:3] / (1 + 1e-6)).astype(int)) for r in mine} == {tuple(c.key)}
+        assert np.sqrt(((mine - np.array(c.centre)) ** 2).sum(axis=1)).max() <= c.radius * (1 + 1e-12)
+
+
 def test_large_cells_are_halved(spark):
     rng = np.random.default_rng(7)
     # two crowded cells that touch in one spot, two that do not
