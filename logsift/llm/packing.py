@@ -19,13 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from logsift.llm.common import pieces
-from logsift.llm.tokens import TokenCoder
+from logsift.llm.tokens import TokenCoder, vocabulary_size
 from logsift.scratch import materialize
 
 CAPACITY = 2048
@@ -105,12 +106,22 @@ PIECES = "shard long, doc_id long, piece int, start long, length long, ids_crc32
 
 
 def token_pieces(
-    docs: DataFrame, tokenizer: str, end_id: int, spaced: bool, capacity: int, keep_ids: bool = False
+    docs: DataFrame,
+    tokenizer: str,
+    end_id: int,
+    spaced: bool,
+    capacity: int,
+    keep_ids: bool = False,
+    narrow: bool = False,
 ) -> DataFrame:
-    """Pieces of all documents, each with its place among the pieces of its length in the task."""
+    """Pieces of all documents, each with its place among the pieces of its length in the task.
+
+    Ids that are kept take four bytes each, or two if ``narrow``.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, shard = TokenCoder(tokenizer, spaced), TaskContext.get().partitionId()
+        kind = np.dtype("<u2" if narrow else "<u4")
         end, seen = np.array([end_id], np.uint32), np.zeros(capacity + 1, np.int64)
         for batch in pieces(batches, 4 << 20):
             out = {name: [] for name in ("shard", "doc_id", "piece", "start", "length", "ids_crc32", "ids", "place")}
@@ -126,7 +137,7 @@ def token_pieces(
                     out["start"].append(start)
                     out["length"].append(len(part))
                     out["ids_crc32"].append(zlib.crc32(part))
-                    out["ids"].append(part.tobytes() if keep_ids else None)
+                    out["ids"].append(part.astype(kind).tobytes() if keep_ids else None)
                     out["place"].append(int(seen[len(part)]))
                     seen[len(part)] += 1
             yield pa.RecordBatch.from_pydict(out, schema=_PIECES_ARROW)
@@ -142,11 +153,21 @@ _PIECES_ARROW = pa.schema(
 )
 
 
-def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def widened(ids: pa.Array) -> pa.Array:
+    """Binaries of two-byte ids as binaries of four-byte ids; null stays null."""
+    bounds = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+    data = np.frombuffer(ids.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    wide = data.view("<u2").astype("<u4")
+    offsets = ((bounds - bounds[0]) * 2).astype(np.int32)
+    filled = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(wide)])
+    return pc.if_else(ids.is_valid(), filled, pa.scalar(None, pa.binary()))
+
+
+def packed(cut: DataFrame, capacity: int = CAPACITY, narrow: bool = False) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset``; ``cut`` is a written table of pieces.
 
     Needs ``length``, ``shard`` and ``place``, a number from 0 among the rows of equal length and
-    shard; other columns are kept.
+    shard; other columns are kept, ``ids`` that are ``narrow`` with four bytes each.
     """
     per_shard = cut.groupBy("length", "shard").agg(F.count("*").alias("_n"))
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
@@ -158,8 +179,11 @@ def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         for batch in batches:
             length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "_rank"))
             sequence, offset = places.of(length.astype(np.int64), rank.astype(np.int64))
+            columns = batch.columns[:-1]
+            if narrow:
+                columns = [widened(c) if n == "ids" else c for n, c in zip(batch.schema.names, columns, strict=False)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())],
+                [*columns, pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())],
                 names=[*batch.schema.names[:-1], "sequence_id", "offset"],
             )
 
@@ -179,9 +203,14 @@ def pack_documents(
     capacity: int = CAPACITY,
     keep_ids: bool = False,
 ) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset) of (doc_id, text)."""
-    cut = materialize(token_pieces(docs, tokenizer, end_id, spaced, capacity, keep_ids), "pieces")
-    return packed(cut, capacity)
+    """(doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset) of (doc_id, text).
+
+    Ids (null unless kept) are little-endian and four bytes long; as long as they travel with their
+    pieces they take two, if the vocabulary allows.
+    """
+    narrow = keep_ids and max(vocabulary_size(tokenizer), end_id + 1) <= 1 << 16
+    cut = materialize(token_pieces(docs, tokenizer, end_id, spaced, capacity, keep_ids, narrow), "pieces")
+    return packed(cut, capacity, narrow)
 
 
 def assembled(placed: DataFrame) -> DataFrame:

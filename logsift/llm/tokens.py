@@ -74,6 +74,13 @@ def _kept_by_worker(path: str) -> _Known:
     return kept[path]
 
 
+def vocabulary_size(path: str) -> int:
+    """One more than the highest id of a file."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab().values()) + 1
+
+
 def _hashes(texts: pa.Array) -> np.ndarray:
     """A 64-bit hash of each string: the sum of a mixed number for every byte at its place."""
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]

@@ -3,9 +3,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-from logsift.llm.packing import Places, assembled, fullest, pack_documents, slack_plan
+from logsift.llm.packing import Places, assembled, fullest, pack_documents, slack_plan, widened
 from logsift.llm.queries import QUERIES
 from tests.llm.fixtures import SMALL, docs_of, odd_texts
 
@@ -92,3 +93,10 @@ def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     tokens, sequences = check(rows, QUERIES["op3_min_bin_slack"](spark, SMALL).collect(), 2048)
     assert sequences <= -(-tokens // 2048) + 1
+
+
+def test_narrow_ids_become_wide():
+    for rows in ([], [b""], [None, b"\x01\x00\xff\xff", b"", b"\x07\x00"]):
+        for start in (0, 1):
+            got = widened(pa.array(rows, pa.binary())[start:]).to_pylist()
+            assert got == [None if r is None else np.frombuffer(r, "<u2").astype("<u4").tobytes() for r in rows[start:]]
