@@ -425,6 +425,12 @@ def reconstruction_error_whole_query(spark, sf_dir):
 
 
 def tsvd_srss_whole_query(spark, sf_dir):
+    _, reduced = tsvd_srss(_whole(spark, sf_dir), E, 1, REDUCED, normalize=False)
+    return _round_all(reduced, ["r0", "r1"], "line_no")
+
+
+def tsvd_srss_default_query(spark, sf_dir):
+    """Three components of all 64 values, the default."""
     _, reduced = tsvd_srss(_whole(spark, sf_dir), E, normalize=False)
     return _round_all(reduced, ["r0", "r1"], "line_no")
 
@@ -522,6 +528,7 @@ QUERIES = {
     "variance_ratios_whole": variance_ratios_whole_query,
     "reconstruction_error_whole": reconstruction_error_whole_query,
     "tsvd_srss_whole": tsvd_srss_whole_query,
+    "tsvd_srss_default": tsvd_srss_default_query,
     "tsvd_wide": tsvd_wide_query,
     "reconstruction_anomaly_score_whole": anomaly_score_whole_query,
     "combine_near_duplicates_whole": combine_whole_query,

@@ -27,7 +27,7 @@ def test_query_equals_sql(spark, con, name):
     assert problem is None
 
 
-@pytest.mark.parametrize("missing", ["", "xxhash", "ahocorasick", "logsift.llm", "corpus_pipeline"])
+@pytest.mark.parametrize("missing", ["", "xxhash", "public_tokenizers", "logsift.llm", "corpus_pipeline"])
 def test_entry_without_parts(missing):
     """What the training-data operators need may be missing; the other queries stay."""
     code = f"import sys; sys.modules.update({{m: None for m in {missing!r}.split()}}); import __spark_entry__ as e; print(*e.queries())"
