@@ -139,7 +139,7 @@ def stream_auth_counts_query(spark, sf_dir):
     """The same counts from a stream of the files of the table, by keyed state."""
     path = scratch_path(spark, "auth_counts")
     stream = line_stream(spark, sf_dir, "imapd_lines", "ts")
-    stream_auth_counts(stream, path, "ts", mode=MODE, availableNow=True).awaitTermination()
+    stream_auth_counts(stream, path, "ts", mode=MODE, partitions=8, availableNow=True).awaitTermination()
     return read_auth_counts(spark, path)
 
 

@@ -27,6 +27,7 @@ PARTIAL = "IP bigint, userid string, seen timestamp, login bigint, badlogin bigi
 TOLD = "IP bigint, userid string, since timestamp, login bigint, badlogin bigint, failed bigint, closed boolean"
 _STATE = "since bigint, timer bigint, login bigint, badlogin bigint, failed bigint"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_PARTITIONS = "spark.sql.shuffle.partitions"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -103,20 +104,27 @@ def stream_auth_counts(
     delay: str = "10 minutes",
     idle_seconds: int = 3600,
     mode: str = "PERMISSIVE",
+    partitions: int | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Count the stream ``lines`` (value and the event time column ``time``) under ``path``.
 
-    Started again with the same path, the query goes on where it stopped.
+    Started again with the same path, the query goes on where it stopped. ``partitions`` of the state
+    stay what they are at the first start, by default those of shuffles; each has a Python worker in
+    every batch.
     """
     spark = lines.sparkSession
     updates = auth_count_updates(lines, time, delay, idle_seconds, mode)
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, _ROCKSDB)  # keyed state with timers needs it; a query keeps its settings
+    # Keyed state with timers needs the provider; a query keeps the settings of its start.
+    settings = {_PROVIDER: _ROCKSDB} | ({_PARTITIONS: str(partitions)} if partitions else {})
+    before = {key: spark.conf.get(key) for key in settings}
     try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
         return write_batches(updates, path, output_mode="update", **trigger)
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def read_auth_counts(spark: SparkSession, path: str) -> DataFrame:
