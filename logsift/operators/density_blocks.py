@@ -7,6 +7,12 @@ whose centres are too far apart for their radii are not a pair; inside a pair th
 tiles of points, and tiles that lie closer than their radii allow any distance beyond eps are near
 as a whole. Only what is left is computed. A point is written once, a pair of chunks is one row, and
 blocks report sums over points and links between groups of linked points of two chunks, never pairs.
+
+Chunks are not all compared with each other. What a chunk holds inside settles most points: who is
+core already there, and who is linked to whom. Points still open (not core yet, or core but outside the
+largest group) are cut into chunks of their own, which ask the others in rounds, the nearest centres
+first, until they are settled or have asked every chunk within reach. So the work is the points times
+the rounds of the open ones; only points that are noise in the end are compared with all chunks around.
 """
 
 from __future__ import annotations
@@ -29,8 +35,12 @@ CHUNK, TILE = 1024, 128
 PIVOTS = 256
 # Chunks of a cell that one task pairs.
 HOT_CELL = 500
+# Chunks that an open chunk asks in the first round, and times as many in each further one.
+NEAREST, WIDER = 8, 8
 # Share by which a bound must be clear before it decides in place of distances.
 MARGIN = 1e-6
+# Rounding per column by which a distance from products may be off, as a share of the squared lengths.
+ROUNDING = 4e-15
 
 CHUNKS = (
     "chunk bigint, key array<bigint>, n int, ids array<bigint>, w array<double>, x array<double>,"
@@ -74,8 +84,11 @@ def _dealt(points: DataFrame, names: list[str], lead: list[str], eps: float) ->
     return materialize(cells.withColumn("w", F.col("w").cast("double")).mapInArrow(nearest, schema), "dealt")
 
 
-def _chunks(dealt: DataFrame, d: int) -> DataFrame:
-    """CHUNKS: up to CHUNK points of one cell that follow each other in the order of the net."""
+def _chunks(dealt: DataFrame, d: int, name: str = "chunks", inner: tuple[str, ...] = ()) -> DataFrame:
+    """CHUNKS: up to CHUNK points of one cell that follow each other in the order of the net.
+
+    ``inner``: further columns that come before the net in the order.
+    """
     size = CHUNK
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,19 +125,26 @@ def _chunks(dealt: DataFrame, d: int) -> DataFrame:
         if held:
             yield row(held)
 
-    order = ["key", "pivot", "far", "id"]
-    ranged = dealt.repartitionByRange(*order).sortWithinPartitions(*order)
-    return materialize(ranged.mapInArrow(cut, CHUNKS), "chunks")
+    order = ["key", *inner, "pivot", "far", "id"]
+    ranged = dealt.repartitionByRange(*order).sortWithinPartitions(*order).drop(*inner)
+    return materialize(ranged.mapInArrow(cut, CHUNKS), name)
 
 
-def _pairs(chunks: DataFrame, length: int, eps: float) -> DataFrame:
-    """(pair, chunk, side): the two sides of every pair of chunks that may hold neighbours.
+def _gap(a: str, b: str) -> Column:
+    """Distance of two centres."""
+    steps = F.zip_with(a, b, lambda p, q: (p - q) * (p - q))
+    return F.sqrt(F.aggregate(steps, F.lit(0.0), lambda s, v: s + v))
 
-    A chunk with itself has one row, whose side is NULL.
-    """
-    some = materialize(chunks.select("chunk", "key", "centre", "radius"), "summary")
-    cells = materialize(some.groupBy("key").agg(F.count("*").alias("n")), "cells")
-    left = some.select(
+
+def _in_reach(gap: str, eps: float) -> Column:
+    return F.col(gap) <= (F.col("ra") + F.col("rb") + F.lit(eps)) * F.lit(1 + MARGIN)
+
+
+def _asked(open_: DataFrame, chunks: DataFrame, length: int, eps: float, name: str) -> DataFrame:
+    """(a, near): the chunks that may hold neighbours of each open chunk a, the nearest first."""
+    some = materialize(chunks.select("chunk", "key", "centre", "radius"), f"summary_{name}")
+    cells = materialize(some.groupBy("key").agg(F.count("*").alias("n")), f"cells_{name}")
+    left = open_.select(
         F.col("chunk").alias("a"), F.col("centre").alias("ca"), F.col("radius").alias("ra"),
         F.explode(_around("key", length)).alias("key"),
     )
@@ -132,15 +152,43 @@ def _pairs(chunks: DataFrame, length: int, eps: float) -> DataFrame:
         "key", F.col("chunk").alias("b"), F.col("centre").alias("cb"), F.col("radius").alias("rb"), "n"
     )
     met = join_dealt(left, right, ["key"], "n", hot_keys(cells, ["key"], "n", HOT_CELL), HOT_CELL)
-    steps = F.zip_with("ca", "cb", lambda p, q: (p - q) * (p - q))
-    gap = F.sqrt(F.aggregate(steps, F.lit(0.0), lambda s, v: s + v))
-    near = gap <= (F.col("ra") + F.col("rb") + F.lit(eps)) * F.lit(1 + MARGIN)
-    found = met.where("a <= b").where(near).select("a", "b")
-    found = materialize(found.withColumn("pair", F.monotonically_increasing_id()), "pairs")
-    alone = F.when(F.col("a") != F.col("b"), True)
-    return found.select("pair", F.col("a").alias("chunk"), alone.alias("side")).union(
-        found.where("a <> b").select("pair", F.col("b").alias("chunk"), F.lit(False))
-    )
+    found = met.withColumn("gap", _gap("ca", "cb")).where(_in_reach("gap", eps))
+    listed = found.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("gap", "b"))).alias("found"))
+    return materialize(listed.select("a", F.col("found.b").alias("near")), f"asked_{name}")
+
+
+def _rounds(asked: DataFrame) -> Iterator[DataFrame]:
+    """Pairs (a, b) of ``asked`` round by round, the nearest of each open chunk first."""
+    last, start, size = asked.agg(F.max(F.size("near"))).first()[0] or 0, 0, NEAREST
+    while start < last:
+        yield asked.select("a", F.explode(F.slice("near", start + 1, size)).alias("b"))
+        start, size = start + size, size * WIDER
+
+
+def _meet(pairs: DataFrame, left: DataFrame, right: DataFrame, *columns: str):
+    """The two chunks of every pair, grouped; ``columns`` go with the ids and values of their points."""
+    first = pairs.select("a", "b", F.col("a").alias("chunk"), F.lit(True).alias("side")).join(left, "chunk")
+    second = pairs.select("a", "b", F.col("b").alias("chunk"), F.lit(False).alias("side")).join(right, "chunk")
+    side = ["a", "b", "side", "ids", "x", *columns]
+    return first.select(*side).union(second.select(*side)).groupBy("a", "b")
+
+
+def _strides(chunks: DataFrame, eps: float) -> DataFrame:
+    """(a, b): chunks that follow each other in the order of the net, at growing steps."""
+    some = chunks.select("chunk", "centre", "radius")
+    placed = materialize(number_rows(some, ["chunk"], "at"), "places")
+    steps, last = [], placed.agg(F.max("at")).first()[0] or 0
+    while WIDER ** len(steps) <= last:
+        steps.append(WIDER ** len(steps))
+    if not steps:
+        steps = [1]
+    left = placed.select(
+        F.col("chunk").alias("a"), F.col("centre").alias("ca"), F.col("radius").alias("ra"),
+        F.explode(F.array(*[F.col("at") + F.lit(step) for step in steps])).alias("at"),
+    )
+    right = placed.select("at", F.col("chunk").alias("b"), F.col("centre").alias("cb"), F.col("radius").alias("rb"))
+    met = left.join(right, "at").withColumn("gap", _gap("ca", "cb")).where(_in_reach("gap", eps))
+    return materialize(met.select("a", "b"), "strides")
 
 
 def _numbers(values: pa.Array) -> np.ndarray:
@@ -156,7 +204,7 @@ class _Block:
         group = group.combine_chunks()
         order = [0] if group.num_rows == 1 else sorted((0, 1), key=lambda i: group.column("side")[i].as_py() is False)
         cells = [{name: group.column(name)[i] for name in group.column_names} for i in order]
-        cells = [{k: _numbers(v.values) for k, v in c.items() if pa.types.is_list(v.type)} for c in cells]
+        cells = [{k: _numbers(v.values) for k, v in c.items() if pa.types.is_list(v.type) and v.is_valid} for c in cells]
         self.alone = len(cells) == 1
         self.a, self.b = cells[0], cells[-1]
         xa, xb = (c["x"].reshape(-1, d) for c in (self.a, self.b))
@@ -172,11 +220,27 @@ class _Block:
                 if (gap + ra + rb) * (1 + MARGIN) <= eps:
                     self.near[rows_, columns] = True
                     continue
-                gaps = np.zeros((len(xa[rows_]), len(xb[columns])))
-                for p, q in zip(xa[rows_].T, xb[columns].T, strict=True):  # summed column by column, as everywhere else
-                    step = p[:, None] - q[None, :]
+                self.near[rows_, columns] = self._close(xa[rows_], xb[columns], eps)
+
+    @staticmethod
+    def _close(p: np.ndarray, q: np.ndarray, eps: float) -> np.ndarray:
+        """Who is within eps: by products, and column by column where rounding might decide."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            pp, qq = (p * p).sum(axis=1), (q * q).sum(axis=1)
+            lengths = pp[:, None] + qq[None, :]
+            beyond = lengths - 2 * (p @ q.T) - eps * eps
+            near = beyond <= 0
+            doubt = ~(np.abs(beyond) > ROUNDING * (p.shape[1] + 8) * (lengths + eps * eps))
+            # a missing value is near nothing
+            doubt &= ~np.isnan(p).any(axis=1)[:, None] & ~np.isnan(q).any(axis=1)[None, :]
+            i, j = np.nonzero(doubt)
+            if len(i):
+                gaps = np.zeros(len(i))
+                for c in range(p.shape[1]):  # summed column by column, as everywhere else
+                    step = p[i, c] - q[j, c]
                     gaps += step * step
-                self.near[rows_, columns] = gaps <= eps * eps
+                near[i, j] = gaps <= eps * eps
+        return near
 
     @staticmethod
     def _tiles(x: np.ndarray) -> list[tuple[np.ndarray, float]]:
@@ -187,12 +251,6 @@ class _Block:
             out.append((centre, float(np.sqrt(((part - centre) ** 2).sum(axis=1)).max())))
         return out
 
-    def sides(self) -> list[tuple[dict, dict, np.ndarray]]:
-        """(chunk, the other one, who of the first is near whom of the other)."""
-        if self.alone:
-            return [(self.a, self.b, self.near)]
-        return [(self.a, self.b, self.near), (self.b, self.a, self.near.T)]
-
 
 def _rows(found: list[tuple[np.ndarray, np.ndarray]], names: list[str], kind: pa.DataType) -> pa.Table:
     first, second = (np.concatenate(x) for x in zip(*found, strict=True)) if found else ([], [])
@@ -200,9 +258,11 @@ def _rows(found: list[tuple[np.ndarray, np.ndarray]], names: list[str], kind: pa
 
 
 def _gathered(d: int, eps: float):
+    """(id, w): weight near the points of a chunk, inside it or in the chunk it asks."""
+
     def block(group: pa.Table) -> pa.Table:
-        sides = _Block(group, d, eps).sides()
-        return _rows([(a["ids"], near @ b["w"]) for a, b, near in sides], ["id", "w"], pa.float64())
+        it = _Block(group, d, eps)
+        return _rows([(it.a["ids"], it.near @ it.b["w"])], ["id", "w"], pa.float64())
 
     return block
 
@@ -268,16 +328,14 @@ def _linked_across(d: int, eps: float):
 
 
 def _adjacent(d: int, eps: float):
-    """(id, root): the lowest cluster next to each point that is in none."""
+    """(id, root): the lowest cluster in a chunk next to each point of the chunk that asks."""
 
     def block(group: pa.Table) -> pa.Table:
-        none, out = np.iinfo(np.int64).max, []
-        for a, b, near in _Block(group, d, eps).sides():
-            own, other = (np.where(side["root"] < 0, none, side["root"]) for side in (a, b))
-            low = np.where(near, other[None, :], none).min(axis=1)
-            keep = (low < none) & (own == none)
-            out.append((a["ids"][keep], low[keep]))
-        return _rows(out, ["id", "root"], pa.int64())
+        none, it = np.iinfo(np.int64).max, _Block(group, d, eps)
+        other = np.where(it.b["root"] < 0, none, it.b["root"])
+        low = np.where(it.near, other[None, :], none).min(axis=1)
+        keep = low < none
+        return _rows([(it.a["ids"][keep], low[keep])], ["id", "root"], pa.int64())
 
     return block
 
@@ -291,44 +349,119 @@ def _beside(chunks: DataFrame, values: DataFrame, name: str) -> DataFrame:
     return materialize(chunks.join(arrays.select("chunk", found), "chunk"), f"chunks_{name}")
 
 
-def cluster_by_blocks(
-    points: DataFrame, names: list[str], lead: list[str], eps: float, min_samples: int
-) -> DataFrame:
-    """``points`` (id, w, rows and ``names``) with core, root and cluster; root NULL for noise."""
-    d = len(names)
-    chunks = _chunks(_dealt(points, names, lead, eps), d)
-    pairs = materialize(_pairs(chunks, len(lead), eps), "sides")
-    side = ["pair", "side", "ids", "x"]
-    weights = (
-        pairs.join(chunks, "chunk").select(*side, "w").groupBy("pair").applyInArrow(_gathered(d, eps), "id long, w double")
-    )
-    core = materialize(
-        weights.groupBy("id").agg((F.round(F.sum("w"), 6) >= min_samples).alias("core")), "core"
-    )
+def _holding(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+    """(chunk) of the chunks that hold one of the ids."""
+    places = chunks.select("chunk", F.explode("ids").alias("id"))
+    return places.join(ids.select("id"), "id", "left_semi").select("chunk").distinct()
+
+
+def _cores(dealt: DataFrame, chunks: DataFrame, length: int, d: int, eps: float, min_samples: int) -> DataFrame:
+    """(id, core) of every point: settled inside its chunk, or by rounds over the chunks around."""
+    enough = F.round("w", 6) >= min_samples
+    inside = chunks.select("chunk", "ids", "x", "w").groupBy("chunk").applyInArrow(_gathered(d, eps), "id long, w double")
+    own = materialize(inside.groupBy("id").agg(F.sum("w").alias("w")), "own")
+    open_ = own.where(~enough).select("id")
+    if open_.isEmpty():
+        return materialize(own.select("id", F.lit(True).alias("core")), "core")
+    queries = _chunks(dealt.join(open_, "id", "left_semi"), d, "queries")
+    asked = _asked(queries, chunks, length, eps, "cores")
+    total = open_.withColumn("w", F.lit(0.0))
+    for turn, pairs in enumerate(_rounds(asked)):
+        if turn:
+            left = total.where(~enough)
+            if left.isEmpty():
+                break
+            pairs = pairs.join(_holding(queries, left).withColumnRenamed("chunk", "a"), "a", "left_semi")
+        found = _meet(pairs, queries, chunks, "w").applyInArrow(_gathered(d, eps), "id long, w double")
+        total = materialize(total.union(found).groupBy("id").agg(F.sum("w").alias("w")), "total")
+    settled = own.where(enough).select("id", F.lit(True).alias("core"))
+    return materialize(settled.union(total.select("id", enough.alias("core"))), "core")
+
+
+def _members(dealt: DataFrame, chunks: DataFrame, core: DataFrame, length: int, d: int, eps: float) -> DataFrame:
+    """(id, root) of the core points, root the lowest id of the cluster.
+
+    First the groups inside chunks are linked along the order of the net. Then the core points outside
+    the largest group ask the chunks around; two chunks of one and the same group are not compared.
+    """
     inside = (
-        _beside(chunks, core, "core")
+        _beside(chunks, core.where("core"), "core")
         .select("chunk", "ids", "x", "core")
         .groupBy("chunk")
         .applyInArrow(_linked_inside(d, eps), "id long, root long")
     )
     local = materialize(inside, "local")
-    across = pairs.where("side IS NOT NULL").join(_beside(chunks, local, "root"), "chunk").select(*side, "root")
-    edges = materialize(across.groupBy("pair").applyInArrow(_linked_across(d, eps), "u long, v long"), "edges")
-    heads = materialize(local.select(F.col("root").alias("id")).distinct(), "nodes")
-    joined = connected_components(heads, edges).withColumnRenamed("id", "_head").withColumnRenamed("root", "_root")
-    members = materialize(
-        local.join(joined, F.col("root") == F.col("_head")).select("id", F.col("_root").alias("root")), "members"
-    )
+    rooted = _beside(chunks, local, "root")
+    heads = materialize(local.groupBy(F.col("root").alias("id")).agg(F.count("*").alias("n")), "nodes")
+
+    def held(of: DataFrame, name: str) -> DataFrame:
+        """(name, id): the groups that a chunk has points of."""
+        roots = of.select(F.col("chunk").alias(name), F.explode(F.array_distinct("root")).alias("id"))
+        return materialize(roots.where("id is not null"), f"held_{name}")
+
+    def span(groups: DataFrame, of: DataFrame, name: str) -> DataFrame:
+        """(name, low, high): the least and greatest root of the groups of each chunk."""
+        return of.join(groups, "id").groupBy(name).agg(
+            F.min("root").alias(f"{name}_low"), F.max("root").alias(f"{name}_high")
+        )
+
+    def members(groups: DataFrame) -> DataFrame:
+        roots = groups.withColumnRenamed("id", "head")
+        return materialize(local.withColumnRenamed("root", "head").join(roots, "head").select("id", "root"), "members")
+
+    across = _meet(_strides(chunks, eps), rooted, rooted, "root").applyInArrow(_linked_across(d, eps), "u long, v long")
+    edges = materialize(across, "edges")
+    groups = connected_components(heads.select("id"), edges)
+    sizes = heads.join(groups, "id").groupBy("root").agg(F.sum("n").alias("n"))
+    largest = sizes.orderBy(F.desc("n"), "root").head()
+    if largest is None:
+        return members(groups)
+    outer = groups.where(F.col("root") != largest.root).select(F.col("id").alias("head"), F.col("root").alias("group"))
+    loose = local.withColumnRenamed("root", "head").join(outer, "head").select("id", "group")
+    if loose.isEmpty():
+        return members(groups)
+    cut = _chunks(dealt.join(loose, "id"), d, "loose", ("group",))
+    queries = _beside(cut, local, "root")
+    held_a, held_b = held(queries, "a"), held(rooted, "b")
+    for turn, pairs in enumerate(_rounds(_asked(queries, rooted, length, eps, "links"))):
+        if turn:
+            groups = connected_components(heads.select("id"), edges)
+        # the group that holds the root of the largest one, whatever its root is by now
+        main = groups.where(F.col("id") == largest.root).head().root
+        one = (F.col("a_low") == F.col("a_high")) & (F.col("b_low") == F.col("b_high")) & (F.col("a_low") == F.col("b_low"))
+        todo = (
+            pairs.join(span(groups, held_a, "a"), "a")
+            .where((F.col("a_low") != main) | (F.col("a_high") != main))
+            .join(span(groups, held_b, "b"), "b")
+            .where(~one)
+            .select("a", "b")
+        )
+        found = _meet(todo, queries, rooted, "root").applyInArrow(_linked_across(d, eps), "u long, v long")
+        edges = edges.union(materialize(found, "edges"))
+    return members(connected_components(heads.select("id"), edges))
+
+
+def cluster_by_blocks(
+    points: DataFrame, names: list[str], lead: list[str], eps: float, min_samples: int
+) -> DataFrame:
+    """``points`` (id, w, rows and ``names``) with core, root and cluster; root NULL for noise."""
+    d, length = len(names), len(lead)
+    dealt = _dealt(points, names, lead, eps)
+    chunks = _chunks(dealt, d)
+    core = _cores(dealt, chunks, length, d, eps, min_samples)
+    members = _members(dealt, chunks, core, length, d, eps)
     numbered = number_rows(members.where("id = root").select("root"), ["root"], "cluster")
-    beside = (
-        pairs.join(_beside(chunks, members, "root"), "chunk")
-        .select(*side, "root")
-        .groupBy("pair")
-        .applyInArrow(_adjacent(d, eps), "id long, root long")
-    )
-    border = beside.groupBy("id").agg(F.min("root").alias("root"))
-    roots = members.union(border).join(numbered, "root")
+    roots = members
+    outside = dealt.join(core.where("not core").select("id"), "id", "left_semi")
+    if not (members.isEmpty() or outside.isEmpty()):
+        queries = _chunks(outside, d, "outside")
+        queries = queries.withColumn("root", F.lit(None).cast("array<bigint>"))
+        around = _beside(chunks.join(_holding(chunks, members), "chunk", "left_semi"), members, "root")
+        asked = _asked(queries, around, length, eps, "border")
+        met = _meet(asked.select("a", F.explode("near").alias("b")), queries, around, "root")
+        beside = met.applyInArrow(_adjacent(d, eps), "id long, root long")
+        roots = members.union(beside.groupBy("id").agg(F.min("root").alias("root")))
     return materialize(
-        points.join(core, "id").join(roots, "id", "left").select(*names, "rows", "core", "root", "cluster"),
+        points.join(core, "id").join(roots.join(numbered, "root"), "id", "left").select(*names, "rows", "core", "root", "cluster"),
         "labelled",
     )

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from logsift import scratch
-from logsift.operators import density_blocks
+from logsift.operators import density_blocks, near_duplicates
 from logsift.operators.components import connected_components
 from logsift.operators.density import cluster_centroids, cluster_sizes, dbscan, optics
 from logsift.operators.near_duplicates import combine_near_duplicates
@@ -127,6 +127,35 @@ def test_chunks_hold_every_point_once(spark, monkeypatch):
         assert np.sqrt(((mine - np.array(c.centre)) ** 2).sum(axis=1)).max() <= c.radius * (1 + 1e-12)
 
 
+def test_pairs_of_chunks_do_not_grow_with_the_square(spark, monkeypatch):
+    """Points that chunks settle inside and along the order are not compared with all others."""
+    monkeypatch.setattr(density_blocks, "CHUNK", 20)
+    rows = {}
+
+    def counted(df, name):
+        out = materialize(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(density_blocks, "materialize", counted)
+    seen = []
+    for n in (400, 800):
+        rows.clear()
+        df, cols = frame(spark, np.abs(np.random.default_rng(4).normal(0, 0.1, (n, 5))))
+        assert dbscan(df, cols, 1.0, 5, normalize=False).where("label = 0 and is_core").count() == n
+        seen.append(dict(rows))
+    assert all(seen[1][name] <= 3 * seen[0].get(name, 0) + 50 for name in seen[1])
+
+
+def test_products_decide_as_sums_do():
+    rng = np.random.default_rng(2)
+    for shift in (0.0, 1e6):
+        p, q = (np.round(rng.uniform(-1, 1, (60, 4)) * 4) / 4 + shift for _ in range(2))
+        p[3, 1], q[5, 2], q[7, 0] = np.nan, np.inf, 1e200
+        want = sum((p[:, None, c] - q[None, :, c]) ** 2 for c in range(4)) <= 1.0
+        assert (density_blocks._Block._close(p, q, 1.0) == want).all() and want.any()
+
+
 def test_large_cells_are_halved(spark):
     rng = np.random.default_rng(7)
     # two crowded cells that touch in one spot, two that do not
