@@ -5,15 +5,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from logsift.scratch import materialize, place_columns
 
-# Distinct rows that one task walks over.
-WALK_ROWS = 200_000
+# Distinct rows that one task walks over, and numbers in them: a walk holds a few copies of these.
+WALK_ROWS, WALK_CELLS = 200_000, 2_000_000
 
 
 def _first_beyond(x: np.ndarray, start: int, rep: np.ndarray, rtol: float) -> int:
@@ -31,27 +31,43 @@ def _first_beyond(x: np.ndarray, start: int, rep: np.ndarray, rtol: float) -> in
 
 
 def _walker(names: list[str], rtol: float):
-    def walk(rows: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
-        out = ["_pid", "_n", "_own", *names, "weight", "line_no"]
-        if rows.empty:
-            return pd.DataFrame(columns=out)
-        rows = rows.sort_values("_pos")
-        x = rows[names].to_numpy(dtype=float)
-        weights = rows["weight"].to_numpy()
-        lines = rows["line_no"].to_numpy()
-        pid = rows["_pid"].iloc[0]
-        at, found = 0, []
-        if len(carried) and bool(carried["_has"].iloc[0]):
-            rep = carried[names].to_numpy(dtype=float)[0]
+    cells = [(n, pa.float64()) for n in names]
+    schema = pa.schema(
+        [("_pid", pa.int64()), ("_n", pa.int64()), ("_own", pa.bool_()), *cells, ("weight", pa.int64()), ("line_no", pa.int64())]
+    )
+
+    def walk(rows: pa.Table, carried: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return schema.empty_table()
+        order = np.argsort(rows.column("_pos").to_numpy())
+        x = np.empty((len(order), len(names)))
+        for i, n in enumerate(names):
+            x[:, i] = rows.column(n).to_numpy()[order]
+        weights = np.cumsum(np.append(0, rows.column("weight").to_numpy()[order]))
+        at, rep = 0, None
+        if carried.num_rows and carried.column("_has")[0].as_py():
+            rep = np.array([carried.column(n).to_numpy()[0] for n in names], float)
             at = _first_beyond(x, 0, rep, rtol)
-            if at:
-                found.append((pid, -1, False, *rep, weights[:at].sum(), lines[:at].min()))
-        number = 0
+        before, starts = at, []
         while at < len(x):
-            end = _first_beyond(x, at + 1, x[at], rtol)
-            found.append((pid, number, True, *x[at], weights[at:end].sum(), lines[at]))
-            at, number = end, number + 1
-        return pd.DataFrame(found, columns=out)
+            starts.append(at)
+            at = _first_beyond(x, at + 1, x[at], rtol)
+        own = np.array(starts, np.int64)
+        sums = np.diff(weights[np.append(own, len(x))])
+        lines = rows.column("line_no").take(pa.array(order[own])).combine_chunks().cast(pa.int64())
+        numbers, mine, taken = np.arange(len(own)), np.ones(len(own), bool), x[own]
+        del x
+        if before:  # rows that the incoming representative takes
+            numbers, mine = np.append(-1, numbers), np.append(False, mine)
+            taken, sums = np.vstack([rep, taken]), np.append(weights[before], sums)
+            lines = pa.concat_arrays([pa.nulls(1, pa.int64()), lines])
+        return pa.Table.from_arrays(
+            [
+                pa.array(np.full(len(numbers), rows.column("_pid")[0].as_py())), pa.array(numbers), pa.array(mine),
+                *[pa.array(taken[:, i], from_pandas=True) for i in range(len(names))], pa.array(sums), lines,
+            ],
+            schema=schema,
+        )
 
     return walk
 
@@ -75,6 +91,7 @@ def combine_near_duplicates(
         .agg(F.count("*").alias("weight"), F.min("line_no").alias("line_no")),
         "distinct",
     )
+    walk_rows = max(1, min(walk_rows, WALK_CELLS // len(columns)))
     partitions = max(1, math.ceil(distinct.count() / walk_rows))
     ranged = materialize(
         distinct.repartitionByRange(partitions, *names)
@@ -88,7 +105,7 @@ def combine_near_duplicates(
 
     def walked_with(rows: DataFrame, carried: DataFrame) -> DataFrame:
         return (
-            rows.groupBy("_pid").cogroup(carried.groupBy("_pid")).applyInPandas(walk, schema=schema)
+            rows.groupBy("_pid").cogroup(carried.groupBy("_pid")).applyInArrow(walk, schema=schema)
         )
 
     pids = ranged.select("_pid").distinct()

@@ -194,6 +194,20 @@ def test_combining_is_the_sequential_walk(spark, walk_rows, rtol):
     assert [r.weight for r in got] == counts
 
 
+def test_walks_are_short_where_rows_are_wide(spark, monkeypatch):
+    """The numbers that a walk holds do not grow with the columns."""
+    monkeypatch.setattr(near_duplicates, "WALK_CELLS", 600)
+    seen = []
+    monkeypatch.setattr(near_duplicates, "materialize", lambda df, name: seen.append((name, materialize(df, name))) or seen[-1][1])
+    x = np.round(np.random.default_rng(3).normal(0, 1, (300, 12)), 2)
+    df, cols = frame(spark, x, 4)
+    reps, counts = brute.walk(x, 0.6)
+    got = combine_near_duplicates(df, cols, 0.6).orderBy("sample").collect()
+    assert np.array_equal(np.array([[r[c] for c in cols] for r in got]), reps) and [r.weight for r in got] == counts
+    ranged = dict(seen)["ranged"]
+    assert max(r["count"] for r in ranged.groupBy("_pid").count().collect()) < 150
+
+
 def test_components_of_paths_and_stars(spark, monkeypatch):
     monkeypatch.setattr(scratch, "HOT_KEY_ROWS", 10)
     path = [(i, i + 1) for i in range(100, 160)]
