@@ -68,3 +68,44 @@ def test_draws_follow_cost_and_values_alone():
     assert len(module._drawn(x, n, x, 0.0, 40, 11)) == 0
     zero = np.array([[0.0, 1.0], [-0.0, 1.0]])
     assert len(set(module._ranks(zero, 1))) == 1
+
+
+def test_rounds_read_the_rows_near_a_border(spark, monkeypatch):
+    """Fewer passes over all rows than rounds, and the fixed point of passes over all rows alone."""
+    monkeypatch.setattr(module, "CELLS_PER_TASK", 0)
+    monkeypatch.setattr(module, "START_ROWS", 10)
+    rnd = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(rnd.normal(size=(4000, 3)))], "line_no BIGINT, a DOUBLE, b DOUBLE, c DOUBLE")
+    passes, whole = [], module._SparkPasses.rounds
+    monkeypatch.setattr(module._SparkPasses, "rounds", lambda self, starts: passes.append(self.rows) or whole(self, starts))
+    got = ls.kmeans(df, COLUMNS, 2, restarts=1)
+    read = sum(n for n in passes if n == 4000)
+    passes.clear()
+    monkeypatch.setattr(module._SparkPasses, "ahead", module._LocalPasses.ahead)
+    want = ls.kmeans(df, COLUMNS, 2, restarts=1)
+    assert got.centroids == want.centroids and got.converged and want.converged
+    assert read < 0.7 * sum(passes)
+
+
+def test_assignment_by_products_is_that_by_differences():
+    rnd = np.random.default_rng(4)
+    for shift in (0.0, 1e6, 1e9):
+        x = np.round(rnd.normal(size=(3000, 4)), 1) + shift
+        centers = np.concatenate([x[:3], x[:1]])  # equal centres: the first is taken
+        near, gap, lead = module._assigned(x, centers)
+        gaps = module._gaps(x, centers)
+        assert (near == gaps.argmin(axis=1)).all() and (near < 3).all()
+        assert np.allclose(gap, gaps.min(axis=1), atol=1e-6)
+        two = np.sqrt(np.sort(gaps, axis=1)[:, :2])
+        assert np.allclose(lead, two[:, 1] - two[:, 0], rtol=1e-3, atol=1e-6)
+
+
+def test_leads_bound_what_a_move_changes():
+    rnd = np.random.default_rng(6)
+    x, centers = rnd.normal(size=(5000, 5)), rnd.normal(size=(4, 5))
+    near, _, lead = module._assigned(x, centers)
+    moved = centers + rnd.normal(size=centers.shape) * 0.05
+    kept = lead > module._reach(moved, centers)
+    assert kept.any() and (module._assigned(x, moved)[0][kept] == near[kept]).all()
+    assert module._classes(lead).sum() == 5000
+    assert not module._holds([(centers, 0.01)], moved) and module._holds([(centers, 10.0)], moved)
