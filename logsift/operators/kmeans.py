@@ -39,7 +39,7 @@ DIGITS = 9
 # Starts tried on the candidates.
 TRIES = 8
 # Rows near a border are set aside if these are one in SMALLER at most, and last for STEPS such moves as the last.
-SMALLER, STEPS = 4, 4
+SMALLER, STEPS = 4, 16
 # Classes of the lead of the nearest centroid, so many to a power of two, on either side of 1.
 _OCTAVE, _SIDE = 4, 240
 # Numbers in one row of the packed table and rows in one file, and numbers for which a task is worth starting.
@@ -234,9 +234,10 @@ class _SparkPasses:
         self.written, self.points = points, points.coalesce(tasks)
         self.rows, self.columns = rows, columns
 
-    def _found(self, task, schema: str) -> DataFrame:
-        read = _Reader(self.columns)
-        return self.points.mapInArrow(lambda batches: task(read(batches)), schema)
+    def _found(self, task, schema: str, whole: bool = False) -> DataFrame:
+        """Rows of ``task`` for each part of the table, or for the table as one part."""
+        read, points = _Reader(self.columns), self.written.coalesce(1) if whole else self.points
+        return points.mapInArrow(lambda batches: task(read(batches)), schema)
 
     def all_rows(self) -> tuple[np.ndarray, np.ndarray]:
         rows = self.points.select("x", "n").collect()  # START_ROWS at most
@@ -328,7 +329,7 @@ class _SparkPasses:
             reached, used = _walk(local, base, bounds, centers, left)
             yield pa.RecordBatch.from_arrays([pa.array([reached]), pa.array([used])], ["centers", "used"])
 
-        row = self._found(task, "centers array<array<double>>, used long").head()
+        row = self._found(task, "centers array<array<double>>, used long", whole=True).head()
         if row is None:  # no row near a border, so no task
             return _walk(_LocalPasses(np.empty((0, base.shape[1] - 2)), np.empty(0)), base, bounds, centers, left)
         return [list(c) for c in row.centers], row.used
@@ -476,5 +477,5 @@ def _in_one_task(passes: _SparkPasses, k: int, seeds: list[int], max_iter: int)
             sizes, centers, fixed = _fitted(local, k, seeds, max_iter)
             yield pa.RecordBatch.from_arrays([pa.array([sizes]), pa.array([centers]), pa.array([fixed])], ["sizes", "centers", "fixed"])
 
-    row = passes._found(task, "sizes array<long>, centers array<array<double>>, fixed boolean").head()
+    row = passes._found(task, "sizes array<long>, centers array<array<double>>, fixed boolean", whole=True).head()
     return list(row.sizes), [list(c) for c in row.centers], row.fixed

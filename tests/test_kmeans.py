@@ -109,3 +109,23 @@ def test_leads_bound_what_a_move_changes():
     assert kept.any() and (module._assigned(x, moved)[0][kept] == near[kept]).all()
     assert module._classes(lead).sum() == 5000
     assert not module._holds([(centers, 0.01)], moved) and module._holds([(centers, 10.0)], moved)
+
+
+def test_one_task_reads_the_whole_table(spark, monkeypatch):
+    """However many tasks a pass has, what runs in one task sees all rows of its table."""
+    want = ls.kmeans(table(spark, 3000), COLUMNS, 4).centroids
+    monkeypatch.setattr(module, "TASK_CELLS", 100)
+    monkeypatch.setattr(module, "PACKED", 300)
+    assert ls.kmeans(table(spark, 3000, 5), COLUMNS, 4).centroids == want
+    monkeypatch.setattr(module, "ROWS_PER_TASK", 1500)
+    walked, walk = [], module._SparkPasses.walk_in_one_task
+
+    def walk_and_compare(self, base, bounds, centers, left):
+        got = walk(self, base, bounds, centers, left)
+        assert got == module._walk(module._LocalPasses(*self.all_rows()), base, bounds, centers, left)
+        walked.append(got[1])
+        return got
+
+    monkeypatch.setattr(module._SparkPasses, "walk_in_one_task", walk_and_compare)
+    assert ls.kmeans(table(spark, 3000, 5), COLUMNS, 4).centroids == want
+    assert sum(walked) > 1
