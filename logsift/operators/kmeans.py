@@ -39,7 +39,7 @@ DIGITS = 9
 # Starts tried on the candidates.
 TRIES = 8
 # Rows near a border are set aside if these are one in SMALLER at most, and last for STEPS such moves as the last.
-SMALLER, STEPS = 4, 16
+SMALLER, STEPS = 4, 8
 # Classes of the lead of the nearest centroid, so many to a power of two, on either side of 1.
 _OCTAVE, _SIDE = 4, 240
 # Numbers in one row of the packed table and rows in one file, and numbers for which a task is worth starting.
