@@ -89,3 +89,53 @@ def test_no_training_and_empty_table(spark):
 def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     check(QUERIES["op6_suffix_tree"](spark, SMALL).collect(), rows)
+
+
+def plain_scores(rows):
+    """Scores by a tree of dictionaries over the running symbols of the training texts."""
+    depth = suffix_tree.DEPTH
+    runs = [[10] * depth + list(b"".join(w + b" " for w in (t or "").encode().lower().split())) + [9] for _, t in rows]
+    counts = collections.defaultdict(collections.Counter)
+    for run, (doc, _) in zip(runs, rows, strict=True):
+        for i in range(depth, len(run) if not out(doc) else 0):
+            for order in range(depth + 1):
+                counts[tuple(run[i - order : i])][run[i]] += 1
+
+    def chance(context, symbol):
+        suffix = chance(context[1:], symbol) if context else 1 / 256
+        after = counts.get(context, collections.Counter())
+        return (after[symbol] + suffix_tree.LEAN * suffix) / (after.total() + suffix_tree.LEAN)
+
+    kept = {c for c in counts if len(c) <= 1}
+    for context, after in counts.items():
+        if context:
+            gain = sum(n * math.log(n / after.total() / chance(context[1:], s)) for s, n in after.items())
+            if gain >= suffix_tree.GAIN:
+                kept |= {context[i:] for i in range(len(context))}
+
+    def score(run):
+        total = 0.0
+        for i in range(depth, len(run)):
+            context = tuple(run[i - depth : i])
+            while context and context not in kept:
+                context = context[1:]
+            total += math.log10(chance(context, run[i]))
+        return total
+
+    return [score(run) for run in runs]
+
+
+def test_scores_equal_a_tree_of_dictionaries(spark, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", 700)
+    rows = [(i, f"The mat of cat {i % 5} and\tthe hat No. {i % 9}  straße") for i in range(60)]
+    rows += [(60, None), (61, " "), (62, "cat the mat of"), (63, "aaaaaaa aaaaaaaaaaa a aa"), (64, "日本語 日本語 \x00")]
+    got = {r.doc_id: r.score for r in scored(docs_of(spark, rows).withColumn("held_out", held_out(10))).collect()}
+    assert np.allclose([got[d] for d, _ in rows], plain_scores(rows), rtol=1e-6)
+
+
+def test_order_of_words_counts(spark):
+    rows = [(i, "the cat sat on the mat and then it ran out") for i in range(40)]
+    rows += [(100, "the cat sat on the mat"), (101, "mat the on sat cat the")]
+    docs = docs_of(spark, rows).withColumn("held_out", F.col("doc_id") >= 100)
+    got = {r.doc_id: r for r in scored(docs).collect()}
+    assert got[100].base_score == got[101].base_score and got[100].score > got[101].score + 1
