@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +14,27 @@ from pyspark.sql import functions as F
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 # Words whose hash a Python worker remembers before it starts anew.
 CACHED_WORDS = 200_000
+# Rows of whole texts that an executor sends to a Python worker together.
+TEXT_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def text_batches(spark: SparkSession):
+    """Jobs run inside the block send TEXT_ROWS rows at once to Python workers, or fewer if so set before."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def text_bytes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, text) with the UTF-8 bytes of the text; a null text stays null."""
     return docs.select(F.col(key), F.col("text").cast("binary").alias("text"))

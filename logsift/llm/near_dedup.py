@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import GOLDEN, WordHashes, lower_words, mixed, pieces, rolled, signed, text_bytes
+from logsift.llm.common import GOLDEN, WordHashes, lower_words, mixed, pieces, rolled, signed, text_batches, text_bytes
 from logsift.operators.components import connected_components
 from logsift.scratch import discard, hot_keys, join_dealt, materialize
 
@@ -35,7 +35,7 @@ THRESHOLD = 85
 # with one of 3e-6.
 BANDS, SLOTS = 32, 5
 # Text whose shingles draw together; each may need a permutation of the slots of its own.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 # A pair is looked at in full unless fewer slots agree than so many standard deviations (of
 # independent slots; SuperMinHash has smaller ones) below the threshold.
 DEVIATIONS = 5.5
@@ -340,7 +340,8 @@ def near_duplicates(
 
     The group is named by its smallest doc_id, which is the document kept.
     """
-    sets = materialize(signatures(docs, size, bands, slots), "signed")
+    with text_batches(docs.sparkSession):
+        sets = materialize(signatures(docs, size, bands, slots), "signed")
     keys = ["low", "high", "n_shingles"]
     linkable = F.col("n_shingles") > 0
     full = sets.where(linkable & F.col("doc_id").isNotNull())
@@ -403,7 +404,9 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, thre
         .select("u", "v", "sketch_u", "sketch_v")
         .mapInArrow(_likely(threshold), "u long, v long")
     )
-    return materialize(confirmed(materialize(likely, "likely"), texts, size, threshold), "links")
+    likely = materialize(likely, "likely")
+    with text_batches(texts.sparkSession):
+        return materialize(confirmed(likely, texts, size, threshold), "links")
 
 
 def _groups(links: DataFrame) -> DataFrame:

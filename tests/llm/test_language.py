@@ -4,8 +4,18 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
-from logsift.llm.language import BUCKETS, Mixture, held_out, in_known_language, language_counts, predict_languages, trigrams
+from logsift.llm.language import (
+    BUCKETS,
+    PIECE_BYTES,
+    Mixture,
+    held_out,
+    in_known_language,
+    language_counts,
+    predict_languages,
+    trigrams,
+)
 from logsift.llm.queries import QUERIES
 from tests.llm.fixtures import docs_of, odd_texts
 
@@ -119,3 +129,18 @@ def test_equals_plain_mixture():
         assert lang == ranked[top] and set(mix) == set(ranked[:best])
         assert math.isclose(score, min(1.0, (share[top] * total + 1 / 3) / (total + 1)), rel_tol=1e-6)
         assert math.isclose(background, beside[-1], rel_tol=1e-6, abs_tol=1e-12)
+
+
+def test_rows_go_out_in_pieces():
+    class Docs:
+        columns, schema = ["doc_id", "text"], None
+
+        def mapInArrow(self, rows, schema):
+            return rows
+
+    text = "the cat and the hat " * 20_000
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(10)), "text": [text] * 10})
+    counts = {"en": np.bincount(trigrams(text), minlength=BUCKETS)}
+    out = list(in_known_language(Docs(), counts)(iter([batch])))
+    assert [i for b in out for i in b.column(0).to_pylist()] == list(range(10))
+    assert max(b.num_rows for b in out) * len(text) <= PIECE_BYTES

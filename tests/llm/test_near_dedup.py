@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from logsift.llm import near_dedup
+from logsift.llm.common import TEXT_ROWS, text_batches
 from logsift.llm.near_dedup import near_duplicates, superminhash
 from logsift.llm.queries import QUERIES
 from tests.llm.fixtures import SMALL, docs_of, odd_texts, prose
@@ -103,3 +104,26 @@ def test_sketches_let_every_threshold_pass(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     assert found(near_duplicates(docs, 80)) == plain(rows, 80)
+
+
+def test_texts_go_to_workers_in_small_batches(spark, monkeypatch):
+    name, sizes = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    write = near_dedup.materialize
+
+    def watched(df, label):
+        sizes.append((label, int(spark.conf.get(name))))
+        return write(df, label)
+
+    monkeypatch.setattr(near_dedup, "materialize", watched)
+    before = spark.conf.get(name)
+    texts = [prose(5, 60), prose(5, 60) + " more", prose(6, 60)]
+    near_duplicates(docs_of(spark, [(i, t) for i, t in enumerate(texts)])).collect()
+    assert spark.conf.get(name) == before
+    assert {n for label, n in sizes if label in ("signed", "links")} >= {TEXT_ROWS}
+    assert all(n == TEXT_ROWS for label, n in sizes if label == "signed")
+    spark.conf.set(name, "7")
+    try:
+        with text_batches(spark):
+            assert spark.conf.get(name) == "7"
+    finally:
+        spark.conf.set(name, before)
