@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,34 @@ def text_batches(spark: SparkSession):
         spark.conf.set(name, before)
 
 
+@cache
+def _libc() -> ctypes.CDLL:
+    return ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Returns memory of this process that is free, but kept by Arrow and the C library, to the system."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc(), "malloc_trim"):  # glibc alone has it
+        _libc().malloc_trim(0)
+
+
+def trimmed(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``rows`` for mapInArrow, after whose last batch the worker keeps no free memory.
+
+    Workers outlive their tasks and stand beside the next stage's JVM, so what they hold adds to its.
+    """
+
+    @wraps(rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def text_bytes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, text) with the UTF-8 bytes of the text; a null text stays null."""
     return docs.select(F.col(key), F.col("text").cast("binary").alias("text"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logsift.llm.common import WordHashes, pieces, text_bytes
+from logsift.llm.common import WordHashes, pieces, text_bytes, trimmed
 from logsift.scratch import materialize
 
 WINDOW = 10
@@ -80,7 +80,7 @@ def positional_index(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             block += 1
             del words, values, order, ranked
 
-    return text_bytes(docs, key).mapInArrow(rows, INDEX)
+    return text_bytes(docs, key).mapInArrow(trimmed(rows), INDEX)
 
 
 _INDEX_ARROW = pa.schema(
@@ -197,7 +197,7 @@ def _search(index: DataFrame, items: list[tuple[int | None, bytes | None]], size
                             found.setdefault(owners[k], []).append((first, last + 1))
                 yield _match_rows(row, block, found, names)
 
-    return index.mapInArrow(rows, MATCHES)
+    return index.mapInArrow(trimmed(rows), MATCHES)
 
 
 def _match_rows(row: dict, block: Block, found: dict, names: list) -> pa.RecordBatch:

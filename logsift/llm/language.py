@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import pieces
+from logsift.llm.common import pieces, text_batches, trimmed
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -72,9 +72,11 @@ def language_counts(docs: DataFrame) -> dict[str, np.ndarray]:
             )
 
     known = docs.where("text is not null and lang is not null").select("text", "lang")
-    sums = known.mapInArrow(rows, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    sums = known.mapInArrow(trimmed(rows), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     out: dict[str, np.ndarray] = {}
-    for lang, bucket, n in sums.collect():  # at most languages x BUCKETS rows
+    with text_batches(docs.sparkSession):
+        found = sums.collect()  # at most languages x BUCKETS rows
+    for lang, bucket, n in found:
         out.setdefault(lang, np.zeros(BUCKETS))[bucket] = n
     return out
 
@@ -158,7 +160,7 @@ def predict_languages(docs: DataFrame, counts: dict[str, np.ndarray]) -> DataFra
                 names=["doc_id", "lang_pred", "score", "proportions", "background"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(rows, PREDICTED)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(rows), PREDICTED)
 
 
 def in_known_language(
@@ -178,4 +180,4 @@ def in_known_language(
             kept = [n != UNKNOWN and b <= background and s * (1 - b) >= least for n, s, _, b in found]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(trimmed(rows), docs.schema)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import GOLDEN, WordHashes, lower_words, mixed, pieces, rolled, signed, text_batches, text_bytes
+from logsift.llm.common import GOLDEN, WordHashes, lower_words, mixed, pieces, rolled, signed, text_batches, text_bytes, trimmed
 from logsift.operators.components import connected_components
 from logsift.scratch import discard, hot_keys, join_dealt, materialize
 
@@ -139,7 +139,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, slots:
             )
             row += len(sets)
 
-    return text_bytes(docs).mapInArrow(rows, SIGNED)
+    return text_bytes(docs).mapInArrow(trimmed(rows), SIGNED)
 
 
 def _agreement(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -203,7 +203,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) ->
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     joined = _with_both(pairs, texts, ["text"]).sortWithinPartitions("v")
-    return joined.select("u", "v", "text_u", "text_v").mapInArrow(rows, "u long, v long")
+    return joined.select("u", "v", "text_u", "text_v").mapInArrow(trimmed(rows), "u long, v long")
 
 
 def _candidates(group: pa.Table, threshold: int) -> np.ndarray:
@@ -402,7 +402,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, thre
         _with_both(pairs, nodes, ["n", "sketch"])
         .where(_sized(threshold))
         .select("u", "v", "sketch_u", "sketch_v")
-        .mapInArrow(_likely(threshold), "u long, v long")
+        .mapInArrow(trimmed(_likely(threshold)), "u long, v long")
     )
     likely = materialize(likely, "likely")
     with text_batches(texts.sparkSession):

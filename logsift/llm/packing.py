@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logsift.llm.common import pieces
+from logsift.llm.common import pieces, text_batches, trimmed
 from logsift.llm.tokens import TokenCoder, vocabulary_size
 from logsift.scratch import materialize
 
@@ -142,7 +142,7 @@ def token_pieces(
                     seen[len(part)] += 1
             yield pa.RecordBatch.from_pydict(out, schema=_PIECES_ARROW)
 
-    return docs.select("doc_id", "text").mapInArrow(rows, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(rows), PIECES)
 
 
 _PIECES_ARROW = pa.schema(
@@ -192,7 +192,7 @@ def packed(cut: DataFrame, capacity: int = CAPACITY, narrow: bool = False) -> Da
         *kept, (F.col("_before") + F.col("place")).alias("_rank")
     )
     schema = cut.select(*kept).schema.add("sequence_id", "long").add("offset", "long")
-    return ranked.mapInArrow(rows, schema)
+    return ranked.mapInArrow(trimmed(rows), schema)
 
 
 def pack_documents(
@@ -209,7 +209,8 @@ def pack_documents(
     pieces they take two, if the vocabulary allows.
     """
     narrow = keep_ids and max(vocabulary_size(tokenizer), end_id + 1) <= 1 << 16
-    cut = materialize(token_pieces(docs, tokenizer, end_id, spaced, capacity, keep_ids, narrow), "pieces")
+    with text_batches(docs.sparkSession):
+        cut = materialize(token_pieces(docs, tokenizer, end_id, spaced, capacity, keep_ids, narrow), "pieces")
     return packed(cut, capacity, narrow)
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import text_bytes
+from logsift.llm.common import text_bytes, trimmed
 
 KINDS = ("assign", "access", "hex", "github", "npm", "private_key")
 BASE = KINDS[:3]
@@ -162,7 +162,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
                 [batch.column(0).cast(pa.int64()), pa.array(spans, _SPANS)], names=["doc_id", "spans"]
             )
 
-    return text_bytes(docs).mapInArrow(rows, FOUND)
+    return text_bytes(docs).mapInArrow(trimmed(rows), FOUND)
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("stop", pa.int32())]))
@@ -189,7 +189,7 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
             columns[at] = pa.array(clean, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(trimmed(rows), docs.schema)
 
 
 def span_text(spans: str, kinds: tuple[str, ...] = KINDS):
